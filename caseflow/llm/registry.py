@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm.licenses import scan_licenses
+from caseflow.llm.mixing import mix, words
+from caseflow.llm.sentencepiece import encode_documents
 from caseflow.llm.shared import table
 from caseflow.llm.simhash import near_duplicates
 from caseflow.llm.token_counts import count_tokens
+from caseflow.llm.topk import exact_top_k, quantise
 
 TOKENIZERS = os.environ.get("CASEFLOW_TOKENIZERS", "/opt/tokenizers")
 
@@ -20,11 +23,42 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+#: The mixture: half of all tokens, at most two epochs of a leaf, weights of siblings.
+MIXTURE = {
+    "budget_share": 0.5,
+    "max_epochs": 2,
+    "seed": "mixture-1",
+    "weights": {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}},
+}
+
+
+def domain_of(source: str = "source"):
+    """The domain of a source, for tables that name none: one of four by checksum."""
+    return F.concat(F.lit("d"), F.pmod(F.crc32(F.col(source).cast("string")), F.lit(4)))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mix(docs, domain=domain_of(), tokens=words(), **MIXTURE)
+    return mixed.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__epoch").cast("long").alias("epoch"), F.col("__tokens").alias("n_tokens"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantise(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    found = exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "round_trip", "piece_ids")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -32,7 +66,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_license_scan": op8_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

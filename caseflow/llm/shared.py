@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Lets the driver notice finished shuffles, so that executors delete their files now and not at some later collection."""
     spark.sparkContext._jvm.System.gc()
+
+
+def per_worker(key: tuple, build):
+    """One object for each Python worker process and key, kept from task to task; for read-only tables and bounded memories."""
+    kept = sys.modules.setdefault("_caseflow_worker", types.ModuleType("_caseflow_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]

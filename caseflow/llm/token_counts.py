@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.shared import per_worker
+
 #: The pre-token pattern of this tokenizer family, with Unicode White_Space written out. The
 #: alternatives start with different characters, so that their order is free: words stand first.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -118,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = token_counter(tokenizer_path, whole.value)
+        count = per_worker(("token-counts", tokenizer_path), lambda: token_counter(tokenizer_path, whole.value))
         for texts in batches:
             yield pd.Series([count(t) for t in texts], dtype="int64")
 
