@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.licenses import scan_licenses
 from caseflow.llm.mixing import mix, words
+from caseflow.llm.pii import find_personal_data, joined
 from caseflow.llm.sentencepiece import encode_documents
 from caseflow.llm.shared import table
 from caseflow.llm.simhash import near_duplicates
+from caseflow.llm.substrings import remove_repeats
 from caseflow.llm.token_counts import count_tokens
+from caseflow.llm.toxicity import held_out, score_toxicity, train
 from caseflow.llm.topk import exact_top_k, quantise
 
 TOKENIZERS = os.environ.get("CASEFLOW_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -64,12 +72,33 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def _equals(value: str):
+    return lambda x: x == value
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs)
+    kinds = F.transform("pii_base", lambda s: s["kind"])
+    count = {f"n_{k}": F.size(F.filter(kinds, _equals(k))).cast("long") for k in ("email", "ip", "card", "phone")}
+    return found.withColumns(count).select("doc_id", *count, F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"), F.col("toxic_spans"))
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_source_mixing": op3_source_mixing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_license_scan": op8_license_scan,
+    "op9_personal_data": op9_personal_data,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
