@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.licenses import scan_licenses
 from caseflow.llm.mixing import mix, words
+from caseflow.llm.neighbours import build_index, search
 from caseflow.llm.pii import find_personal_data, joined
 from caseflow.llm.sentencepiece import encode_documents
 from caseflow.llm.shared import table
@@ -67,6 +68,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "round_trip", "piece_ids")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(build_index(vectors), vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -97,6 +103,7 @@ QUERIES = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_license_scan": op8_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
