@@ -4,7 +4,7 @@ Nodes are distinct vectors; copies hang on one node, so that a vector that stand
 random-projection cells of bounded size. Each round joins every node's neighbours (both directions) with their vectors, compares
 neighbours of a common node with each other where one of the two is new, and merges what improves a node's list. A search keeps a beam of the nearest
 nodes for each query and expands them along the graph, by joins, until no beam holds an unexpanded node. Graph building is
-approximate; every distance in a result is exact.
+approximate and walks on half-precision vectors; the beam is measured anew on the original vectors, so every distance in a result is exact.
 """
 
 from __future__ import annotations
@@ -20,24 +20,31 @@ from pyspark.sql import functions as F
 from caseflow.llm.shared import materialize, release_shuffles
 
 #: Neighbours of a node, cells it starts from, mean and largest rows of a cell, most rounds, share of changed links that ends them.
-DEGREE, TREES, CELL_ROWS, ROUNDS, STILL = 16, 3, 192, 5, 0.02
+DEGREE, TREES, CELL_ROWS, ROUNDS, STILL = 24, 10, 256, 5, 0.02
+#: Links that a cell, and a hub in a round, proposes for a node; later rounds propose the others.
+FROM_CELL, FROM_HUB = 8, 5
 #: Nodes in a query's beam, nodes every search also starts from, most search rounds.
-BEAM, ENTRIES, SEARCH_ROUNDS = 48, 32, 12
+BEAM, ENTRIES, SEARCH_ROUNDS = 160, 32, 12
 
 
 @dataclass
 class Index:
-    """nodes (node, vec: float64 bytes), members (node, vec_id), graph (node, nbr, dist), entries (node)."""
+    """nodes (node, vec: float64 bytes, code: the same scaled, in half precision), members (node, vec_id), graph (node, nbr, dist), entries (node)."""
 
     nodes: DataFrame
     members: DataFrame
     graph: DataFrame
     entries: DataFrame
     size: int
+    most: float
 
 
-def _matrix(blobs, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(-1, size)
+def _matrix(blobs, size: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind).reshape(-1, size)
+
+
+def _codes(blobs, size: int) -> np.ndarray:
+    return _matrix(blobs, size, np.float16).astype(np.float32)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -57,6 +64,22 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", pack("v").alias("vec"))
 
 
+def _largest(size: int):
+    @F.pandas_udf("double")
+    def largest(vec: pd.Series) -> pd.Series:
+        return pd.Series(np.abs(_matrix(vec, size)).max(axis=1) if len(vec) else [], dtype="float64")
+
+    return largest
+
+
+def _scaled(size: int, most: float):
+    @F.pandas_udf("binary")
+    def scale(vec: pd.Series) -> pd.Series:
+        return pd.Series([row.tobytes() for row in (_matrix(vec, size) / most).astype(np.float16)] if len(vec) else [], dtype="object")
+
+    return scale
+
+
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy("dist", "nbr")
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
@@ -68,27 +91,27 @@ def _start_graph(nodes: DataFrame, size: int, count: int) -> DataFrame:
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            m = _matrix(batch["vec"], size) if len(batch) else np.zeros((0, size))
+            m = _codes(batch["code"], size) if len(batch) else np.zeros((0, size), np.float32)
             for tree in range(TREES):
-                code = ((m @ planes[tree]) > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pd.DataFrame({"tree": tree, "code": code, "node": batch["node"], "vec": batch["vec"]})
+                cell = ((m @ planes[tree]) > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pd.DataFrame({"tree": tree, "cell": cell, "node": batch["node"], "code": batch["code"]})
 
-    celled = nodes.mapInPandas(cells, "tree int, code long, node long, vec binary")
-    crowds = materialize(celled.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * CELL_ROWS)).cast("int").alias("parts")), "ann-cells")
-    placed = celled.join(crowds, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
+    celled = nodes.mapInPandas(cells, "tree int, cell long, node long, code binary")
+    crowds = materialize(celled.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * CELL_ROWS)).cast("int").alias("parts")), "ann-cells")
+    placed = celled.join(crowds, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, ids = _matrix(pdf["vec"], size), pdf["node"].to_numpy()
-        k = min(DEGREE, len(ids) - 1)
+        m, ids = _codes(pdf["code"], size), pdf["node"].to_numpy()
+        k = min(FROM_CELL, len(ids) - 1)
         if k < 1:
             return pd.DataFrame({"node": [], "nbr": [], "dist": []}).astype({"node": "int64", "nbr": "int64", "dist": "float64"})
         norm = (m**2).sum(axis=1)
         d = norm[:, None] + norm[None, :] - 2 * m @ m.T
         np.fill_diagonal(d, np.inf)
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"node": np.repeat(ids, k), "nbr": ids[near].ravel(), "dist": np.maximum(np.take_along_axis(d, near, 1), 0).ravel()})
+        return pd.DataFrame({"node": np.repeat(ids, k), "nbr": ids[near].ravel(), "dist": np.maximum(np.take_along_axis(d, near, 1), 0).ravel().astype(np.float64)})
 
-    pairs = placed.groupBy("tree", "code", "part").applyInPandas(compare, "node long, nbr long, dist double")
+    pairs = placed.groupBy("tree", "cell", "part").applyInPandas(compare, "node long, nbr long, dist double")
     return _best(pairs.groupBy("node", "nbr").agg(F.min("dist").alias("dist")), DEGREE).withColumn("new", F.lit(True))
 
 
@@ -108,7 +131,7 @@ def _local_joins(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.Data
 def _compare_hubs(rows: pd.DataFrame, size: int) -> pd.DataFrame:
     found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
     if len(rows):
-        vec, hub = _matrix(rows["vec"], size).astype(np.float32), rows["hub"].to_numpy()
+        vec, hub = _codes(rows["code"], size), rows["hub"].to_numpy()
         node, fresh, worst = rows["node"].to_numpy(), rows["new"].to_numpy(bool), rows["worst"].to_numpy()
         edges = np.flatnonzero(np.diff(hub)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(hub)], strict=True):
@@ -120,7 +143,13 @@ def _compare_hubs(rows: pd.DataFrame, size: int) -> pd.DataFrame:
             d = np.maximum(norm[:, None] + norm[None, :] - 2 * (m @ m.T), 0)
             better = (d < worst[a:b, None]) & (f[:, None] | f[None, :])
             np.fill_diagonal(better, False)
-            i, j = np.nonzero(better)
+            d = np.where(better, d, np.inf)
+            if b - a > FROM_HUB:
+                near = np.argpartition(d, FROM_HUB - 1, axis=1)[:, :FROM_HUB]
+                i, j = np.nonzero(np.isfinite(np.take_along_axis(d, near, 1)))
+                j = near[i, j]
+            else:
+                i, j = np.nonzero(better)
             found[0].append(node[a:b][i])
             found[1].append(node[a:b][j])
             found[2].append(d[i, j].astype(np.float64))
@@ -133,8 +162,8 @@ def _descend(graph: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     both = graph.select("node", "nbr", "new").unionByName(_best(back, DEGREE).select("node", "nbr", "new"))
     links = both.groupBy("node", "nbr").agg(F.max("new").alias("new")).select(F.col("node").alias("hub"), F.col("nbr").alias("node"), "new")
     worst = graph.groupBy("node").agg(F.when(F.count("*") >= DEGREE, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
-    spots = links.join(nodes.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")))), "node")
-    grouped = spots.repartition("hub").sortWithinPartitions("hub").select("hub", "node", "new", "worst", "vec")
+    spots = links.join(nodes.select("node", "code").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf")))), "node")
+    grouped = spots.repartition("hub").sortWithinPartitions("hub").select("hub", "node", "new", "worst", "code")
     pairs = grouped.mapInPandas(lambda batches: _local_joins(batches, size), "node long, nbr long, dist double")
     old = graph.select("node", "nbr", "dist", F.lit(0).alias("fresh"))
     merged = old.unionByName(pairs.withColumn("fresh", F.lit(1))).groupBy("node", "nbr").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
@@ -156,7 +185,8 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     listed = materialize(keyed.select("vec_id", "vec", "key").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= copies_kept), "ann-listed")
     nodes = materialize(listed.where("rn = 1").select(F.col("vec_id").alias("node"), "vec", "key"), "ann-nodes")
     members = materialize(listed.select("vec_id", "key").join(nodes.select("node", "key"), "key").select("node", "vec_id"), "ann-members")
-    nodes, count = nodes.select("node", "vec"), nodes.count()
+    count, most = nodes.count(), (nodes.agg(F.max(_largest(size)("vec")).alias("m")).first()["m"] or 1.0)
+    nodes = materialize(nodes.select("node", "vec", _scaled(size, most)("vec").alias("code")), "ann-coded")
     graph = materialize(_start_graph(nodes, size, count), "ann-graph")
     for _ in range(ROUNDS):
         release_shuffles(spark)
@@ -167,19 +197,20 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     back = _best(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "dist"), DEGREE)
     walk = materialize(graph.select("node", "nbr").union(back.select("node", "nbr")).distinct(), "ann-walk")
     entries = nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES)
-    return Index(nodes, members, walk, materialize(entries, "ann-entries"), size)
+    return Index(nodes, members, walk, materialize(entries, "ann-entries"), size, most)
 
 
-def _distances(pairs: DataFrame, size: int) -> DataFrame:
-    """(query, node, dist) of rows (query, node, asked, vec)."""
+def _distances(pairs: DataFrame, size: int, left: str, right: str, kind: type) -> DataFrame:
+    """(query, node, dist) of rows with a query's vector and a node's vector."""
 
     @F.pandas_udf("double")
-    def distance(asked: pd.Series, vec: pd.Series) -> pd.Series:
-        if not len(asked):
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
             return pd.Series([], dtype="float64")
-        return pd.Series(np.sqrt(((_matrix(asked, size) - _matrix(vec, size)) ** 2).sum(axis=1)))
+        wide = np.float32 if kind is np.float16 else np.float64
+        return pd.Series(np.sqrt(((_matrix(a, size, kind).astype(wide) - _matrix(b, size, kind).astype(wide)) ** 2).sum(axis=1)).astype(np.float64))
 
-    return pairs.select("query", "node", distance("asked", "vec").alias("dist"))
+    return pairs.select("query", "node", distance(left, right).alias("dist"))
 
 
 def search(index: Index, queries: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -190,14 +221,16 @@ def search(index: Index, queries: DataFrame, *, k: int, id_col: str = "vec_id",
     spark = queries.sparkSession
     asked = usable(queries, id_col, vector_col)
     asked = _packed(asked.where(F.size("v") == index.size).distinct()).withColumn("query", F.xxhash64("vec_id", "vec"))
-    asked = materialize(asked.select("query", F.col("vec_id").alias("query_id"), F.col("vec").alias("asked")), "ann-queries")
+    asked = asked.select("query", F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"), _scaled(index.size, index.most)("vec").alias("asked_code"))
+    asked = materialize(asked, "ann-queries")
     own = asked.join(index.members, asked["query_id"] == index.members["vec_id"]).select("query", "node")
     # ENTRIES nodes for every query: a fixed number, so this is no pairing of tables
     fixed = asked.select("query").join(F.broadcast(index.entries.agg(F.collect_list("node").alias("e"))), how="cross").select("query", F.explode("e").alias("node"))
     frontier = own.unionByName(fixed).distinct()
     seen = None
     for _ in range(SEARCH_ROUNDS):
-        measured = _distances(frontier.join(index.nodes, "node").join(asked.select("query", "asked"), "query"), index.size).withColumn("open", F.lit(True))
+        met = frontier.join(index.nodes.select("node", "code"), "node").join(asked.select("query", "asked_code"), "query")
+        measured = _distances(met, index.size, "asked_code", "code", np.float16).withColumn("open", F.lit(True))
         beam = Window.partitionBy("query").orderBy("dist", "node")
         rows = measured if seen is None else seen.unionByName(measured)
         ranked = materialize(rows.withColumn("at", F.row_number().over(beam)), "ann-seen")
@@ -208,7 +241,9 @@ def search(index: Index, queries: DataFrame, *, k: int, id_col: str = "vec_id",
         steps = front.join(index.graph, "node").select("query", F.col("nbr").alias("node")).distinct()
         frontier = materialize(steps.join(ranked.select("query", "node"), ["query", "node"], "left_anti"), "ann-front")
         release_shuffles(spark)
-    near = ranked.where(F.col("at") <= BEAM).join(index.members, "node").join(asked.select("query", "query_id"), "query").where("vec_id != query_id")
+    last = ranked.where(F.col("at") <= BEAM).select("query", "node").join(index.nodes.select("node", "vec"), "node").join(asked.select("query", "asked"), "query")
+    exact = _distances(last, index.size, "asked", "vec", np.float64)
+    near = exact.join(index.members, "node").join(asked.select("query", "query_id"), "query").where("vec_id != query_id")
     order = Window.partitionBy("query").orderBy("dist", "vec_id")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", F.col("dist").alias("score"))
