@@ -9,8 +9,9 @@ whole corpus would have to be broadcast to every task and would grow with the co
    however many copies there are.
 3. What remains are different runs around the same anchor. Each shard's runs are streamed in order of their place: matching statistics against the
    automaton of the runs before mark windows that reach the threshold, then the run enters the automaton. The automata compare the words themselves.
-4. Anchors with more than ``SHARD_RUNS`` different runs (a short line that stands everywhere) would make one large automaton; their windows are compared by
-   a digest in an aggregation instead, which is exact too and spreads over all tasks.
+4. Anchors with more than ``SHARD_RUNS`` different runs (a short line that stands everywhere) would make one large automaton. Their shards are cut finer: a window
+   holds at least half of the free words on the left of the anchor, or more than half on its right, and those words join the key. What is crowded even then (a line
+   nearly as long as a window) has its windows compared by a digest in an aggregation, which is exact too and spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from caseflow.llm.shared import materialize, release_shuffles
 
 #: Different runs of an anchor that one automaton takes.
 SHARD_RUNS = 512
-BASE = 0x9E3779B97F4A7C15
+BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,18 +59,34 @@ def _spans_hash(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, power
     return _mix((sums[stops] - sums[starts]) * down[starts])
 
 
+def gram_hashes(parts: list[bytes], gram: int, letters: Powers, words: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the ``gram``-word sequences."""
+    joined = np.frombuffer(b" ".join(parts) + b" ", np.uint8).astype(np.uint64)
+    stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    word = _spans_hash(joined + np.uint64(1), np.concatenate([[0], stops[:-1]]), stops, letters)
+    at = np.arange(len(parts) - gram + 1)
+    return word, _spans_hash(word, at, at + gram, words)
+
+
+def finer_shards(words: list[str], window: int, gram: int, letters: Powers, powers: Powers) -> Iterator[tuple[str, int, list[str]]]:
+    """The one or two parts of a run by the words next to its anchor: context, first window of the part, its words."""
+    per_window, left = window - gram + 1, (window - gram) // 2
+    at = int(gram_hashes([w.encode() for w in words[:window]], gram, letters, powers)[1][:per_window].argmin())
+    last = len(words) - window
+    if at >= left:  # windows that hold ``left`` words before the anchor
+        yield "l " + " ".join(words[at - left : at]), 0, words[: min(last, at - left) + window]
+    first = max(0, at - left + 1)
+    if first <= last:  # windows that hold more than the rest after it
+        yield "r " + " ".join(words[at + gram : at + gram + window - gram - left + 1]), first, words[first:]
+
+
 def document_runs(text: str, window: int, gram: int, letters: Powers, words: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Anchors, run hashes, first windows and numbers of windows of the runs of a text; None below one window."""
     parts = text.encode().split()
     n = len(parts)
     if n < window:
         return None
-    joined = np.frombuffer(b" ".join(parts) + b" ", np.uint8).astype(np.uint64)
-    stops = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)
-    starts = np.concatenate([[0], stops[:-1]])
-    word = _spans_hash(joined + np.uint64(1), starts, stops, letters)
-    at = np.arange(n - gram + 1)
-    grams = _spans_hash(word, at, at + gram, words)
+    word, grams = gram_hashes(parts, gram, letters, words)
     per_window = window - gram + 1
     least = np.lib.stride_tricks.sliding_window_view(grams, per_window).argmin(axis=1) + np.arange(n - window + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
@@ -83,7 +100,7 @@ def anchored_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(anchor, run, doc_id, start, n) for every run of the texts of ``docs`` (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, words = Powers(BASE), Powers(0xD6E8FEB86659FD93)
+        letters, words = Powers(BASE), Powers(WORD_BASE)
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -149,13 +166,13 @@ class SuffixAutomaton:
 
 
 def _stream_shards(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Runs sorted by anchor and place; gives the maximal repeated spans of words (doc_id, start, stop)."""
-    anchor, automaton = None, None
+    """Runs sorted by shard and place; gives the maximal repeated spans of words (doc_id, start, stop)."""
+    shard, automaton = None, None
     for batch in batches:
         out = []
-        for a, doc_id, start, words in zip(batch["anchor"], batch["doc_id"], batch["start"], batch["words"], strict=True):
-            if a != anchor:
-                anchor, automaton = a, SuffixAutomaton()
+        for a, context, doc_id, start, words in zip(batch["anchor"], batch["context"], batch["doc_id"], batch["start"], batch["words"], strict=True):
+            if (a, context) != shard:
+                shard, automaton = (a, context), SuffixAutomaton()
             words = list(words)
             begin = stop = None
             for at, length in enumerate(automaton.matching(words)):
@@ -195,18 +212,26 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, gram: int = 8) -> DataF
     release_shuffles(spark)
 
     def cut_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters, powers = Powers(BASE), Powers(WORD_BASE)
         for batch in batches:
             out = []
             for doc_id, text, asked in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
                 parts = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w.decode() for w in text.encode().split()]
-                out += [(x["anchor"], x["crowded"], doc_id, x["start"], parts[x["start"] : x["start"] + x["n"] + window - 1]) for x in asked]
-            yield pd.DataFrame(out, columns=["anchor", "crowded", "doc_id", "start", "words"])
+                for x in asked:
+                    run = parts[x["start"] : x["start"] + x["n"] + window - 1]
+                    shards = finer_shards(run, window, gram, letters, powers) if x["crowded"] else [("", 0, run)]
+                    out += [(x["anchor"], context, x["crowded"], doc_id, x["start"] + first, some) for context, first, some in shards]
+            yield pd.DataFrame(out, columns=["anchor", "context", "crowded", "doc_id", "start", "words"])
 
-    worded = materialize(docs.join(wanted, "doc_id").mapInPandas(cut_words, "anchor long, crowded boolean, doc_id long, start int, words array<string>"), "substrings-words")
+    worded = materialize(docs.join(wanted, "doc_id").mapInPandas(cut_words, "anchor long, context string, crowded boolean, doc_id long, start int, words array<string>"), "substrings-words")
     release_shuffles(spark)
-    shards = worded.where("not crowded").select("anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    keys = ["anchor", "context"]
+    finer = worded.where("crowded").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, (F.col("n") > SHARD_RUNS).alias("still"))
+    finer = materialize(worded.where("crowded").join(finer, keys), "substrings-finer")
+    shards = worded.where("not crowded").select(*keys, "doc_id", "start", "words").unionByName(finer.where("not still").select(*keys, "doc_id", "start", "words"))
+    shards = shards.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "start")
     matched = shards.mapInPandas(lambda batches: _stream_shards(batches, window), "doc_id long, start long, stop long")
-    windows = worded.where("crowded").select("doc_id", "start", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("i"))
+    windows = finer.where("still").select("doc_id", "start", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("i"))
     windows = windows.select("doc_id", (F.col("start") + F.col("i")).cast("long").alias("start"), F.sha2(F.array_join(F.slice("words", F.col("i") + 1, window), " "), 256).alias("digest"))
     earliest = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     crowded = windows.join(earliest, "digest").where(place != F.col("first")).select("doc_id", "start", (F.col("start") + window).alias("stop"))
