@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import per_worker
-
 WORD = re.compile(r"\w+")
 #: Bounds of the labelled sample the model is fitted on, for each label: documents and words of one document.
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 1200
+SAMPLE_DOCS, SAMPLE_WORDS = 800, 600
 MAX_FEATURES = 16384
 #: A lexicon feature: in at least this many toxic documents, this many standard errors and this log-odds above clean ones; strong from the last on.
 MIN_DOCS, MIN_ERRORS, MIN_LIFT, STRONG_LIFT = 4, 3.5, 1.0, 2.0
@@ -36,11 +33,11 @@ def word_features(word: str) -> list[str]:
     return [f"={w}", *(f"^{w[:k]}" for k in (4, 5) if len(w) > k), *(f"{w[-4:]}$" for _ in "1" if len(w) > 4)]
 
 
-def lexicon(seen: list[Counter], n: list[int]) -> dict[str, float]:
+def lexicon(seen: list[dict[str, int]], n: list[int]) -> dict[str, float]:
     """Log-odds of the features that mark toxic documents; seen[y][f] of n[y] documents of label y hold f."""
     lifts = {}
     for f, ones in seen[1].items():
-        zeros = seen[0][f]
+        zeros = seen[0].get(f, 0)
         share = (ones + zeros) / (n[0] + n[1])
         error = math.sqrt(max(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
         lift = math.log((ones + 0.5) / (n[1] + 1)) - math.log((zeros + 0.5) / (n[0] + 1))
@@ -116,9 +113,9 @@ def _forward_backward(evidence: np.ndarray, moves: np.ndarray, lengths: np.ndarr
     o = np.where(real, ahead * behind, 0.0)
     marginal = o / (1 + o)
     a, n = ahead[:-1], (behind * e)[1:]
-    joint = np.stack([t[0, 0] + 0 * a, t[0, 1] * n, t[1, 0] * a, t[1, 1] * a * n])
-    joint = np.where(real[1:], joint / joint.sum(axis=0), 0.0).sum(axis=(1, 2)).reshape(2, 2)
-    return marginal, joint
+    whole = t[0, 0] + t[0, 1] * n + t[1, 0] * a + t[1, 1] * a * n
+    share = np.where(real[1:], 1 / whole, 0.0)
+    return marginal, t * np.array([[share.sum(), (share * n).sum()], [(share * a).sum(), (share * a * n).sum()]])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -155,14 +152,22 @@ def fit_chain(texts: list[str], toxic: list[int], class_rows: tuple[int, int]) -
         return ToxicChain({}, -5.0, np.zeros((2, 2)), (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
     number: dict[str, int] = {}
     ids = [np.array([number.setdefault(w, len(number)) for w in words]) for words, _ in docs]
-    parts = [word_features(w) for w in number]
-    sets = [({f for i in np.unique(x) for f in parts[i]}, y) for x, (_, y) in zip(ids, docs, strict=True)]
+    feature: dict[str, int] = {}
+    parts = [np.array([feature.setdefault(f, len(feature)) for f in word_features(w)]) for w in number]
+    names = list(feature)
     n = [sum(1 for _, y in docs if y == k) for k in (0, 1)]
-    lifts = lexicon([Counter(f for s, y in sets if y == k for f in s) for k in (0, 1)], n)
+    seen = np.zeros((2, len(names)), np.int64)
+    for x, (_, y) in zip(ids, docs, strict=True):
+        seen[y, np.unique(np.concatenate([parts[i] for i in np.unique(x)]))] += 1
+    lifts = lexicon([{f: int(c) for f, c in zip(names, row, strict=True) if c >= MIN_DOCS or k == 0} for k, row in enumerate(seen)], n)
     kept, strong = list(lifts), {f for f, lift in lifts.items() if lift >= STRONG_LIFT}
-    column = {f: i for i, f in enumerate(kept)}
-    word_of, col_of = (np.array(x, dtype=np.int64) for x in zip(*[(i, column[f]) for i, fs in enumerate(parts) for f in fs if f in column] or [(0, 0)], strict=True))
-    marked = np.array([any(f in strong for f in fs) for fs in parts])
+    place = np.full(len(names), -1)
+    place[[feature[f] for f in kept]] = np.arange(len(kept))
+    word_of = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    col_of = place[np.concatenate(parts)]
+    word_of, col_of = word_of[col_of >= 0], col_of[col_of >= 0]
+    marked = np.bincount(word_of, np.array([f in strong for f in kept] or [False])[col_of], len(parts)) > 0
+    del parts, names, feature, seen
 
     lengths = np.array([len(x) for x in ids])
     steps = int(lengths.max())
