@@ -108,6 +108,8 @@ def signature_rules() -> list[tuple[int, str, float, frozenset, str]]:
     rules = [
         (priority, label, weight, frozenset(words.split("|")), use.format(name=name)) for label, name, words in FAMILIES for priority, weight, use in USES
     ]
+    # a name with its version stands for the license even where no word of use is near
+    rules += [(35, label, 0.5, frozenset(words.split("|")), f"(?:{name})") for label, name, words in FAMILIES if any(c.isdigit() for c in label)]
     rules += [(30, label, weight, frozenset([word]), pattern) for label, weight, word, pattern in NOTICES]
     return sorted(rules, key=lambda r: (-r[0], -len(r[4]), r[1]))
 

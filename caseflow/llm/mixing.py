@@ -46,6 +46,7 @@ def mix(
     weights: dict[str, dict[str, int]],
     tokens: Column,
     max_epochs: int = 2,
+    floor_epochs: int = 0,
     seed: str = "0",
     id_col: str = "doc_id",
     lang_col: str = "lang",
@@ -53,7 +54,7 @@ def mix(
 ) -> DataFrame:
     """Rows (all columns of ``docs``, then __domain, __tokens, __epoch): the mixture, a document once for each epoch that takes it.
 
-    The budget is ``budget_share`` of all tokens. ``weights[level][value]`` is a child's whole-number weight among its siblings, 1 where not named. Null
+    The budget is ``budget_share`` of all tokens. With ``floor_epochs`` every leaf first gets that many whole epochs, and the tree shares out the rest. ``weights[level][value]`` is a child's whole-number weight among its siblings, 1 where not named. Null
     domains, languages and sources are values of their own. A leaf's document is taken while the tokens before it in its sequence are below the leaf's
     budget, so the last one may overshoot. Documents of no tokens are taken with the prefix they stand in. Rows repeated with the same id stand
     together in the order; rows without an id are ordered by a null's hash. An empty table gives an empty mixture.
@@ -65,8 +66,8 @@ def mix(
     ranges = materialize(rows.groupBy(d, lng, src, rng).agg(F.sum(tok).alias("in_range"), F.count("*").alias("n")), "mix-ranges")
 
     leaves = ranges.groupBy(F.col(d).alias("domain"), F.col(lng).alias("lang"), F.col(src).alias("source")).agg(F.sum("in_range").alias("tokens"))
-    leaves = leaves.withColumn("leaf_capacity", F.col("tokens") * max_epochs)
-    total = ranges.agg(F.floor(F.coalesce(F.sum("in_range"), F.lit(0)) * F.lit(float(budget_share))).cast("long").alias("budget"))
+    leaves = leaves.withColumn("leaf_capacity", F.col("tokens") * (max_epochs - floor_epochs))
+    total = ranges.agg(F.floor(F.coalesce(F.sum("in_range"), F.lit(0)) * F.lit(float(budget_share - floor_epochs))).cast("long").alias("budget"))
     parents: list[str] = []
     budgets = total.withColumn("__root", F.lit(0))
     for level in LEVELS:
@@ -83,11 +84,11 @@ def mix(
     plan = (
         ranges.join(budgets, [d, lng, src])
         .withColumns({"before_range": F.coalesce(F.sum("in_range").over(order), F.lit(0)), "leaf_tokens": F.sum("in_range").over(leaf)})
+        .withColumn("leaf_budget", F.col("leaf_budget") + floor_epochs * F.col("leaf_tokens"))
         .withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
         .withColumn("__room", F.col("leaf_budget") - F.col("__epoch") * F.col("leaf_tokens") - F.col("before_range"))
-        .where("__room > 0")
     )
-    # one row for each leaf and epoch: the range that holds the end of the prefix, and the tokens left for it
+    # one row for each leaf and epoch: the first range that is not taken whole, and the tokens left for it (none: nothing of it is taken)
     last = F.when(F.col("__room") < F.col("in_range"), F.col(rng))
     ends = plan.groupBy(d, lng, src, "__epoch").agg(F.min(last).alias("__cut"), F.min_by("__room", last).alias("__room"))
     ends = materialize(ends, "mix-ends")

@@ -28,7 +28,9 @@ BLANK = "▁"
 #: Boundaries that may wait in one window before convergence is looked for.
 STRIDE = 64
 #: Encoded chunks and pair verdicts kept by one task; beyond it the memory starts anew.
-CACHE_ROWS = 300_000
+CACHE_ROWS = 150_000
+#: Documents encoded before their ids leave the task.
+SLICE_ROWS = 512
 
 
 def chunk_pattern(pieces) -> re.Pattern:
@@ -238,18 +240,19 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
         encoder = per_worker(("sentencepiece", model_path), lambda: Encoder(model_path))
         words = {}  # decoded text of a run of pieces is the pieces' concatenation, unless there are byte pieces among them
         words.update({i: p.replace(BLANK, " ") for i, p in encoder.vocabulary.text.items()})
-        for texts in batches:
-            rows, same = [], []
-            for text in texts:
-                text = text or ""
-                ids = encoder.encode(text)
-                try:
-                    back = "".join(map(words.__getitem__, ids)).removeprefix(" ")
-                except KeyError:
-                    back = decode(ids, encoder.vocabulary)
-                rows.append(np.array(ids, dtype=np.int32))
-                same.append(back == text or back == text.replace(BLANK, " "))
-            yield pd.DataFrame({"ids": pd.Series(rows, dtype="object"), "round_trip": pd.Series(same, dtype="bool")})
+        for batch in batches:
+            for at in range(0, len(batch), SLICE_ROWS):
+                rows, same = [], []
+                for text in batch.iloc[at : at + SLICE_ROWS]:
+                    text = text or ""
+                    ids = encoder.encode(text)
+                    try:
+                        back = "".join(map(words.__getitem__, ids)).removeprefix(" ")
+                    except KeyError:
+                        back = decode(ids, encoder.vocabulary)
+                    rows.append(np.array(ids, dtype=np.int32))
+                    same.append(back == text or back == text.replace(BLANK, " "))
+                yield pd.DataFrame({"ids": pd.Series(rows, dtype="object"), "round_trip": pd.Series(same, dtype="bool")})
 
     found = "__sentencepiece"
     out = docs.withColumn(found, encoded(F.col(text_col)))

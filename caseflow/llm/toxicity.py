@@ -24,7 +24,7 @@ MAX_FEATURES = 16384
 #: A lexicon feature: in at least this many toxic documents, this many standard errors and this log-odds above clean ones; strong from the last on.
 MIN_DOCS, MIN_ERRORS, MIN_LIFT, STRONG_LIFT = 4, 3.5, 1.0, 2.0
 STEPS, RATE, RIDGE = 40, 0.3, 1e-3
-CACHE_ROWS = 400_000
+CACHE_ROWS, SLICE_ROWS = 150_000, 1024
 
 
 def word_features(word: str) -> list[str]:
@@ -239,10 +239,11 @@ def score_toxicity(docs: DataFrame, model: ToxicChain, *, text_col: str = "text"
     @F.pandas_udf("score double, spans array<struct<start:long,stop:long,marginal:double>>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tag = shipped.value.tagger()
-        for texts in batches:
-            rows = [tag(t) for t in texts]
-            spans = [[{"start": a, "stop": b, "marginal": p} for a, b, p in s] for _, s in rows]
-            yield pd.DataFrame({"score": pd.Series([r[0] for r in rows], dtype="float64"), "spans": pd.Series(spans, dtype="object")})
+        for batch in batches:
+            for at in range(0, len(batch), SLICE_ROWS):
+                rows = [tag(t) for t in batch.iloc[at : at + SLICE_ROWS]]
+                spans = [[{"start": a, "stop": b, "marginal": p} for a, b, p in s] for _, s in rows]
+                yield pd.DataFrame({"score": pd.Series([r[0] for r in rows], dtype="float64"), "spans": pd.Series(spans, dtype="object")})
 
     found = "__toxicity"
     out = docs.withColumn(found, scored(F.col(text_col)))

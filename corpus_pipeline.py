@@ -19,8 +19,8 @@ from caseflow.llm.toxicity import score_toxicity, train
 
 #: Documents that score this or more are rejected.
 TOXIC_FROM = 0.3
-#: The mixture's budget: all tokens there are. Weights decide what is repeated or trimmed only where sources fall short.
-PIPELINE_MIXTURE = MIXTURE | {"budget_share": 1.0, "max_epochs": 1}
+#: The mixture: every clean document once, and a quarter of all tokens again, shared out by the target weights in at most two more epochs of a leaf.
+PIPELINE_MIXTURE = MIXTURE | {"budget_share": 1.25, "floor_epochs": 1, "max_epochs": 3}
 ORACLE_SQL = None
 
 
@@ -47,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture."""
+    """The documents of the mixture; one that a second or third epoch takes stands once for each."""
     return mix(docs, domain=domain_of(), tokens=words(), **PIPELINE_MIXTURE).select(docs.columns)
 
 
