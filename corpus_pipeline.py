@@ -34,7 +34,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near duplicates (shingles of five words, at most 3 bits): the one with the smallest id; documents without an id stay."""
     classes = near_duplicates(docs, shingle_words=5, max_bits=3)
     first = materialize(classes.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    # a sort-merge join at every size: what is kept grows with the documents, so broadcasting it would not last
+    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
