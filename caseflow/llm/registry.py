@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.licenses import scan_licenses
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
+from caseflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from caseflow.llm.pii import find_personal_data, joined
 from caseflow.llm.sentencepiece import encode_documents
 from caseflow.llm.shared import table
@@ -108,4 +109,3 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
