@@ -116,8 +116,6 @@ def signature_rules() -> list[tuple[int, str, float, frozenset, str]]:
 
 #: Every byte that is no word byte becomes a blank, A-Z become a-z.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: No rule can match a text without one of these.
-_GATE = re.compile(rb"licen|spdx|permission|redistrib|unencumber|warranty|boost|public domain|reserved|confidential|gpl|general public| under ")
 COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,stop:long,label:string,weight:double>>"
 
 
@@ -129,7 +127,8 @@ def license_scanner():
             by_word[word.encode()].append(order)
     compiled: dict[int, re.Pattern] = {}
     base = [(f" {phrase} ".encode(), label) for phrase, label in BASE_PHRASES.items()]
-    gates = re.compile(rb" (" + b"|".join(sorted(by_word, key=len, reverse=True)) + rb")(?= )")
+    # patterns allow a version glued to the name ("gpl2"), so a keyword also ends before a digit
+    gates = re.compile(rb" (" + b"|".join(sorted(by_word, key=len, reverse=True)) + rb")(?=[ 0-9])")
 
     def scan(text: str | None) -> tuple:
         words = text.encode().translate(_FOLD).split() if text else []
@@ -142,12 +141,11 @@ def license_scanner():
                 base_labels.add(label)
                 at = joined.find(phrase, at + 1)
         found = []
-        if _GATE.search(joined):
-            for order in sorted({o for word in set(gates.findall(joined)) for o in by_word[word]}):
-                if order not in compiled:
-                    compiled[order] = re.compile(f" (?:{rules[order][4]})(?= )".encode())
-                priority, label, weight = rules[order][:3]
-                found += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in compiled[order].finditer(joined)]
+        for order in sorted({o for word in set(gates.findall(joined)) for o in by_word[word]}):
+            if order not in compiled:
+                compiled[order] = re.compile(f" (?:{rules[order][4]})(?= )".encode())
+            priority, label, weight = rules[order][:3]
+            found += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in compiled[order].finditer(joined)]
         kept = []
         for _, _, start, _, stop, label, weight in sorted(found):
             if not any(a <= start and stop <= b for a, b, _, _ in kept):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.llm import substrings
-from caseflow.llm.licenses import scan_licenses, signature_rules
+from caseflow.llm.licenses import license_scanner, scan_licenses, signature_rules
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
 from caseflow.llm.pii import find_personal_data, joined, redact
@@ -141,6 +141,21 @@ def test_licenses(spark):
     assert rows[0]["lic_n_words"] == 0 and rows[0]["lic_labels"] == "" and rows[0]["lic_first_word"] is None and rows[0]["label"] == "mine"
 
 
+def test_licenses_named_by_version_only():
+    scan = license_scanner()
+    named = {
+        "Apache 2.0": "apache-2", "BSD 3-clause": "bsd-3", "EPL-2.0": "epl-2", "MPL 2.0": "mpl-2", "CC0 1.0": "cc0", "apache2": "apache-2", "gpl2": "gpl-2", "LGPL 2.1": "lgpl-2.1",
+        "subject to the MPL 2.0": "mpl-2", "subject to the isc": "isc",
+    }
+    got = {text: (row[5], row[6] > 0) for text in named for row in [scan(f"We ship {text} here")]}
+    assert got == {text: (label, True) for text, label in named.items()}
+    # the keywords leave out no rule: every rule alone, on texts made from all names and uses
+    rules = [(label, re.compile(f" (?:{pattern})(?= )")) for _, label, _, _, pattern in signature_rules()]
+    for text in [*named, "mit freundlichen", "spdx license identifier isc", "in the public domain", "server side public license", "creative commons zero", "ofl 1 1", "agpl3", "gfdl1 3", "eupl1 2"]:
+        words = re.sub("[^a-z0-9]+", " ", text.lower())
+        assert (scan(text)[5] != "") == any(r.search(f" {words} ") for _, r in rules), text
+
+
 def test_personal_data(spark):
     texts = [*TEXTS, "Mail a@b.c_x@d.e or 1.2.3.4.5.6.7.8, 4111 1111 1111 1111 and +1 (017) 555-7713.", "9" * 20000, "é 300.1.1.1 +12 x@y"]
     texts += [f"badge no: {n} here" for n in ("4111111111111111", "4012888888881881", "5555555555554444", "AB-12345-X")]
