@@ -23,20 +23,20 @@ from caseflow.llm.shared import materialize
 HALF = 32
 
 
-def fingerprinter(shingle_words: int, seed: int = 42):
-    """A function from a text to its fingerprint as a signed 64-bit number.
+def shingle_hasher(shingle_words: int, seed: int = 42):
+    """A function from a text to the hashes of its shingles.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles count as often as they occur; fewer
-    words than a shingle has make one shingle; no words make fingerprint 0.
+    words than a shingle has make one shingle; no words make none.
     """
     import xxhash
 
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
 
-    def fingerprint(text: str | None) -> int:
+    def hashes(text: str | None) -> np.ndarray:
         words = text.encode().lower().split() if text else ()
         if not words:
-            return 0
+            return np.empty(0, np.uint64)
         if len(words) <= shingle_words:
             shingles = [b" ".join(words)]
         else:
@@ -44,14 +44,26 @@ def fingerprinter(shingle_words: int, seed: int = 42):
             ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
             starts = [0, *ends[:-shingle_words].tolist()]
             shingles = [joined[a:b] for a, b in zip(starts, (ends[shingle_words - 1 :] - 1).tolist(), strict=True)]
-        n = len(shingles)
-        ones = np.zeros(64, dtype=np.int64)
-        hashes = np.fromiter(map(digest, shingles), dtype=np.uint64, count=n)
-        for at in range(0, n, 65536):
-            ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
-
-    return fingerprint
+        return np.fromiter(map(digest, shingles), dtype=np.uint64, count=len(shingles))
+
+    return hashes
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes as a signed 64-bit number; 0 without any."""
+    n = len(hashes)
+    if not n:
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, n, 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
+def fingerprinter(shingle_words: int, seed: int = 42):
+    """A function from a text to its fingerprint."""
+    hashes = shingle_hasher(shingle_words, seed)
+    return lambda text: print_of(hashes(text))
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint", shingle_words: int = 5) -> DataFrame:

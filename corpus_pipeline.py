@@ -14,7 +14,7 @@ from caseflow.llm.pii import find_personal_data, redact
 from caseflow.llm.registry import MIXTURE, TOKENIZERS, domain_of
 from caseflow.llm.sentencepiece import encode_documents
 from caseflow.llm.shared import materialize, table
-from caseflow.llm.simhash import near_duplicates
+from caseflow.llm.similar import similar_groups
 from caseflow.llm.toxicity import score_toxicity, train
 
 #: Documents that score this or more are rejected.
@@ -31,8 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, at most 3 bits): the one with the smallest id; documents without an id stay."""
-    classes = near_duplicates(docs, shingle_words=5, max_bits=3)
+    """One document of each group of near duplicates (Jaccard of five-word shingles 0.8 or more): the one with the smallest id; documents without an id stay."""
+    classes = similar_groups(docs, shingle_words=5, share=0.8)
     first = materialize(classes.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
     # a sort-merge join at every size: what is kept grows with the documents, so broadcasting it would not last
     return docs.join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))

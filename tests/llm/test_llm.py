@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import substrings
+from caseflow.llm import similar, substrings
 from caseflow.llm.licenses import license_scanner, scan_licenses, signature_rules
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
@@ -104,6 +104,38 @@ def test_simhash_against_all_pairs(spark):
     assert near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_similar_groups_against_all_pairs(spark, monkeypatch, rounds):
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "HUB_ROUNDS", rounds)
+    rng, texts = np.random.default_rng(8), list(TEXTS)
+    for changed in (1, 2, 3, 4, 5, 6, 8, 10) * 6:  # of 200 words: Jaccard 0.95 to 0.6
+        words = [f"v{x}" for x in rng.integers(0, 10**6, 200)]
+        again = list(words)
+        for at in rng.choice(200, changed, replace=False):
+            again[at] = "other"
+        texts += [" ".join(words), " ".join(again)]
+    crowd = [f"c{i}" for i in range(200)]
+    texts += [" ".join([*crowd[:i], f"n{i}", *crowd[i + 1 :]]) for i in range(0, 200, 4)]
+    texts += ["  ", texts[5].upper()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    while True:
+        before = list(root)
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(root)) and similar.similar_groups(docs_of(spark, texts).limit(0)).count() == 0
+    if rounds:
+        kept = corpus_pipeline.simhash_near_dedup(spark, docs_of(spark, texts), "").select("doc_id").collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+
+
 def test_sentencepiece_against_the_library(spark):
     import sentencepiece
 
