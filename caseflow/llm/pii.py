@@ -27,8 +27,14 @@ PATTERNS = {
 }
 #: A text without these holds no match of the kind.
 GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: An identifier in its context: label word, connector, identifier.
-CONTEXT = r"(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]{1,23}+)([ \t]*+(?:[:=#]|is)?[ \t]*+[\"'(]?)(\+?[A-Za-z0-9][A-Za-z0-9()._@+/-]{3,63}(?: [0-9(][0-9().-]{1,15}){0,5})"
+#: An identifier in its context: label word, connector, identifier. The identifier's first run holds a digit, and all of it four or more (by the digits of
+#: the first run: four, or three, two or one and the rest in the runs of digits after blanks), so that words without digits use up no label.
+_RUN, _MORE = "(?:[A-Za-z()._@+/-]*+[0-9])", r"(?:(?:[().-]|\x20(?=[0-9(][0-9().-]))*+[0-9])"
+_DIGITS = f"(?={_RUN})(?:(?={_RUN}{{4}})|" + "|".join(f"(?={_RUN}{{{n}}}[A-Za-z()._@+/-]*+(?![0-9]){_MORE}{{{4 - n}}})" for n in (3, 2, 1)) + ")"
+CONTEXT = (
+    r"(?<![\p{L}\p{N}_])([\p{L}_][\p{L}\p{N}_]{1,23}+)([ \t]*+(?:[:=#]|is)?[ \t]*+[\"'(]?)"
+    rf"({_DIGITS}\+?[A-Za-z0-9][A-Za-z0-9()._@+/-]{{3,63}}(?: [0-9(][0-9().-]{{1,15}}){{0,5}})"
+)
 ROUNDS = 3
 EMPTY = "array<struct<kind:string,start:long,stop:long,value:string>>"
 

@@ -11,7 +11,7 @@ from caseflow.llm import similar, substrings
 from caseflow.llm.licenses import license_scanner, scan_licenses, signature_rules
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
-from caseflow.llm.pii import find_personal_data, joined, redact
+from caseflow.llm.pii import contexts, find_personal_data, joined, redact
 from caseflow.llm.sentencepiece import Encoder, decode, encode_documents
 from caseflow.llm.simhash import fingerprinter, near_duplicates
 from caseflow.llm.substrings import remove_repeats
@@ -203,6 +203,24 @@ def test_personal_data(spark):
     assert "MapInPandas" not in (plan := found._jdf.queryExecution().toString()) and "Python" not in plan
 
 
+def test_labels_are_not_used_up_by_words(spark):
+    texts = {
+        "my badge: 12345": [("badge: ", "12345")],
+        "badge number: 12345": [("number: ", "12345")],
+        "contact badge 12345": [("badge ", "12345")],
+        "see the badge no: AB-12345-X here": [("no: ", "AB-12345-X")],
+        "call me at +49(017) 555-7713 now": [("at ", "+49(017) 555-7713")],
+        "card 4111 1111 1111 1111": [("card ", "4111 1111 1111 1111")],
+        "key ab1c 2 badge id 12a4 56": [("id ", "12a4 56")],
+        "one two three 123 four x12y 3": [],
+        "room12 desk34 abcd": [],
+    }
+    docs = docs_of(spark, list(texts))
+    got = {r["text"]: [(c["pattern"], c["value"]) for c in r["c"]] for r in docs.select("text", contexts(F.col("text")).alias("c")).collect()}
+    assert got == texts
+    assert all(r["text"][c["start"] : c["stop"]] == c["value"] for r in docs.select("text", contexts(F.col("text")).alias("c")).collect() for c in r["c"])
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain = [" ".join(rng.choice([f"word{i}" for i in range(60)], 40)) for _ in range(120)]
