@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster has no folder to fall back to, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseflow-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -35,6 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets the driver notice finished shuffles, so that executors delete their files now and not at some later collection."""
     spark.sparkContext._jvm.System.gc()

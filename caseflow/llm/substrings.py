@@ -5,8 +5,8 @@ whole corpus would have to be broadcast to every task and would grow with the co
 
 1. Every window names an anchor, the ``gram``-word sequence in it with the least hash. Equal windows have equal anchors, so they
    meet in one shard. Consecutive windows with the same anchor occurrence make a run of at most ``2 * window - gram`` words.
-2. Anchors seen once are done with. Runs seen again word for word are repeats as a whole and are found by an aggregation, which combines before the shuffle
-   however many copies there are.
+2. Anchors seen once are done with. Runs seen again word for word (equal in a 128-bit BLAKE2 digest of their words, within one anchor) are repeats as a whole and
+   are found by an aggregation, which combines before the shuffle however many copies there are, so that each automaton meets a run once.
 3. What remains are different runs around the same anchor. Each shard's runs are streamed in order of their place: matching statistics against the
    automaton of the runs before mark windows that reach the threshold, then the run enters the automaton. The automata compare the words themselves.
 4. Anchors with more than ``SHARD_RUNS`` different runs (a short line that stands everywhere) would make one large automaton. Their shards are cut finer: a window
@@ -17,6 +17,7 @@ whole corpus would have to be broadcast to every task and would grow with the co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -81,23 +82,29 @@ def finer_shards(words: list[str], window: int, gram: int, letters: Powers, powe
 
 
 def document_runs(text: str, window: int, gram: int, letters: Powers, words: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Anchors, run hashes, first windows and numbers of windows of the runs of a text; None below one window."""
+    """Anchors, run digests (two numbers each), first windows and numbers of windows of the runs of a text; None below one window.
+
+    Anchors only decide which runs meet, so a fast hash does for them. Runs with one digest count as equal, so that one is cryptographic: it holds the words and the anchor's place.
+    """
     parts = text.encode().split()
     n = len(parts)
     if n < window:
         return None
-    word, grams = gram_hashes(parts, gram, letters, words)
+    _, grams = gram_hashes(parts, gram, letters, words)
     per_window = window - gram + 1
     least = np.lib.stride_tricks.sliding_window_view(grams, per_window).argmin(axis=1) + np.arange(n - window + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
     count = np.diff(np.concatenate([first, [len(least)]]))
     anchor = least[first]
-    run = _spans_hash(word, first, first + count + window - 1, words) ^ _mix((anchor - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
-    return grams[anchor], run, first, count
+    joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)
+    begin = np.concatenate([[0], ends[:-1]])[first].tolist()
+    stop = (ends[first + count + window - 2] - 1).tolist()
+    digests = b"".join([blake2b(joined[a:b], digest_size=16, salt=k.to_bytes(8, "little")).digest() for a, b, k in zip(begin, stop, (anchor - first).tolist(), strict=True)])
+    return grams[anchor], np.frombuffer(digests, np.int64).reshape(-1, 2), first, count
 
 
 def anchored_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, run, doc_id, start, n) for every run of the texts of ``docs`` (doc_id, text)."""
+    """(anchor, run, run2, doc_id, start, n) for every run of the texts of ``docs`` (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, words = Powers(BASE), Powers(WORD_BASE)
@@ -110,10 +117,10 @@ def anchored_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     found.append(runs)
             if found:
                 anchor, run, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
-                arrays = [anchor.view(np.int64), run.view(np.int64), np.concatenate(ids), first.astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["anchor", "run", "doc_id", "start", "n"])
+                arrays = [anchor.view(np.int64), run[:, 0].copy(), run[:, 1].copy(), np.concatenate(ids), first.astype(np.int32), count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["anchor", "run", "run2", "doc_id", "start", "n"])
 
-    return docs.mapInArrow(cut, "anchor long, run long, doc_id long, start int, n int")
+    return docs.mapInArrow(cut, "anchor long, run long, run2 long, doc_id long, start int, n int")
 
 
 class SuffixAutomaton:
@@ -193,22 +200,19 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, gram: int = 8) -> DataF
     """(doc_id, start, stop): spans of words, each covered by windows that start earlier elsewhere. ``docs`` has doc_id (long, not null) and text (not null)."""
     spark = docs.sparkSession
     runs = anchored_runs(docs, window, gram)
-    anchors = materialize(
-        runs.groupBy("anchor").agg(F.count("*").alias("seen"), F.min("run").alias("low"), F.max("run").alias("high")).where("seen > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")),
-        "substrings-anchors",
-    )
+    anchors = materialize(runs.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "substrings-anchors")
     release_shuffles(spark)
     suspects = materialize(runs.join(anchors, "anchor"), "substrings-suspects")
     release_shuffles(spark)
-    place = F.struct("doc_id", "start")
-    distinct = materialize(suspects.groupBy("anchor", "run").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mixed").alias("mixed")), "substrings-runs")
+    place, run = F.struct("doc_id", "start"), ["anchor", "run", "run2"]
+    distinct = materialize(suspects.groupBy(*run).agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "substrings-runs")
     # whole runs that stand earlier
-    copied = distinct.where("copies > 1").select("anchor", "run", "first")
-    again = suspects.join(copied, ["anchor", "run"]).where(place != F.col("first")).select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + window - 1).cast("long").alias("stop"))
+    copied = distinct.where("copies > 1").select(*run, "first")
+    again = suspects.join(copied, run).where(place != F.col("first")).select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + window - 1).cast("long").alias("stop"))
     # different runs of one anchor: their words, from the documents that hold their first places
-    mixed = distinct.where("mixed").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n")
-    crowd = mixed.groupBy("anchor").agg((F.count("*") > SHARD_RUNS).alias("crowded"))
-    wanted = materialize(mixed.join(crowd, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "crowded", "start", "n")).alias("wanted")), "substrings-wanted")
+    crowd = distinct.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor", (F.col("runs") > SHARD_RUNS).alias("crowded"))
+    mixed = distinct.join(crowd, "anchor").select("anchor", "crowded", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n")
+    wanted = materialize(mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "crowded", "start", "n")).alias("wanted")), "substrings-wanted")
     release_shuffles(spark)
 
     def cut_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

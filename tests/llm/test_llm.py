@@ -17,7 +17,7 @@ from caseflow.llm.simhash import fingerprinter, near_duplicates
 from caseflow.llm.substrings import remove_repeats
 from caseflow.llm.token_counts import count_tokens
 from caseflow.llm.topk import exact_top_k, quantise
-from caseflow.llm.toxicity import fit_chain, score_toxicity
+from caseflow.llm.toxicity import WINDOW_WORDS, WINDOWS, WORD, _forward_backward, fit_chain, score_toxicity, tagger, text_windows, train
 
 TOKENIZERS = "/opt/tokenizers"
 TEXTS = [None, "", "x", "a b " * 400, "one two three four five six seven eight nine ten " * 5, " ".join(f"w{i}" for i in range(300)), "née <|endoftext|> 한국\t\n  \x1c 🙂 don't 12"]
@@ -51,6 +51,15 @@ def test_substrings_against_sets(spark, monkeypatch, limit):
     assert remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_are_equal_words_not_equal_hashes(spark):
+    """A word of 2048 letters and its twin with a and b swapped collide in every polynomial hash modulo 2**64."""
+    twin = ["ab"[i.bit_count() & 1] for i in range(2048)]
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:11], "".join(t), *words[12:]]) for t in (twin, ["ba"[c == "b"] for c in twin])]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 28}
+
+
 def test_token_counts_against_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -225,10 +234,70 @@ def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain = [" ".join(rng.choice([f"word{i}" for i in range(60)], 40)) for _ in range(120)]
     toxic = [re.sub(r"word3 |word7 ", "scum ", p + " word3 ") for p in plain[:60]]
-    model = fit_chain(toxic[:50] + plain[60:110], [1] * 50 + [0] * 50, (900, 100))
+    model = fit_chain([(*text_windows(t), y) for t, y in [(t, 1) for t in toxic[:50]] + [(t, 0) for t in plain[60:110]]], (900, 100))
     texts = [*TEXTS, *toxic[50:], *plain[110:]]
     rows = score_toxicity(docs_of(spark, texts), model).orderBy("doc_id").collect()
     flags = [r["toxic_score"] >= 0.3 for r in rows]
     assert flags == [False] * 7 + [True] * 10 + [False] * 10
     assert all(r["text"][s["start"] : s["stop"]] == "scum" for r in rows for s in r["toxic_spans"])
-    assert fit_chain([], [], (0, 0)).tagger()("x")[0] == 0.5
+    assert tagger(fit_chain([], (0, 0)))("x")[0] == 0.5
+    docs = docs_of(spark, texts)
+    assert score_toxicity(docs.limit(0), model).count() == 0 and score_toxicity(docs.withColumnRenamed("label", "toxicity"), model).columns[:6] == [*docs.columns[:5], "toxicity"]
+    # the trainer: ids that are held out, null labels and null texts teach nothing
+    labels = docs.select("doc_id", F.when(F.col("doc_id").between(7, 16), 1).when(F.col("doc_id") > 16, 0).alias("toxic"))
+    held = {r[0] for r in docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).select("doc_id").collect()}
+    assert held and tagger(train(docs, labels))(texts[7])[0] > tagger(train(docs, labels))(texts[20])[0]
+    flipped = labels.withColumn("toxic", F.when(F.col("doc_id").isin(*held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert train(docs, flipped) == train(docs, labels)
+    assert tagger(train(docs, labels.limit(0)))("x")[0] == 0.5
+
+
+def test_marginals_against_all_taggings():
+    rng = np.random.default_rng(4)
+    evidence, moves, lengths = rng.normal(size=(6, 3)) * 2, rng.normal(size=(2, 2)), np.array([6, 4, 1])
+    marginal, joint = _forward_backward(evidence, moves, lengths)
+    want = np.zeros((2, 2))
+    for j, n in enumerate(lengths):
+        taggings = [[k >> i & 1 for i in range(n)] for k in range(2**n)]
+        mass = np.exp([sum(evidence[i, j] * y for i, y in enumerate(t)) + sum(moves[a, b] for a, b in zip(t, t[1:], strict=False)) for t in taggings])
+        mass /= mass.sum()
+        assert np.allclose(marginal[:n, j], [sum(m for m, t in zip(mass, taggings, strict=True) if t[i]) for i in range(n)])
+        for m, t in zip(mass, taggings, strict=True):
+            for a, b in zip(t, t[1:], strict=False):
+                want[a, b] += m
+    assert np.allclose(joint, want)
+    # the scorer's own pass gives the same marginals
+    words = [f"w{i}" for i in range(6)]
+    model = {"weights": {f"={w}": float(e) for w, e in zip(words, evidence[:, 0], strict=True)}, "bias": 0.0, "moves": moves.tolist(), "document": [0.0, 0.0, 0.0, 0.0]}
+    spans = {s[0] // 3: s[2] for s in tagger(model)(" ".join(words))[1]}
+    assert spans and all(np.isclose(p, marginal[i, 0]) for i, p in spans.items())
+
+
+def test_long_texts_teach_in_windows():
+    words = [f"w{i}" for i in range(WINDOW_WORDS * WINDOWS)]
+    windows, n = text_windows(" ".join(words))
+    assert n == len(words) and [w for t in windows for w in WORD.findall(t)] == words
+    windows, n = text_windows(" ".join([*words, *words, "end"]))
+    assert n == 2 * len(words) + 1 and len(windows) == WINDOWS and windows[0].startswith("w0 ") and windows[-1].endswith(" end")
+    assert text_windows(None) == ([], 0) and text_windows(" ") == ([], 0)
+
+
+def test_operators_run_where_only_the_driver_has_the_package(tmp_path):
+    """Tasks must not import the package: another process, in another folder, with the package on the driver's path alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = f"""import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+import __spark_entry__
+for name in {["op10_toxicity", "op8_license_scan", "op1_substring_dedup", "op2_token_counts"]}:
+    __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in got.stdout, got.stderr[-2000:]
