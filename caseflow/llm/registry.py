@@ -13,7 +13,7 @@ from caseflow.llm.neighbours import build_index, search
 from caseflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from caseflow.llm.pii import find_personal_data, joined
 from caseflow.llm.sentencepiece import encode_documents
-from caseflow.llm.shared import table
+from caseflow.llm.shared import document_batches, table
 from caseflow.llm.simhash import near_duplicates
 from caseflow.llm.substrings import remove_repeats
 from caseflow.llm.token_counts import count_tokens
@@ -24,11 +24,13 @@ TOKENIZERS = os.environ.get("CASEFLOW_TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
     kept = remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -60,11 +62,13 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pieces", "round_trip", "piece_ids")
 
@@ -75,6 +79,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -92,6 +97,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"), F.col("toxic_spans"))

@@ -27,10 +27,10 @@ from caseflow.llm.shared import per_worker
 BLANK = "▁"
 #: Boundaries that may wait in one window before convergence is looked for.
 STRIDE = 64
-#: Encoded chunks and pair verdicts kept by one task; beyond it the memory starts anew.
-CACHE_ROWS = 150_000
+#: Encoded chunks of a generation and pair verdicts kept by a worker; beyond it the memory starts anew.
+CACHE_ROWS, PAIR_ROWS = 80_000, 160_000
 #: Documents encoded before their ids leave the task.
-SLICE_ROWS = 512
+SLICE_ROWS = 128
 
 
 def chunk_pattern(pieces) -> re.Pattern:
@@ -109,7 +109,7 @@ class StreamingViterbi:
             self.whole[piece] = len(merge_pieces(text[piece], self.v.score)) == 1
         if not self.whole[piece] or left < 0:
             return self.whole[piece]
-        if len(self.pairs) >= 2 * CACHE_ROWS:
+        if len(self.pairs) >= PAIR_ROWS:
             self.pairs.clear()
         found = self.pairs[left << 20 | piece] = merge_pieces(text[left] + text[piece], self.v.score) == [text[left], text[piece]]
         return found

@@ -51,9 +51,21 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch of whole documents.
+BATCH_DOCS = 1024
+
+
+def document_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``BATCH_DOCS``: whole documents are wide rows, and a batch stands in memory several times, in the JVM and in the Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_DOCS:
+        spark.conf.set(name, str(BATCH_DOCS))
+
+
 def per_worker(key: tuple, build):
-    """One object for each Python worker process and key, kept from task to task; for read-only tables and bounded memories."""
+    """The object of ``key`` in this Python worker process, kept from task to task; for read-only tables and bounded memories. A worker keeps one object: another key drops the one before, so that stages don't add up."""
     kept = sys.modules.setdefault("_caseflow_worker", types.ModuleType("_caseflow_worker")).__dict__
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept.update(key=key, value=build())
+    return kept["value"]

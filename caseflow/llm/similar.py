@@ -2,8 +2,11 @@
 
 SimHash within three bits finds few pairs below 0.95, so candidates also come from MinHash bands: texts meet where the least values of five hash
 functions agree, in one of 25 bands. A pair of Jaccard 0.8 misses all bands with a chance of 5 in 100,000. Every link is verified on the
-shingles themselves, by joins. A bucket first compares its members with one hub for each round, so that a group of near copies that are linked costs its size;
-what is still apart after some rounds is compared pair by pair, which grows with the square of a group that shares buckets but not links.
+shingles themselves, by joins. A bucket first compares its members with one hub for each round, so that a group of near copies that are linked costs its size.
+
+What is still apart after some rounds is joined by prefixes: with the shingles of every text ordered by how many of these texts hold them, two texts of n <= m shingles can
+only reach the share ``t`` if a shingle stands among the first ``n - 2t/(1+t)n`` of the one and the first ``m - tm`` of the other, with enough left behind it. That is exact, and
+a crowd of texts that are nearly but not quite alike costs little, because what sets each apart comes first in its order.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.components import connected_components
-from caseflow.llm.shared import materialize
+from caseflow.llm.shared import materialize, release_shuffles
 from caseflow.llm.simhash import fingerprint_links, print_of, shingle_hasher
 
 BANDS, BAND_ROWS = 25, 5
-#: Hub rounds before the remaining pairs are compared, and the pairs a node for which this is done earlier.
+#: Hub rounds before what is still apart is joined by prefixes, and the pairs a node for which this is done earlier.
 HUB_ROUNDS, FEW_PAIRS = 4, 2
 _FACTORS, _SHIFTS = np.random.default_rng(11).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -62,36 +65,45 @@ def _sketched(rows: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, firsts: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles: sorted distinct hashes as bytes) of ``nodes``, made anew from their first texts."""
+    """(node, shingles: sorted distinct hashes) of ``nodes``, made anew from their first texts. The ids are the hashed side of the join, so texts are not sorted."""
 
-    @F.pandas_udf("node long, shingles binary")
+    @F.pandas_udf("node long, shingles array<long>")
     def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = shingle_hasher(shingle_words)
         for texts in batches:
-            found = [(_node(x), x.tobytes()) for x in (np.unique(hashes(t)) for t in texts)]
-            yield pd.DataFrame(found, columns=["node", "shingles"]).astype({"node": "int64"})
+            sets = [np.unique(hashes(t)) for t in texts]
+            yield pd.DataFrame({"node": pd.Series([_node(x) for x in sets], dtype="int64"), "shingles": pd.Series([x.view(np.int64) for x in sets], dtype="object")})
 
-    wanted = firsts.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id"), F.col("node").alias("want"))
-    found = rows.join(wanted.hint("merge"), "doc_id").withColumn("s", shingled("text")).where("s.node = want")
+    wanted = firsts.join(nodes.hint("merge"), "node", "left_semi").select(F.col("first_id").alias("doc_id"), F.col("node").alias("want"))
+    found = rows.join(wanted.hint("shuffle_hash"), "doc_id").withColumn("s", shingled("text")).where("s.node = want")
     return found.select("s.node", "s.shingles").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """The pairs (a, b) whose Jaccard is ``share`` or more."""
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        found = []
-        for a, b in zip(left, right, strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            enough = min(len(x), len(y)) >= share * max(len(x), len(y))
-            both = len(np.intersect1d(x, y, assume_unique=True)) if enough else 0
-            found.append(enough and both >= share * (len(x) + len(y) - both))
-        return pd.Series(found, dtype="bool")
-
     sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
     sided = sided.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-    return sided.where(similar("x", "y")).select("a", "b")
+    enough = F.least(F.size("x"), F.size("y")) >= share * F.greatest(F.size("x"), F.size("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return sided.where(enough & (both >= share * (F.size("x") + F.size("y") - both))).select("a", "b")
+
+
+def _prefix_pairs(sets: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) that hold all pairs of ``sets`` (node, shingles) whose Jaccard is ``share`` or more."""
+    slack, both = 1e-9, share / (1 + share)
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one text alone come first and never meet
+    order = tokens.join(often.hint("merge"), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    placed = order.select("node", "n", (F.col("n") - F.size("t")).alias("alone"), F.posexplode("t").alias("pos", "t"))
+    placed = placed.select("node", "n", (F.col("alone") + F.col("pos")).alias("at"), "t.token").where(F.col("at") <= F.col("n") - F.ceil(share * F.col("n") - slack))
+    placed = materialize(placed, "similar-prefixes")
+    probe = placed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("at_b"))
+    index = placed.where(F.col("at") <= F.col("n") - F.ceil(2 * both * F.col("n") - slack)).select("token", F.col("node").alias("a"), "n", F.col("at").alias("at_a"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("n") - F.col("at_a"), F.col("m") - F.col("at_b")) >= both * (F.col("n") + F.col("m")) - slack
+    found = index.join(probe, "token").where(smaller & (F.col("n") >= share * F.col("m") - slack) & left)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, share: float = 0.8) -> DataFrame:
@@ -108,6 +120,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     placed = materialize(marked.select(F.explode("bands").alias("bucket"), "node").union(simhash).distinct(), "similar-placed")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     live = materialize(placed.join(shared.hint("merge"), "bucket", "left_semi").withColumn("comp", F.col("node")), "similar-live")
+    sets = materialize(_sets(rows, firsts, live.select("node").distinct(), shingle_words), "similar-sets")
+    release_shuffles(docs.sparkSession)
     size, links, tested, at = firsts.count(), None, None, 0
     while True:
         sizes = live.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
@@ -116,12 +130,13 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             break
         last = apart <= FEW_PAIRS * size and at or at >= HUB_ROUNDS
         if last:
-            hubs = live.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+            comps = live.groupBy("node").agg(F.min("comp").alias("comp"))
+            near = _prefix_pairs(sets.join(comps.hint("merge"), "node", "left_semi"), share)
+            pairs = near.join(comps.toDF("a", "comp_a").hint("merge"), "a").join(comps.toDF("b", "comp_b").hint("merge"), "b").where("comp_a != comp_b").select("a", "b")
         else:
             hubs = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(at)), "node", "comp")).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
-        pairs = live.join(hubs.hint("merge"), "bucket").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            pairs = live.join(hubs.hint("merge"), "bucket").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = materialize(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "similar-pairs")
-        sets = materialize(_sets(rows, firsts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), shingle_words), "similar-sets")
         met = _verified(pairs, sets, share)
         links = materialize(met if links is None else links.union(met), "similar-links")
         if last:
