@@ -13,7 +13,7 @@ from caseflow.llm.mixing import mix, words
 from caseflow.llm.pii import find_personal_data, redact
 from caseflow.llm.registry import MIXTURE, TOKENIZERS, domain_of
 from caseflow.llm.sentencepiece import encode_documents
-from caseflow.llm.shared import materialize, table
+from caseflow.llm.shared import document_batches, materialize, table
 from caseflow.llm.similar import similar_groups
 from caseflow.llm.toxicity import score_toxicity, train
 
@@ -26,16 +26,18 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not find toxic."""
+    document_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where(F.col("toxic_score") < TOXIC_FROM).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (Jaccard of five-word shingles 0.8 or more): the one with the smallest id; documents without an id stay."""
+    document_batches(spark)
     classes = similar_groups(docs, shingle_words=5, share=0.8)
     first = materialize(classes.where("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    # a sort-merge join at every size: what is kept grows with the documents, so broadcasting it would not last
-    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    # a shuffled join at every size: what is kept grows with the documents, so broadcasting it would not last; the ids are the hashed side, so texts are not sorted
+    return docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their piece ids."""
+    document_batches(spark)
     return encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select(*docs.columns, "piece_ids", "n_pieces", "round_trip")
 
 
