@@ -24,7 +24,7 @@ from caseflow.llm.simhash import fingerprint_links, print_of, shingle_hasher
 
 BANDS, BAND_ROWS = 25, 5
 #: Hub rounds before what is still apart is joined by prefixes, and the pairs a node for which this is done earlier.
-HUB_ROUNDS, FEW_PAIRS = 4, 2
+HUB_ROUNDS, FEW_PAIRS = 2, 2
 _FACTORS, _SHIFTS = np.random.default_rng(11).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
