@@ -1,8 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is (priority, label, weight, keyword, regex over the normalised words). Rules are built from families
-of licenses and the ways a text names them, several hundred in all. A rule runs only where its keyword
-occurs. Overlapping detections are resolved in rule order: higher priority first, then longer, then earlier; a detection
+The rules are the hand-written signatures of ``license_rules``: priority, label, weight, gating words, regex over the normalised words. A rule runs only where a word
+starts with one of its gating words. Overlapping detections are resolved in rule order: higher priority first, then longer, then earlier; a detection
 whose interval lies inside an accepted one is suppressed. Base phrases are always counted and always keep their label.
 """
 
@@ -16,109 +15,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.license_rules import signature_rules
+from caseflow.llm.shared import fresh_name
+
 #: Base phrases and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label, then how texts write the license's name in normalised words (regex), then the word that gates it.
-FAMILIES = [
-    ("mit", r"mit|expat", "mit"),
-    ("mit-0", r"mit no attribution|mit 0", "mit"),
-    ("apache-1", r"apache(?: software)?(?: license)?(?: version| v)? 1(?: [01])?", "apache"),
-    ("apache-2", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache"),
-    ("gpl-1", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?", "gpl|general"),
-    ("gpl-2", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?", "gpl|general"),
-    ("gpl-3", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?", "gpl|general"),
-    ("lgpl-2", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?2(?: 0)?", "lgpl|library"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", "lgpl|lesser"),
-    ("lgpl-3", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", "lgpl|lesser"),
-    ("agpl-3", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)?", "agpl|affero"),
-    ("bsd-2", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd|freebsd"),
-    ("bsd-3", r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd"),
-    ("bsd-4", r"(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd"),
-    ("bsd", r"bsd(?: style)?", "bsd"),
-    ("isc", r"isc|internet systems consortium", "isc|consortium"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("boost-1", r"boost software(?: license)?(?: version 1(?: 0)?)?|bsl 1 0", "boost|bsl"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?1(?: [01])?", "mozilla|mpl"),
-    ("mpl-2", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "mozilla|mpl"),
-    ("epl-1", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "eclipse|epl"),
-    ("epl-2", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "eclipse|epl"),
-    ("edl-1", r"eclipse distribution license(?: version| v)? ?1(?: 0)?", "eclipse"),
-    ("cddl-1", r"(?:common development and distribution license|cddl)(?: version| v)? ?1(?: [01])?", "common|cddl"),
-    ("cpl-1", r"common public license(?: version| v)? ?1(?: 0)?", "common"),
-    ("eupl-1", r"(?:european union public licen[cs]e|eupl)(?: version| v)? ?1(?: [012])?", "european|eupl"),
-    ("artistic-1", r"artistic license(?: version)?(?: 1(?: 0)?)", "artistic"),
-    ("artistic-2", r"artistic license(?: version)?(?: 2(?: 0)?)", "artistic"),
-    ("unlicense", r"unlicense|the unlicense", "unlicense"),
-    ("wtfpl", r"wtfpl|do what the fuck you want to public license", "wtfpl|fuck"),
-    ("python-2", r"(?:python software foundation|psf)(?: license)?(?: version 2)?", "python|psf"),
-    ("php-3", r"php(?: license)?(?: version)? 3(?: 0?1)?", "php"),
-    ("ruby", r"ruby", "ruby"),
-    ("openssl", r"openssl", "openssl"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("ofl-1.1", r"(?:sil )?open font license(?: version)?(?: 1 1)?|ofl 1 1", "font|ofl"),
-    ("cc0", r"cc0(?: 1 0)?|creative commons zero", "cc0|zero"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?", "cc|creative"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution sharealike)(?: [1-4] [05])?", "cc|creative"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution noderivs|creative commons attribution noderivatives)(?: [1-4] [05])?", "cc|creative"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution noncommercial)(?: [1-4] [05])?", "cc|creative"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution noncommercial sharealike)(?: [1-4] [05])?", "cc|creative"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution noncommercial noderivs)(?: [1-4] [05])?", "cc|creative"),
-    ("odbl", r"(?:open database license|odbl)(?: 1 0)?", "database|odbl"),
-    ("odc-by", r"(?:open data commons attribution(?: license)?|odc by)(?: 1 0)?", "odc|commons"),
-    ("pddl", r"(?:public domain dedication and license|pddl)(?: 1 0)?", "dedication|pddl"),
-    ("gfdl-1", r"(?:gnu )?(?:free documentation license|gfdl)(?: version| v)? ?1(?: [123])?", "documentation|gfdl"),
-    ("ms-pl", r"microsoft public license|ms pl", "microsoft|ms"),
-    ("ms-rl", r"microsoft reciprocal license|ms rl", "microsoft|ms"),
-    ("bsl-1.1", r"business source license(?: 1 1)?|busl 1 1", "business|busl"),
-    ("sspl-1", r"server side public license(?: version| v)? ?1?|sspl(?: 1 0)?", "sspl|server"),
-    ("elastic-2", r"elastic license(?: 2 0)?", "elastic"),
-]
-
-#: How a text applies a license it names: (priority, weight, pattern around the name).
-USES = [
-    (90, 1.0, r"spdx license identifier (?:{name})"),
-    (80, 0.95, r"(?:re)?licensed under (?:the )?(?:terms of the )?(?:{name})(?: licen[cs]e)?"),
-    (80, 0.95, r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of the )?(?:{name})(?: licen[cs]e)?"),
-    (70, 0.9, r"under (?:the )?(?:terms (?:of|and conditions of) the )?(?:{name})(?: licen[cs]e)?"),
-    (60, 0.8, r"subject to the (?:terms of the )?(?:{name})(?: licen[cs]e)?"),
-    (50, 0.7, r"licen[cs]e (?:is )?(?:{name})"),
-    (40, 0.6, r"(?:{name}) licen[cs]ed?"),
-]
-
-#: Grants and notices that name no license: (label, weight, keyword, pattern).
-NOTICES = [
-    ("mit", 0.9, "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 0.9, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", 0.9, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("unlicense", 0.9, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("gpl", 0.7, "redistribute", r"this program is free software you can redistribute it and or modify it"),
-    ("zlib", 0.8, "warranty", r"this software is provided as is without any express or implied warranty"),
-    ("boost-1", 0.9, "boost", r"distributed under the boost software license"),
-    ("public-domain", 0.6, "domain", r"(?:released into|dedicated to|in) the public domain"),
-    ("proprietary", 0.5, "reserved", r"all rights reserved"),
-    ("proprietary", 0.8, "confidential", r"proprietary and confidential"),
-    ("gpl", 0.6, "gpl", r"(?:under|of) the gpl"),
-    ("gpl", 0.6, "general", r"gnu general public license"),
-]
-
-
-def signature_rules() -> list[tuple[int, str, float, frozenset, str]]:
-    """All rules in order: priority, label, weight, gating words, pattern."""
-    rules = [
-        (priority, label, weight, frozenset(words.split("|")), use.format(name=name)) for label, name, words in FAMILIES for priority, weight, use in USES
-    ]
-    # a name with its version stands for the license even where no word of use is near
-    rules += [(35, label, 0.5, frozenset(words.split("|")), f"(?:{name})") for label, name, words in FAMILIES if any(c.isdigit() for c in label)]
-    rules += [(30, label, weight, frozenset([word]), pattern) for label, weight, word, pattern in NOTICES]
-    return sorted(rules, key=lambda r: (-r[0], -len(r[4]), r[1]))
-
-
 #: Every byte that is no word byte becomes a blank, A-Z become a-z.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,stop:long,label:string,weight:double>>"
 
 
+class Reach:
+    """The farthest stop of the intervals that start at or before a place, as intervals are added: a tree of prefix maxima over the possible starts."""
+
+    def __init__(self, starts: list[int]) -> None:
+        self.at = {s: i + 1 for i, s in enumerate(sorted(set(starts)))}
+        self.most = [-1] * (len(self.at) + 1)
+
+    def add(self, start: int, stop: int) -> None:
+        i = self.at[start]
+        while i < len(self.most):
+            self.most[i] = max(self.most[i], stop)
+            i += i & -i
+
+    def of(self, start: int) -> int:
+        i, far = self.at[start], -1
+        while i:
+            far = max(far, self.most[i])
+            i &= i - 1
+        return far
+
+
 def license_scanner():
     """A function from a text to a row of COLUMNS; spans count words, the stop exclusive."""
     by_word, rules = defaultdict(list), signature_rules()
@@ -127,8 +55,9 @@ def license_scanner():
             by_word[word.encode()].append(order)
     compiled: dict[int, re.Pattern] = {}
     base = [(f" {phrase} ".encode(), label) for phrase, label in BASE_PHRASES.items()]
-    # patterns allow a version glued to the name ("gpl2"), so a keyword also ends before a digit
-    gates = re.compile(rb" (" + b"|".join(sorted(by_word, key=len, reverse=True)) + rb")(?=[ 0-9])")
+    # a gating word starts a word; of gating words that start alike the longest is found, so it stands for the shorter ones too
+    gates = re.compile(rb" (" + b"|".join(sorted(by_word, key=len, reverse=True)) + rb")")
+    opened = {word: sorted({o for other, orders in by_word.items() if word.startswith(other) for o in orders}) for word in by_word}
 
     def scan(text: str | None) -> tuple:
         words = text.encode().translate(_FOLD).split() if text else []
@@ -141,15 +70,16 @@ def license_scanner():
                 base_labels.add(label)
                 at = joined.find(phrase, at + 1)
         found = []
-        for order in sorted({o for word in set(gates.findall(joined)) for o in by_word[word]}):
+        for order in sorted({o for word in set(gates.findall(joined)) for o in opened[word]}):
             if order not in compiled:
                 compiled[order] = re.compile(f" (?:{rules[order][4]})(?= )".encode())
             priority, label, weight = rules[order][:3]
             found += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in compiled[order].finditer(joined)]
-        kept = []
+        kept, reach = [], Reach([x[2] for x in found])
         for _, _, start, _, stop, label, weight in sorted(found):
-            if not any(a <= start and stop <= b for a, b, _, _ in kept):
+            if reach.of(start) < stop:
                 kept.append((start, stop, label, weight))
+                reach.add(start, stop)
         spans = sorted((first := joined.count(b" ", 0, a), first + joined.count(b" ", a, b), label, weight) for a, b, label, weight in kept)
         missed = 1.0
         for *_, weight in spans:
@@ -177,6 +107,6 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", prefix: str = "")
             spans = [[{"start": a, "stop": b, "label": c, "weight": d} for a, b, c, d in x] for x in rows["spans"]]
             yield rows.astype({"first_word": "Int64", "last_word": "Int64", "n_words": "int64", "n_base": "int64"}).assign(spans=pd.Series(spans, dtype="object"))
 
-    found = "__license_scan"
+    found = fresh_name(docs, "license_scan")
     out = docs.withColumn(found, scanned(F.col(text_col)))
     return out.withColumns({f"{prefix}{c.split()[0]}": F.col(f"{found}.{c.split()[0]}") for c in COLUMNS.split(", ")}).drop(found)

@@ -21,22 +21,22 @@ from caseflow.llm.shared import materialize, release_shuffles
 
 #: Neighbours of a node, cells it starts from, mean and largest rows of a cell, most rounds, share of changed links that ends them.
 DEGREE, TREES, CELL_ROWS, ROUNDS, STILL = 24, 10, 256, 5, 0.02
-#: Links that a cell, and a hub in a round, proposes for a node; later rounds propose the others.
+#: Links that a cell, and a hub in a round, proposes for a node, the nearest ones. What a hub leaves out, other hubs may propose; the search is approximate, and README gives its recall.
 FROM_CELL, FROM_HUB = 8, 5
-#: Nodes in a query's beam, nodes every search also starts from, most search rounds.
-BEAM, ENTRIES, SEARCH_ROUNDS = 160, 32, 12
+#: Nodes in a query's beam, nodes every search also starts from.
+BEAM, ENTRIES = 160, 32
 
 
 @dataclass
 class Index:
-    """nodes (node, vec: float64 bytes, code: the same scaled, in half precision), members (node, vec_id), graph (node, nbr, dist), entries (node)."""
+    """nodes (node, vec: float64 bytes, key, code: the vector's scale and half-precision components), members (node, vec_id: the ``copies`` smallest ids of each node), graph (node, nbr), entries (node)."""
 
     nodes: DataFrame
     members: DataFrame
     graph: DataFrame
     entries: DataFrame
     size: int
-    most: float
+    copies: int
 
 
 def _matrix(blobs, size: int, kind: type = np.float64) -> np.ndarray:
@@ -44,7 +44,8 @@ def _matrix(blobs, size: int, kind: type = np.float64) -> np.ndarray:
 
 
 def _codes(blobs, size: int) -> np.ndarray:
-    return _matrix(blobs, size, np.float16).astype(np.float32)
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 4 + 2 * size)
+    return raw[:, 4:].copy().view(np.float16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -64,20 +65,18 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", pack("v").alias("vec"))
 
 
-def _largest(size: int):
-    @F.pandas_udf("double")
-    def largest(vec: pd.Series) -> pd.Series:
-        return pd.Series(np.abs(_matrix(vec, size)).max(axis=1) if len(vec) else [], dtype="float64")
-
-    return largest
-
-
-def _scaled(size: int, most: float):
+def _coded(size: int):
     @F.pandas_udf("binary")
-    def scale(vec: pd.Series) -> pd.Series:
-        return pd.Series([row.tobytes() for row in (_matrix(vec, size) / most).astype(np.float16)] if len(vec) else [], dtype="object")
+    def code(vec: pd.Series) -> pd.Series:
+        """The vector's own scale, then its components in half precision of that scale, so that one huge row hides no other."""
+        if not len(vec):
+            return pd.Series([], dtype="object")
+        m = _matrix(vec, size)
+        most = np.abs(m).max(axis=1)
+        scales, units = np.minimum(most, 1e15).astype(np.float32), (m / most[:, None]).astype(np.float16)
+        return pd.Series([s.tobytes() + u.tobytes() for s, u in zip(scales, units, strict=True)], dtype="object")
 
-    return scale
+    return code
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -185,8 +184,8 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     listed = materialize(keyed.select("vec_id", "vec", "key").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= copies_kept), "ann-listed")
     nodes = materialize(listed.where("rn = 1").select(F.col("vec_id").alias("node"), "vec", "key"), "ann-nodes")
     members = materialize(listed.select("vec_id", "key").join(nodes.select("node", "key"), "key").select("node", "vec_id"), "ann-members")
-    count, most = nodes.count(), (nodes.agg(F.max(_largest(size)("vec")).alias("m")).first()["m"] or 1.0)
-    nodes = materialize(nodes.select("node", "vec", _scaled(size, most)("vec").alias("code")), "ann-coded")
+    count = nodes.count()
+    nodes = materialize(nodes.select("node", "vec", "key", _coded(size)("vec").alias("code")), "ann-coded")
     graph = materialize(_start_graph(nodes, size, count), "ann-graph")
     for _ in range(ROUNDS):
         release_shuffles(spark)
@@ -197,52 +196,65 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     back = _best(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "dist"), DEGREE)
     walk = materialize(graph.select("node", "nbr").union(back.select("node", "nbr")).distinct(), "ann-walk")
     entries = nodes.select("node").orderBy(F.xxhash64("node")).limit(ENTRIES)
-    return Index(nodes, members, walk, materialize(entries, "ann-entries"), size, most)
+    return Index(nodes, members, walk, materialize(entries, "ann-entries"), size, copies_kept)
 
 
-def _distances(pairs: DataFrame, size: int, left: str, right: str, kind: type) -> DataFrame:
-    """(query, node, dist) of rows with a query's vector and a node's vector."""
+def _distances(pairs: DataFrame, size: int) -> DataFrame:
+    """(query, node, dist) of rows with a query's code (asked_code) and a node's (code)."""
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype="float64")
-        wide = np.float32 if kind is np.float16 else np.float64
-        return pd.Series(np.sqrt(((_matrix(a, size, kind).astype(wide) - _matrix(b, size, kind).astype(wide)) ** 2).sum(axis=1)).astype(np.float64))
+        return pd.Series(np.sqrt(((_codes(a, size).astype(np.float64) - _codes(b, size)) ** 2).sum(axis=1)))
+
+    return pairs.select("query", "node", distance("asked_code", "code").alias("dist"))
+
+
+def _unpacked(size: int):
+    @F.pandas_udf("array<double>")
+    def unpack(vec: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(vec, size)) if len(vec) else [], dtype="object")
 
-    return pairs.select("query", "node", distance(left, right).alias("dist"))
+    return unpack
 
 
 def search(index: Index, queries: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): up to ``k`` nearest rows found for each query, its own id left out, ties to the smaller id; score is the Euclidean distance.
+    """(query_id, rank, vec_id, score): up to ``k`` nearest rows found for each query, its own id left out, ties to the smaller id; score is the Euclidean distance
+    in double precision, squares added in the order of the components.
 
-    ``k`` must be below the index's ``copies_kept``. Unusable queries give no rows; a query repeated with its vector is answered once.
+    ``k`` must be below the index's ``copies_kept``. Unusable queries give no rows; a query repeated with its vector is answered once. A walk ends when its beam holds no unexpanded node.
     """
+    if not 0 < k < index.copies:
+        raise ValueError(f"this index lists {index.copies} copies of a vector, so k must be from 1 to {index.copies - 1}")
     spark = queries.sparkSession
     asked = usable(queries, id_col, vector_col)
     asked = _packed(asked.where(F.size("v") == index.size).distinct()).withColumn("query", F.xxhash64("vec_id", "vec"))
-    asked = asked.select("query", F.col("vec_id").alias("query_id"), F.col("vec").alias("asked"), _scaled(index.size, index.most)("vec").alias("asked_code"))
+    asked = asked.select("query", F.col("vec_id").alias("query_id"), F.md5("vec").alias("key"), F.col("vec").alias("asked"), _coded(index.size)("vec").alias("asked_code"))
     asked = materialize(asked, "ann-queries")
-    own = asked.join(index.members, asked["query_id"] == index.members["vec_id"]).select("query", "node")
+    # a query whose vector is in the index starts there, whichever copy it is
+    own = asked.join(index.nodes.select("node", "key"), "key").select("query", "node")
     # ENTRIES nodes for every query: a fixed number, so this is no pairing of tables
     fixed = asked.select("query").join(F.broadcast(index.entries.agg(F.collect_list("node").alias("e"))), how="cross").select("query", F.explode("e").alias("node"))
     frontier = own.unionByName(fixed).distinct()
     seen = None
-    for _ in range(SEARCH_ROUNDS):
+    while True:
         met = frontier.join(index.nodes.select("node", "code"), "node").join(asked.select("query", "asked_code"), "query")
-        measured = _distances(met, index.size, "asked_code", "code", np.float16).withColumn("open", F.lit(True))
+        measured = _distances(met, index.size).withColumn("open", F.lit(True))
         beam = Window.partitionBy("query").orderBy("dist", "node")
         rows = measured if seen is None else seen.unionByName(measured)
         ranked = materialize(rows.withColumn("at", F.row_number().over(beam)), "ann-seen")
         front = ranked.where(F.col("open") & (F.col("at") <= BEAM)).select("query", "node")
-        if front.isEmpty():
+        if front.isEmpty():  # every round closes what it expands, and no node is met twice, so this comes
             break
         seen = ranked.select("query", "node", "dist", (F.col("open") & (F.col("at") > BEAM)).alias("open"))
         steps = front.join(index.graph, "node").select("query", F.col("nbr").alias("node")).distinct()
         frontier = materialize(steps.join(ranked.select("query", "node"), ["query", "node"], "left_anti"), "ann-front")
         release_shuffles(spark)
     last = ranked.where(F.col("at") <= BEAM).select("query", "node").join(index.nodes.select("node", "vec"), "node").join(asked.select("query", "asked"), "query")
-    exact = _distances(last, index.size, "asked", "vec", np.float64)
+    open_vectors = last.select("query", "node", _unpacked(index.size)("asked").alias("a"), _unpacked(index.size)("vec").alias("b"))
+    squares = F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))
+    exact = open_vectors.select("query", "node", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("dist"))
     near = exact.join(index.members, "node").join(asked.select("query", "query_id"), "query").where("vec_id != query_id")
     order = Window.partitionBy("query").orderBy("dist", "vec_id")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.licenses import scan_licenses
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
+from caseflow.llm.oracles import MIXTURE
 from caseflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from caseflow.llm.pii import find_personal_data, joined
 from caseflow.llm.sentencepiece import encode_documents
@@ -35,18 +36,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-#: The mixture: half of all tokens, at most two epochs of a leaf, weights of siblings.
-MIXTURE = {
-    "budget_share": 0.5,
-    "max_epochs": 2,
-    "seed": "mixture-1",
-    "weights": {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}},
-}
-
-
 def domain_of(source: str = "source"):
     """The domain of a source, for tables that name none: one of four by checksum."""
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.col(source).cast("string")), F.lit(4)))
+    return F.concat(F.lit("d"), F.conv(F.substring(F.md5(F.col(source).cast("string")), 1, 1), 16, 10).cast("int") % 4)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +85,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(docs)
     kinds = F.transform("pii_base", lambda s: s["kind"])
     count = {f"n_{k}": F.size(F.filter(kinds, _equals(k))).cast("long") for k in ("email", "ip", "card", "phone")}
-    return found.withColumns(count).select("doc_id", *count, F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    return found.withColumns(count).select("doc_id", *count, F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

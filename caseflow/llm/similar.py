@@ -4,9 +4,11 @@ SimHash within three bits finds few pairs below 0.95, so candidates also come fr
 functions agree, in one of 25 bands. A pair of Jaccard 0.8 misses all bands with a chance of 5 in 100,000. Every link is verified on the
 shingles themselves, by joins. A bucket first compares its members with one hub for each round, so that a group of near copies that are linked costs its size.
 
-What is still apart after some rounds is joined by prefixes: with the shingles of every text ordered by how many of these texts hold them, two texts of n <= m shingles can
-only reach the share ``t`` if a shingle stands among the first ``n - 2t/(1+t)n`` of the one and the first ``m - tm`` of the other, with enough left behind it. That is exact, and
-a crowd of texts that are nearly but not quite alike costs little, because what sets each apart comes first in its order.
+What is still apart after some rounds is joined by how it differs from a hub. Texts that share buckets, directly or over others, make a group with one hub ``h``. With ``D(x)`` the shingles
+that x adds to the hub's and those it lacks, two texts differ by ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` shingles, and reach the share ``t`` if that is at most ``c (|x| + |y|)``,
+``c = (1 - t) / (1 + t)``. Then either both reach it with the hub, or D(x) and D(y) share a difference, ``(|D(x)| - c |x| + |D(y)| - c |y|) / 2`` of them at least, so that one stands near the
+beginning of both when differences are ordered by how many texts of the group have them. That is exact, and a crowd of texts that are nearly but not quite alike
+costs little, because what sets each apart comes first in its order and meets nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from caseflow.llm.shared import materialize, release_shuffles
 from caseflow.llm.simhash import fingerprint_links, print_of, shingle_hasher
 
 BANDS, BAND_ROWS = 25, 5
-#: Hub rounds before what is still apart is joined by prefixes, and the pairs a node for which this is done earlier.
+#: Hub rounds before what is still apart is joined by its differences from a hub, and the pairs a node for which this is done earlier.
 HUB_ROUNDS, FEW_PAIRS = 2, 2
 _FACTORS, _SHIFTS = np.random.default_rng(11).integers(1, 2**63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,22 +90,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return sided.where(enough & (both >= share * (F.size("x") + F.size("y") - both))).select("a", "b")
 
 
-def _prefix_pairs(sets: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b) that hold all pairs of ``sets`` (node, shingles) whose Jaccard is ``share`` or more."""
-    slack, both = 1e-9, share / (1 + share)
-    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one text alone come first and never meet
-    order = tokens.join(often.hint("merge"), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    placed = order.select("node", "n", (F.col("n") - F.size("t")).alias("alone"), F.posexplode("t").alias("pos", "t"))
-    placed = placed.select("node", "n", (F.col("alone") + F.col("pos")).alias("at"), "t.token").where(F.col("at") <= F.col("n") - F.ceil(share * F.col("n") - slack))
-    placed = materialize(placed, "similar-prefixes")
-    probe = placed.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("at_b"))
-    index = placed.where(F.col("at") <= F.col("n") - F.ceil(2 * both * F.col("n") - slack)).select("token", F.col("node").alias("a"), "n", F.col("at").alias("at_a"))
-    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-    left = F.least(F.col("n") - F.col("at_a"), F.col("m") - F.col("at_b")) >= both * (F.col("n") + F.col("m")) - slack
-    found = index.join(probe, "token").where(smaller & (F.col("n") >= share * F.col("m") - slack) & left)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _difference_pairs(live: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes, among them all whose Jaccard is ``share`` or more and whose link can join two classes. ``live`` has bucket, node and comp."""
+    slack, c = 1e-9, (1 - share) / (1 + share)
+    firsts = live.groupBy("bucket").agg(F.min("node").alias("first"))
+    met = live.join(firsts.hint("merge"), "bucket").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    grouped = connected_components(met, name="similar-groups")
+    nodes = live.groupBy("node").agg(F.min("comp").alias("comp"), F.count("*").alias("buckets")).join(grouped.hint("merge"), "node")
+    hubs = nodes.groupBy("component").agg(F.max_by("node", F.struct("buckets", F.xxhash64("node"))).alias("hub"))
+    placed = materialize(nodes.join(hubs.hint("merge"), "component").select("node", "comp", "hub"), "similar-placed")
+    own = placed.join(sets.hint("merge"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("base")).hint("merge"), "hub")
+    both = own.select("node", "comp", "hub", F.size("shingles").alias("n"), F.array_except("shingles", "base").alias("more"), F.array_except("base", "shingles").alias("less"))
+    sides = both.withColumn("d", F.size("more") + F.size("less")).withColumn("spare", F.col("d") - c * F.col("n"))
+    marks = F.concat(F.transform("more", lambda t: F.struct(F.lit(1).alias("sign"), t.alias("token"))), F.transform("less", lambda t: F.struct(F.lit(0).alias("sign"), t.alias("token"))))
+    every = materialize(sides.select("node", "comp", "hub", "n", "d", "spare", F.explode(marks).alias("m")).select("node", "comp", "hub", "n", "d", "spare", "m.sign", "m.token"), "similar-differences")
+    often = every.groupBy("hub", "sign", "token").agg(F.count("*").alias("df")).where("df > 1")
+    # differences of one text alone come first and never meet
+    held = every.join(often.hint("merge"), ["hub", "sign", "token"]).groupBy("node", "comp", "hub", "n", "d", "spare").agg(F.array_sort(F.collect_list(F.struct("df", "sign", "token"))).alias("t"))
+    spots = held.select("node", "comp", "hub", "n", "d", "spare", (F.col("d") - F.size("t")).alias("alone"), F.posexplode("t").alias("pos", "t"))
+    spots = spots.withColumn("at", F.col("alone") + F.col("pos")).select("node", "comp", "hub", "n", "d", "spare", "at", "t.sign", "t.token")
+    # how many must be shared at least: by the text with less to spare, and by the other whatever it meets
+    enough = lambda k: F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.ceil(k - slack))
+    probe = materialize(spots.where(enough(F.col("spare") - c * F.col("n") / share)), "similar-prefixes")
+    index = probe.where(enough(F.col("spare")))
+    other = probe.select("hub", "sign", "token", *[F.col(x).alias(f"o_{x}") for x in ("node", "comp", "n", "d", "spare", "at")])
+    shared = F.least(F.col("d") - F.col("at"), F.col("o_d") - F.col("o_at")) >= (F.col("spare") + F.col("o_spare")) / 2 - slack
+    sized = (F.col("n") >= share * F.col("o_n") - slack) & (F.col("o_n") >= share * F.col("n") - slack)
+    apart = (F.col("comp") != F.col("o_comp")) & (F.col("spare") <= F.col("o_spare"))
+    near = index.join(other, ["hub", "sign", "token"]).where(apart & sized & shared)
+    pairs = near.select("node", F.col("o_node").alias("other")).union(placed.where("node != hub").select("node", "hub"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, share: float = 0.8) -> DataFrame:
@@ -130,9 +146,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             break
         last = apart <= FEW_PAIRS * size and at or at >= HUB_ROUNDS
         if last:
-            comps = live.groupBy("node").agg(F.min("comp").alias("comp"))
-            near = _prefix_pairs(sets.join(comps.hint("merge"), "node", "left_semi"), share)
-            pairs = near.join(comps.toDF("a", "comp_a").hint("merge"), "a").join(comps.toDF("b", "comp_b").hint("merge"), "b").where("comp_a != comp_b").select("a", "b")
+            pairs = _difference_pairs(live, sets, share)
         else:
             hubs = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(at)), "node", "comp")).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
             pairs = live.join(hubs.hint("merge"), "bucket").where("comp != hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()

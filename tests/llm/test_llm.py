@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import similar, substrings
 from caseflow.llm.components import connected_components
-from caseflow.llm.licenses import license_scanner, scan_licenses, signature_rules
+from caseflow.llm.license_rules import signature_rules
+from caseflow.llm.licenses import license_scanner, scan_licenses
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
-from caseflow.llm.pii import contexts, find_personal_data, joined, redact
-from caseflow.llm.sentencepiece import Encoder, decode, encode_documents
+from caseflow.llm.pii import contexts, find_personal_data, joined, pattern_totals, redact, trusted_patterns
+from caseflow.llm.sentencepiece import Encoder, StreamingViterbi, decode, encode_documents
 from caseflow.llm.simhash import fingerprinter, near_duplicates
 from caseflow.llm.substrings import remove_repeats
 from caseflow.llm.token_counts import count_tokens
@@ -126,6 +127,34 @@ def test_simhash_against_all_pairs(spark):
     assert near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_differences_from_a_hub_lose_no_link(spark, seed):
+    """Random sets around some bases, at all distances; every pair that reaches the share and joins two classes is among the candidates."""
+    rng = np.random.default_rng(seed)
+    sets, bases = {}, [rng.choice(10**6, 60, replace=False) for _ in range(3)]
+    for i in range(90):
+        x = set(bases[i % 3][: rng.integers(30, 61)].tolist())
+        for t in rng.choice(list(x), rng.integers(0, 12), replace=False).tolist():
+            x.discard(t)
+            if rng.random() < 0.8:
+                x.add(int(rng.integers(0, 40) if rng.random() < 0.5 else rng.integers(10**6, 10**7)))
+        sets[i] = x
+    live = spark.createDataFrame([(i % 3 if i % 7 else 9, i, i) for i in sets] + [(i % 3, i, i) for i in sets if i % 7 == 0], "bucket long, node long, comp long")
+    found = similar._difference_pairs(live, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, shingles array<long>"), 0.8)
+    got = {(r["a"], r["b"]) for r in found.collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    # links between texts that both reach the share with a hub may be missing: they are one class through it
+    root = {i: i for i in sets}
+    for pairs in (got & alike, alike):
+        before = dict(root)
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        if pairs is alike:
+            assert root == before
+    assert len(got) < len(sets) * (len(sets) - 1) / 4
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_similar_groups_against_all_pairs(spark, monkeypatch, rounds):
     import corpus_pipeline
@@ -170,6 +199,46 @@ def test_sentencepiece_against_the_library(spark):
     assert ours.trellis.encode("x" * 20000) and ours.trellis.widest < 200  # the window stays bounded
 
 
+def test_score_sums_against_a_plain_dynamic_program():
+    """The trellis of a unigram model: many paths compete in the window, and the best sum wins."""
+    encoder = Encoder(f"{TOKENIZERS}/piece_bpe_32k.model")
+    v = encoder.vocabulary
+    rng = np.random.default_rng(9)
+    trellis = StreamingViterbi(v, bpe=False)
+    for text in ["the information of international cooperation" * 20, "aaaaaaaaab" * 30, "é한x" * 10, "", *["".join(rng.choice(list("abet ing"), 300)) for _ in range(5)]]:
+        best = [(0.0, ())] + [None] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - v.longest), end):
+                piece = text[start:end]
+                score = v.score.get(piece, trellis.lowest if len(piece) == 1 and piece not in v.id else None)
+                if score is not None and best[start] is not None and (best[end] is None or best[start][0] + score > best[end][0]):
+                    best[end] = (best[start][0] + score, (*best[start][1], piece))
+        got = list(trellis.pieces(text))
+        assert "".join(v.text[i] if i >= 0 else chr(-2 - i) for i in got) == text
+        total = sum(v.score[v.text[i]] if i >= 0 else trellis.lowest for i in got)
+        assert abs(total - best[len(text)][0]) < 1e-6
+    assert trellis.widest < 64 + 2 * v.longest
+
+
+def test_a_copy_finds_the_others_and_a_huge_row_hides_nothing(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(400, 8))
+    v[100:160] = v[5]
+    v[399] = 1e12
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = build_index(df)
+    got = {}
+    for r in search(index, df.where("vec_id in (150, 7, 399)"), k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got[150] == [(i, 0.0) for i in [5, *range(100, 109)]]
+    for q in (7, 399):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        assert [i for i, _ in got[q]] == [i for i in np.lexsort((np.arange(400), d)) if i != q][:10]
+    with pytest.raises(ValueError):
+        search(index, df, k=11)
+
+
 def test_neighbours_find_nearly_all(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(1500, 16))
@@ -225,6 +294,33 @@ def test_personal_data(spark):
     assert "MapInPandas" not in (plan := found._jdf.queryExecution().toString()) and "Python" not in plan
 
 
+def test_patterns_are_scored_against_all_their_occurrences(spark):
+    """Seeds after a common word make it no pattern; a pattern with a sign is one; what it discovers seeds the next; key shapes are seeds."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    cards = ["4111111111111111", "4012888888881881", "5555555555554444"]
+    texts = [f"the {c} and the word and the other of the same" for c in cards] + [f'here token = "{k}" ends' for k in keys]
+    shared = ["zz-1234-q", "AB-10001", "EF-30003", "IJ-50005"]
+    texts += [f'here token = "{v}" ends' for v in shared] + [f"staff no: {v}" for v in [*shared, "GH-40004"]] + ["badge: nothing", "room: 5555 5"]
+    rows = {r["text"]: r["s"] for r in find_personal_data(docs_of(spark, texts)).select("text", joined(F.col("pii_spans")).alias("s")).collect()}
+    assert all("id:" not in rows[t] for t in texts[:3]) and all("id:14:54" in rows[t] for t in texts[3:11])
+    assert rows['here token = "zz-1234-q" ends'] == "id:14:23" and rows["staff no: GH-40004"] == "id:10:18" and rows["room: 5555 5"] == ""
+    # "staff no: " has no seed of its own: its values are those that the other patterns discovered
+    edges = spark.createDataFrame([("p", "a", True, 1), ("p", "b", True, 1), ("p", "c", True, 1), ("p", "d", False, 1), ("q", "d", False, 3), ("q", "e", False, 1), ("w", "a", True, 2), ("w", "b", True, 1), ("w", "c", True, 1)], "pattern string, value string, seed boolean, n long")
+    totals = spark.createDataFrame([("p", 4), ("q", 4), ("w", 100)], "pattern string, total long")
+    got = {r["pattern"]: (round(r["score"], 9), r["n_seeds"]) for r in trusted_patterns(edges, totals, min_score=0.5, min_seeds=1, prior=1.0).collect()}
+    assert set(got) == {"p", "q"} and got["q"][0] == round(3 / 5, 9)
+
+
+def test_pattern_totals(spark, monkeypatch):
+    from caseflow.llm import pii
+
+    texts = spark.createDataFrame([('The token = "x" and token="y", token: z. the THE (the',), (None,)], "t string")
+    wanted = spark.createDataFrame([("the ",), ('token = "',), ('token="',), ("token: ",), ("none ",)], "pattern string")
+    for limit in (pii.BROADCAST_PATTERNS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_PATTERNS", limit)
+        assert {r["pattern"]: r["total"] for r in pattern_totals(texts, wanted).collect()} == {"the ": 4, 'token = "': 1, 'token="': 1, "token: ": 1}
+
+
 def test_labels_are_not_used_up_by_words(spark):
     texts = {
         "my badge: 12345": [("badge: ", "12345")],
