@@ -78,7 +78,7 @@ SIGNATURES = r"""
 90 wtfpl 0.95 everyone everyone is permitted to copy and distribute verbatim or modified copies
 90 epl-2 0.95 eclipse this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2 0
 90 epl-1 0.95 eclipse this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0
-90 cddl-1 0.95 cddl the contents of this file are subject to the terms of the common development and distribution license
+90 cddl-1 0.95 common the contents of this file are subject to the terms of the common development and distribution license
 90 artistic-1 0.9 package the intent of this document is to state the conditions under which a package may be copied
 90 ofl-1.1 0.95 font this font software is licensed under the sil open font license version 1 1
 90 cc0 0.9 waive to the extent possible under law (?:[a-z0-9]+ ){1,8}has waived all copyright and related or neighboring rights
