@@ -64,9 +64,9 @@ def canonical_hash(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
 
 
-def max_page_number(html: Column) -> Column:
-    """The largest N of movePage(N) links, 1 if there is none."""
-    pages = F.transform(F.regexp_extract_all(html, F.lit(r"movePage\((\d+)\)"), F.lit(1)), lambda p: p.cast("int"))
+def max_page_number(html: Column, *, pattern: str = r"movePage\((\d+)\)") -> Column:
+    """The largest number of a page's links, 1 if there is none."""
+    pages = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda p: p.cast("int"))
     return F.coalesce(F.array_max(pages), F.lit(1))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.operators.routing import best_matches, top_terms
+from caseflow.operators.terms import matched_terms
+
 #: Target language, nationality code, legacy alias.
 LANGUAGES = [
     ("en", None, None), ("zh-Hans", "CN", None), ("vi", "VN", "vn"), ("th", "TH", None), ("fil", "PH", "ph"), ("id", "ID", None), ("mn", "MN", None), ("si", "LK", "lk"),
@@ -55,23 +58,19 @@ def missing_slots(cases: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def match_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text_id, term_id, term) for terms that occur in a text; the dictionary is a dimension and Spark decides by its size whether to broadcast it."""
-    return texts.join(terms, F.contains(texts["text"], terms["term"])).select("text_id", "term_id", "term")
+    """(text_id, term_id, term) for terms (term_id, term) that occur in a text."""
+    return matched_terms(texts, terms).select("text_id", "term_id", "term")
 
 
 def select_terms(matches: DataFrame, *, limit: int = 10) -> DataFrame:
     """The first terms of each text, longest first, then by alphabet."""
-    order = Window.partitionBy("text_id").orderBy(F.desc(F.length("term")), "term")
-    return matches.withColumn("at", F.row_number().over(order)).where(F.col("at") <= limit)
+    return top_terms(matches, limit=limit)
 
 
 def route_workflow(texts: DataFrame, terms: DataFrame, *, default: str) -> DataFrame:
     """(text_id, workflow_id): greatest total length of matched terms, then earliest match, then greatest id; the default without a match."""
-    folded = texts.select("text_id", F.lower(F.regexp_replace("text", r"(?U)\s+", "")).alias("folded"))
-    found = folded.join(terms, F.contains("folded", "term"))
-    scores = found.groupBy("text_id", "workflow_id").agg(F.sum(F.length("term")).alias("score"), F.min(F.expr("locate(term, folded)")).alias("at"))
-    best = scores.groupBy("text_id").agg(F.max_by("workflow_id", F.struct("score", -F.col("at"), "workflow_id")).alias("workflow_id"))
-    return texts.select("text_id").join(best, "text_id", "left").withColumn("workflow_id", F.coalesce("workflow_id", F.lit(default)))
+    best = best_matches(texts.select("text_id", "text"), terms)
+    return texts.select("text_id").join(best, "text_id", "left").select("text_id", F.coalesce("best", F.lit(default)).alias("workflow_id"))
 
 
 def check_transitions(history: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.functions.fields import known_label
+
 
 def label_blank_pairs(cells: DataFrame) -> DataFrame:
     """Labels whose next cell in the row is blank; labels are not empty, don't start with a filled square and have at most 100 characters."""
     order = Window.partitionBy("doc_id", "table_id", "row").orderBy("column")
     rows = cells.withColumns({"next_text": F.lead("text").over(order), "next_column": F.lead("column").over(order)})
     label = F.trim("text")
-    return rows.where((label != "") & ~label.startswith("■") & (F.length(label) <= 100) & (F.trim("next_text") == "")).select("doc_id", "table_id", "row", label.alias("label"), F.col("next_column").alias("column"))
+    return rows.where((label != "") & ~label.startswith("■") & (F.length(label) <= 100) & (F.trim("next_text") == "")).select("doc_id", "table_id", "row", label.alias("label"), F.col("column").alias("label_column"), F.col("next_column").alias("column"))
 
 
 def character_grids(cells: DataFrame, *, least: int = 4) -> DataFrame:
@@ -43,6 +45,24 @@ def manifest_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("paragraph", "table", "image")])
 
 
+def same_shape(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The counts of ``before`` with same_shape: whether ``after`` has the same of every kind; a document that is not in both has not."""
+    kinds = [c for c in before.columns if c != "doc_id"]
+    other = after.select("doc_id", *[F.col(c).alias(f"after_{c}") for c in kinds])
+    same = F.lit(True)
+    for c in kinds:
+        same = same & (F.col(c) == F.col(f"after_{c}"))
+    return before.join(other, "doc_id", "left").select("doc_id", *kinds, F.coalesce(same, F.lit(False)).alias("same_shape"))
+
+
+def known_label_cells(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_id, row, column, label): cells that hold a known label and are in no label-and-blank pair."""
+    pairs = label_blank_pairs(cells)
+    used = pairs.select("doc_id", "table_id", "row", F.explode(F.array("column", "label_column")).alias("column")).distinct()
+    rows = cells.withColumn("label", known_label(F.trim("text"))).where("label is not null")
+    return rows.join(used, ["doc_id", "table_id", "row", "column"], "left_anti").select("doc_id", "table_id", "row", "column", "label")
+
+
 def current_plan(plans: DataFrame) -> DataFrame:
     """Adds is_current and superseded_at: the newest plan of a document stands, an older one ends when the next is made."""
     order = Window.partitionBy("doc_id").orderBy("created_at", "plan_id")

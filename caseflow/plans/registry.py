@@ -18,16 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw phrases: the first two lines of a document as source and translation."""
+    """Raw phrases: all lines of a document in pairs, source and translation."""
     docs = _table(spark, sf_dir, "documents")
-    lines = F.split("text", "\n", 3)
+    lines = F.split("text", "\n")
+    pair = lambda i: F.struct(F.element_at("lines", i).alias("korean"), F.coalesce(F.try_element_at("lines", i + 1), F.lit("")).alias("foreign_translation"))
     code = F.when(F.col("lang") == "en", "01").when(F.col("lang") == "de", "02").when(F.col("lang") == "es", "03").otherwise("99")
-    return docs.select(code.alias("lang_code"), (F.col("doc_id") % 40).cast("string").alias("page"), lines[0].alias("korean"), F.coalesce(F.get(lines, 1), F.lit("")).alias("foreign_translation"))
+    rows = docs.select(code.alias("lang_code"), (F.col("doc_id") % 40).cast("string").alias("page"), lines.alias("lines"))
+    return rows.select("lang_code", "page", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines"), F.lit(2)), pair)).alias("p")).select("lang_code", "page", "p.*")
 
 
-_RAW_SQL = r"""raw as (select case lang when 'en' then '01' when 'de' then '02' when 'es' then '03' else '99' end as lang_code, (doc_id % 40) as page,
-  regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^[\s\x{0B}\x{85}\p{Z}]+', ''), '[\s\x{0B}\x{85}\p{Z}]+$', '') as korean_text,
-  regexp_replace(regexp_replace(coalesce(split_part(text, chr(10), 2), ''), '^[\s\x{0B}\x{85}\p{Z}]+', ''), '[\s\x{0B}\x{85}\p{Z}]+$', '') as translated_text from documents),
+_RAW_SQL = r"""split as (select lang, doc_id, string_split(text, chr(10)) as l from documents), pairs as (select lang, doc_id, l, unnest(range(1, len(l) + 1, 2)) as i from split),
+raw as (select case lang when 'en' then '01' when 'de' then '02' when 'es' then '03' else '99' end as lang_code, (doc_id % 40) as page,
+  regexp_replace(regexp_replace(l[i], '^[\s\x{0B}\x{85}\p{Z}]+', ''), '[\s\x{0B}\x{85}\p{Z}]+$', '') as korean_text,
+  regexp_replace(regexp_replace(coalesce(l[i + 1], ''), '^[\s\x{0B}\x{85}\p{Z}]+', ''), '[\s\x{0B}\x{85}\p{Z}]+$', '') as translated_text from pairs),
 marked as (select *, case when lang_code = '99' then 'invalid_language' when page <= 0 then 'invalid_page' when korean_text = '' then 'blank_source' when translated_text = '' then 'blank_translation' end as reject_reason from raw)"""
 
 
@@ -49,7 +52,7 @@ def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANK_SQL = """ranked as (select *, row_number() over (partition by request_id, query_kind order by score desc, point_id) - 1 as rank from
   (select user_id as request_id, event_type as query_kind, event_id % 97 as point_id, max(value) as score from events group by all) qualify rank < 40)"""
-_FUSED_SQL = (
+FUSED_SQL = (
     _RANK_SQL
     + """, fused as (select request_id, point_id, min(rank) as best_rank, list_sum(list(1.0::double / (60.0 + rank) order by query_kind)) as score, string_agg(query_kind, ',' order by query_kind) as query_kinds
   from ranked group by all), top as (select *, row_number() over (partition by request_id order by score desc, best_rank, point_id) - 1 as rank from fused qualify rank < 30)"""
@@ -69,7 +72,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Retrieved lists from fused rankings; a user's relevant points are those of its purchases and clicks by size."""
     retrieved = retrieval.rrf_fuse(_rankings(spark, sf_dir)).select(F.col("request_id").alias("case_id"), "point_id", (F.col("rank") + 1).alias("pos"))
     graded = _table(spark, sf_dir, "events").where("value > 0").groupBy(F.col("user_id").alias("case_id"), (F.col("event_id") % 97).alias("point_id"))
-    return retrieved, graded.agg(F.least(F.count("*"), F.lit(3)).cast("int").alias("grade")).where("point_id % 3 = 0")
+    return retrieved, graded.agg(F.least(F.count("*"), F.lit(3)).cast("int").alias("grade"))
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +84,8 @@ def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _METRICS_SQL = (
-    _FUSED_SQL
-    + """, rel as (select user_id as case_id, event_id % 97 as point_id, least(count(*), 3) as grade from events where value > 0 and (event_id % 97) % 3 = 0 group by all),
+    FUSED_SQL
+    + """, rel as (select user_id as case_id, event_id % 97 as point_id, least(count(*), 3) as grade from events where value > 0 group by all),
 got as (select request_id as case_id, top.point_id, rank + 1 as pos, coalesce(grade, 0) as grade from top left join rel on rel.case_id = request_id and rel.point_id = top.point_id),
 seen as (select case_id, sum((grade > 0 and pos <= 5)::int) h5, sum((grade > 0 and pos <= 10)::int) h10, sum((grade > 0 and pos <= 30)::int) h30, max(case when grade > 0 and pos <= 10 then 1.0::double / pos end) as mrr,
   sum(case when pos <= 10 then round((2.0::double ** grade - 1) / log2(pos + 1.0::double) * 1e9)::bigint else 0 end) as dcg, least(count(*), 5) as shown from got group by 1),
@@ -96,7 +99,7 @@ cases as (select coalesce(seen.case_id, best.case_id) as case_id, coalesce(case
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("dense"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("dense"))
     found = retrieval.dense_topk(vectors.select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("dense")), queries)
     return found.select("request_id", "point_id", F.col("rank").cast("long").alias("rank"))
 
@@ -186,7 +189,7 @@ def rollup_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return corpus.snapshot_conflicts(docs.select(F.substring("text", 1, 6).alias("name"), F.sha2("text", 256).alias("fingerprint")))
+    return corpus.snapshot_conflicts(docs.select(F.concat_ws("/", "lang", "source").alias("name"), F.sha2("text", 256).alias("fingerprint")))
 
 
 def language_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +197,9 @@ def language_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_page_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest page number of the links in a page and its address."""
     pages = _table(spark, sf_dir, "pages")
-    linked = F.concat("html", F.lit('<a href="javascript:movePage('), (F.col("page_id") % 17).cast("string"), F.lit(')">'), F.lit("movePage(3)"))
-    return pages.select("page_id", fx.max_page_number(linked).cast("long").alias("pages"))
+    return pages.select("page_id", fx.max_page_number(F.concat("url", F.lit(" "), "html"), pattern=r"[?&]page=(\d{1,9})").cast("long").alias("pages"))
 
 
 QUERIES = {
@@ -213,10 +216,10 @@ ORACLE_SQL = {
     "clean_phrases": f"with {_RAW_SQL} select lang_code, korean_text, translated_text, sha256(to_json([lang_code, korean_text, translated_text])::varchar) as content_hash, min(page) as page, count(*) - 1 as duplicates from marked where reject_reason is null group by 1, 2, 3",
     "clean_summary": f"with {_RAW_SQL}, good as (select count(*) - 1 as d from marked where reject_reason is null group by lang_code, korean_text, translated_text), s as (select reject_reason as reason, count(*) as n from marked where reject_reason is not null group by 1 union all select 'usable', count(*) from good union all select 'duplicate', sum(d)::bigint from good) select * from s where n > 0",
     "rank_candidates": f"with {_RANK_SQL} select request_id, query_kind, point_id, score, rank from ranked",
-    "rrf_fuse": f"with {_FUSED_SQL} select request_id, point_id, best_rank, round(score, 9) as score, query_kinds from top",
+    "rrf_fuse": f"with {FUSED_SQL} select request_id, point_id, best_rank, round(score, 9) as score, query_kinds from top",
     "retrieval_metrics": f"with {_METRICS_SQL} select * from cases",
     "retrieval_report": f"with {_METRICS_SQL} select count(*) as n_cases, round(avg(recall_5), 6) as recall_5, round(avg(recall_10), 6) as recall_10, round(avg(recall_30), 6) as recall_30, round(avg(mrr_10), 6) as mrr_10, round(avg(ndcg_10), 6) as ndcg_10, round(avg(precision_5), 6) as precision_5 from cases",
-    "dense_topk": "select q.vec_id as request_id, p.vec_id as point_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], p.embedding::double[]) desc, p.vec_id) - 1 as rank from embeddings q, embeddings p where q.vec_id % 50 = 0 qualify rank < 40",
+    "dense_topk": "select q.vec_id as request_id, p.vec_id as point_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], p.embedding::double[]) desc, p.vec_id) - 1 as rank from embeddings q, embeddings p where q.vec_id % 20 = 0 qualify rank < 40",
     "sparse_topk": "with p as (select conv_id * 1000 + turn as point_id, w as idx, count(*) as w from (select conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as w from conversations) where length(w) > 4 group by all), s as (select q.point_id as request_id, p.point_id, sum(q.w * p.w)::bigint as score from p q join p on q.idx = p.idx where q.point_id % 1000 = 0 group by all) select *, row_number() over (partition by request_id order by score desc, point_id) - 1 as rank from s qualify rank < 40",
     "latency_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1",
     "resolve_language": """with l(c, n, a) as (values ('en', null, null), ('zh-Hans', 'CN', null), ('vi', 'VN', 'vn'), ('th', 'TH', null), ('fil', 'PH', 'ph'), ('id', 'ID', null), ('mn', 'MN', null), ('si', 'LK', 'lk'), ('ru', 'RU', null), ('uz', 'UZ', null), ('ky', 'KG', 'kg'), ('bn', 'BD', 'bd'), ('ur', 'PK', 'pk'), ('km', 'KH', 'kh'), ('tet', 'TL', 'tl')),
@@ -234,7 +237,7 @@ ORACLE_SQL = {
     "attempt_sequence": "select o_orderkey as attempt_id, row_number() over w as sequence, (sum((o_orderstatus != 'F')::int) over w)::bigint as counted, sum((o_orderstatus != 'F')::int) over w > 2 as needs_human from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)",
     "best_ocr_field": "select user_id as doc_id, event_type as name, props as text, round(value, 1) as confidence from events qualify row_number() over (partition by user_id, event_type order by round(value, 1) desc, event_id desc) = 1",
     "rollup_verdict": "select l_orderkey as doc_id, case when max(l_quantity) > 49 then 'FAIL' when max(l_quantity) > 40 then 'NEEDS_HUMAN' else 'PASS' end as verdict from lineitem group by 1",
-    "snapshot_conflicts": "select substring(text, 1, 6) as name, count(distinct text) as n_fingerprints from documents group by 1 having count(distinct text) > 1",
+    "snapshot_conflicts": "select lang || '/' || source as name, count(distinct text) as n_fingerprints from documents group by 1 having count(distinct text) > 1",
     "language_coverage": "select lang as target_language, count(*) as n_cases, count(distinct source) as n_scenarios from documents group by 1",
-    "max_page_number": "select page_id, greatest(page_id % 17, 3) as pages from pages",
+    "max_page_number": r"select page_id, coalesce(list_max(list_transform(regexp_extract_all(url || ' ' || html, '[?&]page=(\d{1,9})', 1), lambda x: x::bigint)), 1) as pages from pages",
 }

@@ -16,8 +16,14 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, *, files_per
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caseflow-stream-")).rstrip("/")
+    """``spark.checkpoint.dir``; a temporary folder in a local session where that is unset, an error on a cluster, which has no folder to fall back to."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="caseflow-stream-")
+    return found.rstrip("/")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
