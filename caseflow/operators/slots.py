@@ -226,3 +226,14 @@ def upsert_identity_slots(saves: DataFrame, workers: DataFrame) -> DataFrame:
     held = workers.join(maps, "worker_id", "left")
     keep = F.map_filter(F.coalesce("slots", no_slots()), lambda k, v: ~F.map_contains_key(F.coalesce("saved", no_slots()), k))
     return held.withColumn("slots", F.map_concat(keep, F.coalesce("saved", no_slots()))).drop("saved")
+
+
+def analyze_phase(requests: DataFrame) -> DataFrame:
+    """Adds status and keys to requests (phase, intent, required_slots, slots; no slots: no worker): out of scope; a PLAN gives the keys to ask for; an ANALYZE has no worker,
+    lacks keys (which are asked for) or is a candidate."""
+    none = F.array().cast("array<string>")
+    missing = F.array_except("required_slots", F.map_keys(F.map_filter(F.coalesce("slots", no_slots()), lambda k, v: _truthy(v))))
+    outside, plan = F.coalesce(F.col("intent") == "OUT_OF_SCOPE", F.lit(False)), F.col("phase") == "PLAN"
+    status = F.when(outside, "OUT_OF_SCOPE").when(plan, "PLANNED").when(F.col("slots").isNull(), "NO_WORKER").when(F.size(missing) > 0, "NEEDS_INFO").otherwise("CANDIDATE")
+    keys = F.when(outside, none).when(plan, F.col("required_slots")).when(F.col("slots").isNull(), none).otherwise(missing)
+    return requests.withColumn("status", status).withColumn("keys", keys)
