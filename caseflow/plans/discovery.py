@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import requests as fr
 from caseflow.operators import discovery, slots
 from caseflow.plans.common import CELLS_SQL, cells, joined, pick, sql_list, table
+from caseflow.sources import packages
 
 O = F.col("o_orderkey")
 INLINE = ["서명: (서명 또는 인)", "2024년 3월 5일부터 년 월 일까지", "[ ]남 M [ ]여 F", "미취학[ ]", "(희망 자격 :      )", "금액 (     )원", "사업자등록번호 2024. 1. 2 □", "plain"]
@@ -92,11 +94,50 @@ def analyze_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.analyze_phase(rows).select("request_id", "status", joined("keys").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (segment_fields, inline_fields, field_union, unique_anchor, apply_typed_op, target_name, english_terms, request_contracts, parse_replies, analyze_phase)}
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as zipped forms: a paragraph for each line and a table of language and source; some lack a part, some are no packages."""
+
+    @F.pandas_udf("binary")
+    def zipped(ids: pd.Series, texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        out = []
+        for i, text, lang, source in zip(ids, texts, langs, sources, strict=True):
+            if i % 7 == 0:
+                out.append(text.encode())
+                continue
+            body = "".join(f"<p><t>{escape(line)}</t></p>" for line in text.split("\n"))
+            table_of = "".join(f'<tc><cellAddr rowAddr="2" colAddr="{k}"/><t>{escape(v)}</t></tc>' for k, v in enumerate((lang, source)))
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as archive:
+                for name, data in (("mimetype", "application/hwp+zip"), ("Contents/content.hpf", "<x/>"), ("Contents/header.xml", "<x/>"), ("Contents/section0.xml", f'<s xmlns="urn:s">{body}<tbl><tr>{table_of}</tr></tbl></s>')):
+                    if not (name == "mimetype" and i % 5 == 0):
+                        archive.writestr(name, data)
+            out.append(buffer.getvalue())
+        return pd.Series(out, dtype="object")
+
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), zipped("doc_id", "text", "lang", "source").alias("content"))
+
+
+def package_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packages.extract_package_tables(_packages(spark, sf_dir))
+    is_cell = F.col("kind") == "cell"
+    return rows.groupBy("path").agg(F.count_if(~is_cell).alias("n_paragraphs"), F.count_if(is_cell).alias("n_cells"), F.sum(F.length("text")).alias("letters"), F.max(F.when(is_cell, F.col("row_addr"))).cast("long").alias("row_addr"), F.max_by("text", F.when(is_cell, F.col("column"))).alias("last_cell"))
+
+
+def package_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages.validate_packages(_packages(spark, sf_dir)).select("path", "valid", joined("errors").alias("errors"), F.col("fingerprint").isNotNull().alias("has_print"))
+
+
+QUERIES = {f.__name__: f for f in (package_tables, package_checks, segment_fields, inline_fields, field_union, unique_anchor, apply_typed_op, target_name, english_terms, request_contracts, parse_replies, analyze_phase)}
 
 _SEG = """values (0, 'signature', 0, '(서명 또는 인)'), (1, 'date', 0, '년 3월 5일'), (2, 'checkbox', 0, '[ ]'), (2, 'checkbox', 7, '[ ]'), (3, 'checkbox', 3, '[ ]'), (6, 'number', 0, '사업자등록번호'), (6, 'date', 0, '2024. 1. 2'), (6, 'checkbox', 19, '□')"""
 _INL = """values (0, 'signable', 4, '(서명 또는 인)'), (1, 'date_inline', 0, '날짜 입력 영역'), (1, 'date_inline', 14, '날짜 입력 영역'), (2, 'checkbox_group', 0, '남 M / 여 F'), (3, 'checkbox', 0, '미취학'), (4, 'placeholder', 0, '희망 자격'), (5, 'amount', 3, '금액 입력 영역')"""
 ORACLE_SQL = {
+    "package_tables": "select doc_id::varchar as path, len(string_split(text, chr(10))) as n_paragraphs, 2 as n_cells, (length(replace(text, chr(10), '')) + length(lang) + length(source))::bigint as letters, 2 as row_addr, source as last_cell from documents where doc_id % 7 != 0 and doc_id % 5 != 0",
+    "package_checks": "select doc_id::varchar as path, doc_id % 7 != 0 and doc_id % 5 != 0 as valid, case when doc_id % 7 = 0 then 'NOT_A_PACKAGE' when doc_id % 5 = 0 then 'PART_MISSING:mimetype' else '' end as errors, doc_id % 7 != 0 and doc_id % 5 != 0 as has_print from documents",
     "segment_fields": f"with s(i, kind, at_, anchor) as ({_SEG}) select o_orderkey as \"row\", kind, at_::bigint as \"at\", anchor from orders join s on o_orderkey % 8 = i",
     "inline_fields": f"with s(i, kind, at_, label) as ({_INL}) select o_orderkey as \"row\", kind, at_::bigint as \"at\", label from orders join s on o_orderkey % 8 = i",
     "field_union": f"""with {CELLS_SQL}, off as (select doc_id, min("row") as sr from cells where text = '결재' group by 1), c as (select cells.* from cells left join off using (doc_id) where sr is null or "row" < sr),
