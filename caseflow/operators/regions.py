@@ -109,6 +109,22 @@ def nearest_input_region(labels: DataFrame, blanks: DataFrame) -> DataFrame:
     return best.select("doc_id", "page", "label_id", "best.cell_id", F.when(F.col("best.side") == 0, "below").otherwise("right").alias("relation"))
 
 
+def reconcile_fields(fields: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(doc_id, field_id, kind, target, relation, ambiguous): fields (doc_id, field_id, kind, label_id, target) moved to where ``nearest_input_region`` finds their input.
+
+    Blank cells and split dates move; other fields that point at a date's input go; of fields of one kind at one target the one with the better relation stays (below, right,
+    none), ties to the smaller id, and is ambiguous if several labels led there.
+    """
+    moved = fields.join(nearest.select("doc_id", "label_id", "cell_id", "relation"), ["doc_id", "label_id"], "left")
+    moves = F.col("kind").isin("blank", "date_segments") & F.col("cell_id").isNotNull()
+    placed = moved.select("doc_id", "field_id", "kind", "label_id", F.when(moves, F.col("cell_id")).otherwise(F.col("target")).alias("target"), F.when(moves, F.col("relation")).alias("relation"))
+    dates = placed.where("kind = 'date_segments'").select("doc_id", "target").distinct()
+    kept = placed.where("kind = 'date_segments'").unionByName(placed.where("kind != 'date_segments'").join(dates, ["doc_id", "target"], "left_anti").select(*placed.columns))
+    rank = F.when(F.col("relation") == "below", 2).when(F.col("relation") == "right", 1).otherwise(0)
+    found = kept.groupBy("doc_id", "kind", "target").agg(F.max_by(F.struct("field_id", "relation"), F.struct(rank, -F.col("field_id"))).alias("best"), (F.count_distinct("label_id") > 1).alias("ambiguous"))
+    return found.select("doc_id", "best.field_id", "kind", "target", "best.relation", "ambiguous")
+
+
 def union_regions(regions: DataFrame) -> DataFrame:
     """(doc_id, field_id, page, region): the box around a field's regions on a page, as ``page_00N:x0,y0,x1,y1`` in whole units."""
     whole = regions.groupBy("doc_id", "field_id", "page").agg(F.floor(F.min("x0")).alias("x0"), F.floor(F.min("y0")).alias("y0"), F.ceil(F.max("x1")).alias("x1"), F.ceil(F.max("y1")).alias("y1"))

@@ -41,6 +41,20 @@ def catalog(spark) -> DataFrame:
     return spark.createDataFrame(CATALOG, "workflow_id string, intent string, sensitivity string, required_slots array<string>, context_slots array<string>")
 
 
+def read_catalog(spark, path: str | None = None) -> DataFrame:
+    """The catalog of an exported JSON array (fields as in ``catalog``); without a path the built-in one. Rows without an id are left out, missing lists are empty."""
+    if path is None:
+        return catalog(spark)
+    rows = spark.read.schema("workflow_id string, intent string, sensitivity string, required_slots array<string>, context_slots array<string>").json(path, multiLine=True)
+    none = F.array().cast("array<string>")
+    return rows.where("workflow_id is not null").withColumns({c: F.coalesce(c, none) for c in ("required_slots", "context_slots")})
+
+
+def slot_table(workflows: DataFrame, column: str = "required_slots") -> DataFrame:
+    """(workflow_id, pos, slot) of a catalog's lists, in their order."""
+    return workflows.select("workflow_id", F.posexplode(column).alias("pos", "slot"))
+
+
 def lookup_workflow(requests: DataFrame, workflows: DataFrame) -> DataFrame:
     """Requests with their catalog row; unknown ids have nulls. The catalog is a dimension of a few rows."""
     return requests.join(F.broadcast(workflows), "workflow_id", "left")

@@ -66,6 +66,14 @@ def nearest_input_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.nearest_input_region(boxes.where("id % 2 = 0").withColumnRenamed("id", "label_id"), boxes.where("id % 2 = 1").withColumnRenamed("id", "cell_id"))
 
 
+def reconcile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as fields of three kinds that point at a third of the cells."""
+    found = nearest_input_region(spark, sf_dir)
+    i = F.col("id")
+    fields = _boxes(spark, sf_dir).where("id % 2 = 0").select("doc_id", i.alias("field_id"), i.alias("label_id"), F.when(i % 6 == 0, "date_segments").when(i % 6 == 2, "blank").otherwise("checkbox").alias("kind"), (i % 300).alias("target"))
+    return regions.reconcile_fields(fields, found)
+
+
 def union_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _boxes(spark, sf_dir).withColumn("field_id", F.col("id") % 40).withColumn("x0", F.col("x0") + 0.25).withColumn("x1", F.col("x1") + 0.25)
     return regions.union_regions(rows)
@@ -300,7 +308,7 @@ def verify_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        official_region, date_triplets, label_to_left, next_existing_row, spatial_below, prefer_spatial, known_labels, overlap_regions, nearest_input_region, union_regions, zip_cells_regions, review_regions, compare_pages, check_typed_edits, check_evidence,
+        official_region, date_triplets, label_to_left, next_existing_row, spatial_below, prefer_spatial, known_labels, overlap_regions, nearest_input_region, reconcile_fields, union_regions, zip_cells_regions, review_regions, compare_pages, check_typed_edits, check_evidence,
         check_expected_changes, manifest_counts, active_approval, finalizable_documents, attempt_document_status, check_plan, validate_edit_inputs, verify_integrity, progress_timeline, hybrid_fuse_store, assign_cells, map_template_fields, fill_by_label,
         mark_options, bulk_replace, kv_records, html_rows, detect_format, embedded_refs, resolve_snapshot, identify_template, verify_artifacts,
     )
@@ -313,6 +321,10 @@ _SPACE = f"""{CELLS_SQL}, sc as (select doc_id, "row", "column", case when "colu
 sp as (select s.doc_id, s."row" as label_row, s."column" as label_column, t."row", min(t."column") as "column" from sc s join nx on nx.doc_id = s.doc_id and nx."row" = s."row" join sc t on t.doc_id = s.doc_id and t."row" = nr and t."column" in (s."column", s."column" - 1) and t.text = '' where s.text = '성명' group by 1, 2, 3, 4)"""
 _ADJ = """adj as (select * from (select doc_id, "row" as label_row, "column" as label_column, text, lead(text) over w as nt, lead("column") over w as nc from cells window w as (partition by doc_id, "row" order by "column")) where text != '' and nt = '')"""
 _NEXT_TO = "greatest(0, least({a1}, {b1}) - greatest({a0}, {b0}))"
+_NEAREST = f"""with {_BOXES}, j as (select a.doc_id, a.page, a.id as label_id, r.id as cell_id, {_NEXT_TO.format(a0='a.x0', a1='a.x1', b0='r.x0', b1='r.x1')} / greatest(1, least(a.x1 - a.x0, r.x1 - r.x0)) as across, {_NEXT_TO.format(a0='a.y0', a1='a.y1', b0='r.y0', b1='r.y1')} / greatest(1, least(a.y1 - a.y0, r.y1 - r.y0)) as along, r.y0 - a.y1 as down, r.x0 - a.x1 as beside,
+  least(a.x1 - a.x0, r.x1 - r.x0) / greatest(1, a.x1 - a.x0, r.x1 - r.x0) as sw, least(a.y1 - a.y0, r.y1 - r.y0) / greatest(1, a.y1 - a.y0, r.y1 - r.y0) as sh from b a join b r on a.doc_id = r.doc_id and a.page = r.page and a.id % 2 = 0 and r.id % 2 = 1),
+k as (select *, across >= 0.6 and down between -0.5 and 3 as is_below, along >= 0.6 and beside between -0.5 and 3 as is_right from j), o as (select *, row_number() over (partition by doc_id, page, label_id order by case when is_below then -sw else -sh end, case when is_below then down else beside end, case when is_below then -across else -along end, not is_below, cell_id) as rn from k where is_below or is_right)
+select doc_id, page, label_id, cell_id, case when is_below then 'below' else 'right' end as relation from o where rn = 1"""
 ORACLE_SQL = {
     "official_region": f"""with {CELLS_SQL}, s as (select doc_id, min("row") as start_row from cells where text = '결재' group by 1) select doc_id, start_row, count(*) as n_cells from cells join s using (doc_id) where "row" >= start_row group by 1, 2""",
     "date_triplets": f"""with {CELLS_SQL}, a as (select doc_id, "row", min(case when contains(text, 'yyyy') then "column" end) as y, min(case when contains(text, 'mm') then "column" end) as m, min(case when contains(text, 'dd') then "column" end) as d from cells group by 1, 2) select doc_id, "row", '날짜' as label, y || ',' || m || ',' || d as columns from a where y is not null and m is not null and d is not null""",
@@ -322,10 +334,11 @@ ORACLE_SQL = {
     "prefer_spatial": f'with {_SPACE}, {_ADJ} select doc_id, count(*) as n, sum(c)::bigint as columns from (select doc_id, "column" as c from sp union all select doc_id, nc from adj anti join sp using (doc_id, label_row, label_column)) group by 1',
     "known_labels": f"""with {CELLS_SQL}, n as (select *, lead(text) over w as nt, lag(text) over w as pt from cells window w as (partition by doc_id, "row" order by "column")) select doc_id, "row", "column", text as label from n where text in ('성명', '업체명') and not coalesce(nt = '', false)""",
     "overlap_regions": f"with {_BOXES} select a.doc_id, a.page, a.id as change_id, r.id as region_id from b a join b r on a.doc_id = r.doc_id and a.page = r.page and a.id % 2 = 0 and r.id % 2 = 1 and a.x0 < r.x1 and r.x0 < a.x1 and a.y0 < r.y1 and r.y0 < a.y1",
-    "nearest_input_region": f"""with {_BOXES}, j as (select a.doc_id, a.page, a.id as label_id, r.id as cell_id, {_NEXT_TO.format(a0='a.x0', a1='a.x1', b0='r.x0', b1='r.x1')} / greatest(1, least(a.x1 - a.x0, r.x1 - r.x0)) as across, {_NEXT_TO.format(a0='a.y0', a1='a.y1', b0='r.y0', b1='r.y1')} / greatest(1, least(a.y1 - a.y0, r.y1 - r.y0)) as along, r.y0 - a.y1 as down, r.x0 - a.x1 as beside,
-  least(a.x1 - a.x0, r.x1 - r.x0) / greatest(1, a.x1 - a.x0, r.x1 - r.x0) as sw, least(a.y1 - a.y0, r.y1 - r.y0) / greatest(1, a.y1 - a.y0, r.y1 - r.y0) as sh from b a join b r on a.doc_id = r.doc_id and a.page = r.page and a.id % 2 = 0 and r.id % 2 = 1),
-k as (select *, across >= 0.6 and down between -0.5 and 3 as is_below, along >= 0.6 and beside between -0.5 and 3 as is_right from j), o as (select *, row_number() over (partition by doc_id, page, label_id order by case when is_below then -sw else -sh end, case when is_below then down else beside end, case when is_below then -across else -along end, not is_below, cell_id) as rn from k where is_below or is_right)
-select doc_id, page, label_id, cell_id, case when is_below then 'below' else 'right' end as relation from o where rn = 1""",
+    "nearest_input_region": _NEAREST,
+    "reconcile_fields": f"""with near as ({_NEAREST}), {_BOXES}, f as (select doc_id, id as field_id, case id % 6 when 0 then 'date_segments' when 2 then 'blank' else 'checkbox' end as kind, id % 300 as target from b where id % 2 = 0),
+p as (select f.doc_id, field_id, kind, case when kind != 'checkbox' and cell_id is not null then cell_id else target end as target, case when kind != 'checkbox' then relation end as relation from f left join near on near.doc_id = f.doc_id and near.label_id = f.field_id),
+k as (select * from p where kind = 'date_segments' or (doc_id, target) not in (select (doc_id, target) from p where kind = 'date_segments'))
+select doc_id, field_id, kind, target, relation, count(*) over (partition by doc_id, kind, target) > 1 as ambiguous from k qualify row_number() over (partition by doc_id, kind, target order by case relation when 'below' then 2 when 'right' then 1 else 0 end desc, field_id) = 1""",
     "union_regions": f"with {_BOXES}, u as (select doc_id, id % 40 as field_id, page, floor(min(x0 + 0.25))::bigint as a, floor(min(y0))::bigint as b, ceil(max(x1 + 0.25))::bigint as c, ceil(max(y1))::bigint as d from b group by 1, 2, 3) select doc_id, field_id, page, 'page_' || lpad(page::varchar, 3, '0') || ':' || a || ',' || b || ',' || c || ',' || d as region from u",
     "zip_cells_regions": f"with {_LINES}, s as (select d as doc_id, count(*) as n_cells, sum((p % 13 != 0)::int)::bigint as n_regions, sum((p % 13 != 0 and p % 11 = 0)::int)::bigint as n_mismatched, sum((p % 13 != 0 and q > 48)::int)::bigint as n_overflowing from l group by 1) select *, case when n_cells = n_regions and n_mismatched = 0 then 'MAPPED' else 'NEEDS_HUMAN' end as status from s",
     "review_regions": f"""with {_LINES}, s as (select d as doc_id, sum((p % 17 != 0 and p % 9 = 0)::int)::bigint as n_moved, sum((p % 17 != 0 and q > 40 and q <= 45)::int)::bigint as n_new_overflow, count(distinct n % 2) as n_pages_before, count(distinct case when p % 17 != 0 then n % 2 end) as n_pages_after, sum((p % 4 = 0 and p % 17 = 0)::int)::bigint as n_unmapped, sum((p % 4 = 0 and (p % 17 = 0 or p % 8 != 0))::int)::bigint as n_hidden from l group by 1)

@@ -153,3 +153,36 @@ def test_edits_and_empty_tables(spark):
     done = fields.apply_cell_op(F.lit("replace"), F.lit("a?b?"), F.lit("v"), F.lit("?"), F.lit("<{value}>"))
     assert spark.range(1).select(done.alias("d")).first()["d"]["text"] == "a<v>b?"
     assert slots.identity_presence(spark.createDataFrame([(None, None, None)], "slots map<string,string>, ocr_fields map<string,string>, document_types array<string>")).first()["combo"] == "both_missing"
+
+
+def test_catalogs_from_files(spark, tmp_path):
+    from caseflow.operators import routing
+
+    (tmp_path / "c.json").write_text('[{"workflow_id": "W", "intent": "I", "required_slots": ["b", "a"]}, {"intent": "x"}]')
+    rows = routing.read_catalog(spark, str(tmp_path / "c.json"))
+    assert [(r["workflow_id"], r["pos"], r["slot"]) for r in routing.slot_table(rows).orderBy("pos").collect()] == [("W", 0, "b"), ("W", 1, "a")] and rows.first()["context_slots"] == []
+    assert routing.read_catalog(spark).count() == 9
+
+
+def test_packages_of_all_kinds(spark):
+    import io
+    import zipfile
+
+    from caseflow.sources import packages
+
+    def pack(section="<s><p><t>a</t></p><tbl><tr><tc><cellSpan colSpan='2'/><t>b</t><t>c</t></tc></tr></tbl><pic/></s>", **other):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for name, data in ({"mimetype": "application/hwp+zip", "Contents/content.hpf": "<x/>", "Contents/header.xml": "<x/>", "Contents/section0.xml": section} | other).items():
+                if data is not None:
+                    z.writestr(name, data)
+        return buffer.getvalue()
+
+    good = pack()
+    files = spark.createDataFrame([("good", good), ("none", None), ("text", b"x"), ("bad", pack("<s>")), ("dtd", pack("<!DOCTYPE s><s/>")), ("type", pack(mimetype="text/plain")), ("name", pack(**{"../x": "1"})), ("empty", pack(**{"Contents/section0.xml": None}))], "path string, content binary")
+    got = {r["path"]: r["errors"] for r in packages.validate_packages(files).collect()}
+    assert got == {"good": [], "none": ["NOT_A_PACKAGE"], "text": ["NOT_A_PACKAGE"], "bad": ["XML:Contents/section0.xml"], "dtd": ["XML_DECLARATION:Contents/section0.xml"], "type": ["MIMETYPE"], "name": ["UNSAFE_NAME"], "empty": ["NO_SECTION"]}
+    rows = packages.extract_package_tables(files).orderBy("kind").collect()
+    assert [(r["kind"], r["id"], r["column_span"], r["text"]) for r in rows] == [("cell", "section0.table0.row0.cell0", 2, "bc"), ("object", "section0.object0", None, "pic"), ("paragraph", "section0.paragraph0", None, "a")]
+    other = pack("<s><p><t>other words</t></p><tbl><tr><tc><cellSpan colSpan='2'/><t>b</t><t/></tc></tr></tbl><pic/></s>")
+    assert packages.layout_fingerprint(good) == packages.layout_fingerprint(other) != packages.layout_fingerprint(pack("<s/>"))
