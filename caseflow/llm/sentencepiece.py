@@ -28,7 +28,7 @@ BLANK = "▁"
 #: Boundaries that may wait in one window before convergence is looked for.
 STRIDE = 64
 #: Encoded chunks of a generation and pair verdicts kept by a worker; beyond it the memory starts anew.
-CACHE_ROWS, PAIR_ROWS = 80_000, 160_000
+CACHE_ROWS, PAIR_ROWS = 120_000, 250_000
 #: Documents encoded before their ids leave the task.
 SLICE_ROWS = 128
 
@@ -178,7 +178,42 @@ class StreamingViterbi:
             stop -= self._length(back[stop])
         return found[::-1]
 
+    def window(self, text: str) -> list[int]:
+        """The pieces of a text below a stride, which is one window: the same trellis without the search for convergence."""
+        n, root, verdict = len(text), self.endings, self.pairs.get
+        back, begin = [-1] + [None] * n, [0] * (n + 1)
+        for end in range(1, n + 1):
+            node, start = root, end
+            while start:
+                start -= 1
+                node = node.get(text[start])
+                if node is None:
+                    if start < end - 1:
+                        break
+                    node, piece = self.endings_of_none, -2 - ord(text[start])
+                else:
+                    piece = node.get(0)
+                    if piece is None:
+                        continue
+                left = back[start]
+                if left is None:
+                    continue
+                fits = verdict(left << 20 | piece) if left >= 0 <= piece else None
+                if fits or fits is None and self._open(left, piece):
+                    back[end], begin[end] = piece, start
+                    break
+        found = []
+        while n:
+            found.append(back[n])
+            n = begin[n]
+        return found[::-1]
+
     def encode(self, text: str) -> tuple[int, ...]:
+        if self.bpe and len(text) < STRIDE:
+            found = self.window(text)
+            if min(found, default=0) >= 0:
+                return tuple(found)
+            return tuple(i for piece in found for i in self._ids(piece))
         return tuple(i for piece in self.pieces(text) for i in (self._ids(piece) if piece < 0 else (piece,)))
 
 
