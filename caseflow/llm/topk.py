@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates in a shard and queries in a block, on average.
-SHARD_ROWS, BLOCK_ROWS = 16384, 1024
+#: Candidates in a shard and queries in a block, on average. A shard is shuffled once for each block, so blocks are large.
+SHARD_ROWS, BLOCK_ROWS = 16384, 16384
 FIRST_SLICE = 16
 
 
@@ -27,9 +27,11 @@ class ThresholdLists:
         most = float(np.abs(vectors.astype(np.float64)).max(initial=0.0))
         self.kinds = [(np.float32, 2.0**24), (np.float64, 2.0**53), (np.int64, np.inf)]
         self.most, self.ids, self.wide = most, ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, axis=0)
+        self.order = np.ascontiguousarray(order.T)  # a row for each dimension
         self.as_kind: dict = {}
+        self.stopped = 0  # the depth at which the search before stopped: the next begins with a slice of half that
 
     def _vectors(self, query: np.ndarray) -> tuple[np.ndarray, type]:
         reach = self.most * float(np.abs(query.astype(np.float64)).sum())
@@ -46,20 +48,22 @@ class ThresholdLists:
         m = len(self.ids)
         fresh = self.ids != query_id
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        depth, slice_rows = 0, FIRST_SLICE
+        depth, slice_rows = 0, max(FIRST_SLICE, self.stopped // 2)
         while depth < m:
             until = min(m, depth + slice_rows)
             if len(up) + len(down):
                 seen = np.zeros(m, bool)
-                seen[self.order[m - until : m - depth, up].ravel()] = True
-                seen[self.order[depth:until, down].ravel()] = True
+                seen[self.order[up, m - until : m - depth].ravel()] = True
+                seen[self.order[down, depth:until].ravel()] = True
                 new = np.flatnonzero(seen & fresh)
             else:  # every score is 0: all that is left is the order of ids
                 new, until = np.flatnonzero(fresh), m
             if len(new):
                 fresh[new] = False
                 ids = np.concatenate([ids, self.ids[new]])
-                scores = np.concatenate([scores, (vectors[new] @ asked).astype(np.int64)])
+                # a product with all rows costs less than a copy of most of them
+                fresh_scores = (vectors @ asked)[new] if 3 * len(new) > m else vectors[new] @ asked
+                scores = np.concatenate([scores, fresh_scores.astype(np.int64)])
                 if len(ids) > 4 * k:
                     least = np.partition(scores, len(scores) - k)[len(scores) - k]
                     ids, scores = ids[scores >= least], scores[scores >= least]
@@ -71,6 +75,7 @@ class ThresholdLists:
             if len(ids) == k and bound < scores[-1] or not fresh.any():
                 break
             depth, slice_rows = until, slice_rows * 2
+        self.stopped = until if m else 0
         return ids, scores
 
 
@@ -86,8 +91,8 @@ def _search_block(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame, k
     asked, out = _stacked(queries["vector"], size), []
     for at, (query_id, row) in enumerate(zip(queries["vec_id"].tolist(), queries["query_row"].tolist(), strict=True)):
         ids, scores = lists.search(asked[at], query_id, k)
-        out.append(pd.DataFrame({"query_id": query_id, "query_row": row, "vec_id": ids, "score": scores}))
-    return pd.concat(out, ignore_index=True)
+        out.append((np.full(len(ids), query_id), np.full(len(ids), row), ids, scores))
+    return pd.DataFrame(dict(zip(["query_id", "query_row", "vec_id", "score"], (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))).astype("int64")
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
