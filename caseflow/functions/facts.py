@@ -35,19 +35,28 @@ MACHINE_STEPS = [
 TOKEN = "array<struct<start:int,stop:int,kind:string,surface:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches of a pattern: (start, stop, value); the gaps that ``split`` leaves give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _placed(text, pattern, found))
+
+
+def _placed(text: Column, pattern: str, found: Column) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.slice(F.arrays_zip(found.alias("value"), gaps.alias("gap")), 1, F.size(found))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("spans"))
+    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         stop = start + F.length(p["value"])
         return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), p["value"].alias("value")))).alias("spans"))
 
-    return F.aggregate(pairs, begin, step, lambda acc: acc["spans"])
+    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["spans"])).otherwise(none)
 
 
 def _iso(surface: Column) -> Column:
@@ -73,28 +82,30 @@ def extract_facts(text: Column, *, clean: bool = False) -> Column:
 
     URLs lose the punctuation at their end; a whole quantity with a unit is also a number. Null and empty texts have none. ``clean`` texts are stripped and in NFC already.
     """
-    text = F.coalesce(text if clean else nfc_strip(text), F.lit(""))
+    whole = r"^[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)"
 
-    def of_kind(kind: str, pattern: str) -> Column:
+    def of_kind(text: Column, kind: str, pattern: str) -> Column:
         return F.transform(located(text, f"(?U){pattern}"), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), m["value"].alias("surface")))
 
-    spans = [of_kind(kind, pattern) for kind, pattern in TOKEN_PATTERNS.items()]
-
     def free(acc: Column, x: Column) -> Column:
         taken = F.exists(acc, lambda a: (a["start"] < x["stop"]) & (x["start"] < a["stop"]))
         return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = F.aggregate(F.concat(*spans), F.array().cast(TOKEN), free)
-    trimmed = F.transform(kept, lambda x: x.withField("surface", F.when(x["kind"] == "url", F.regexp_replace(x["surface"], "[.,;:!?]+$", "")).otherwise(x["surface"])))
-    whole = r"^[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)"
-
     def number(x: Column) -> Column:
         digits = F.regexp_extract(x["surface"], whole, 0)
         return F.struct(x["start"].alias("start"), (x["start"] + F.length(digits)).alias("stop"), F.lit("number").alias("kind"), digits.alias("surface"))
 
-    whole_units = F.filter(trimmed, lambda x: (x["kind"] == "unit") & ~x["surface"].rlike(whole + r"\."))
-    ordered = F.array_sort(F.concat(trimmed, F.transform(whole_units, number)))
-    return F.transform(ordered, lambda x: x.withField("canonical", canonical_token(x["kind"], x["surface"])))
+    def finished(kept: Column) -> Column:
+        whole_units = F.filter(kept, lambda x: (x["kind"] == "unit") & ~x["surface"].rlike(whole + r"\."))
+        ordered = F.array_sort(F.concat(kept, F.transform(whole_units, number)))
+        return F.transform(ordered, lambda x: x.withField("canonical", canonical_token(x["kind"], x["surface"])))
+
+    def facts(text: Column) -> Column:
+        kept = F.aggregate(F.concat(*[of_kind(text, kind, pattern) for kind, pattern in TOKEN_PATTERNS.items()]), F.array().cast(TOKEN), free)
+        trimmed = F.transform(kept, lambda x: x.withField("surface", F.when(x["kind"] == "url", F.regexp_replace(x["surface"], "[.,;:!?]+$", "")).otherwise(x["surface"])))
+        return let(trimmed, finished)
+
+    return let(F.coalesce(text if clean else nfc_strip(text), F.lit("")), facts)
 
 
 def machine_tokens(text: Column) -> Column:
