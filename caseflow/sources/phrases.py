@@ -91,7 +91,7 @@ def extract_html_rows(pages: DataFrame, *, block: str = "table", row: str = "tr"
 def detect_format(content: Column) -> Column:
     """PDF, HWP_CANDIDATE (an OLE file), ZIP_PACKAGE, XML (begins like it, without DTD or entities) or UNKNOWN, by a file's first bytes."""
     head = F.hex(F.substring(content, 1, 8))
-    start = strip(F.decode(F.substring(content, 1, 4096), "UTF-8"))
+    start = strip(F.substring(content, 1, 4096).cast("string"))
     xml = start.rlike(r"(?s)^\x{FEFF}?<(\?xml|[A-Za-z_])") & ~start.rlike(r"(?i)<!(DOCTYPE|ENTITY)")
     return F.when(head.startswith(PDF), "PDF").when(head == OLE, "HWP_CANDIDATE").when(head.startswith(ZIP), "ZIP_PACKAGE").when(xml, "XML").otherwise("UNKNOWN")
 
