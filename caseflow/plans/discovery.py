@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import requests as fr
@@ -11,12 +11,15 @@ from caseflow.operators import discovery, slots
 from caseflow.plans.common import CELLS_SQL, cells, joined, pick, sql_list, table
 from caseflow.sources import packages
 
-O = F.col("o_orderkey")
+
+def _o() -> Column:
+    return F.col("o_orderkey")
+
 INLINE = ["서명: (서명 또는 인)", "2024년 3월 5일부터 년 월 일까지", "[ ]남 M [ ]여 F", "미취학[ ]", "(희망 자격 :      )", "금액 (     )원", "사업자등록번호 2024. 1. 2 □", "plain"]
 
 
 def _inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("table_id"), O.alias("row"), F.lit(0).alias("column"), pick(INLINE, O).alias("text"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("table_id"), _o().alias("row"), F.lit(0).alias("column"), pick(INLINE, _o()).alias("text"))
 
 
 def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +43,12 @@ def unique_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_typed_op(spark: SparkSession, sf_dir: str) -> DataFrame:
-    op = pick(["write_character_grid", "set_date_segments", "set_checkbox", "set_amount", "replace_text_range", "odd"], O)
+    op = pick(["write_character_grid", "set_date_segments", "set_checkbox", "set_amount", "replace_text_range", "odd"], _o())
     blank = F.array(F.lit(""), F.lit(""))
-    k = O % 6
+    k = _o() % 6
     rows = table(spark, sf_dir, "orders").select(
-        O, op.alias("operation"), F.when(k == 0, (O % 1000).cast("string")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("5").alias("new_value"),
-        F.when(k == 0, blank).when(k == 1, F.array(F.lit("yyyy"), F.lit("mm"), F.when(O % 5 == 0, "x").otherwise("dd"))).when(k == 2, F.array(F.lit("a [ ] b"))).when(k == 3, F.array(F.lit("약 원"))).otherwise(F.array(F.when(O % 5 == 0, "x x").otherwise("x y"))).alias("texts_before"),
+        _o(), op.alias("operation"), F.when(k == 0, (_o() % 1000).cast("string")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("5").alias("new_value"),
+        F.when(k == 0, blank).when(k == 1, F.array(F.lit("yyyy"), F.lit("mm"), F.when(_o() % 5 == 0, "x").otherwise("dd"))).when(k == 2, F.array(F.lit("a [ ] b"))).when(k == 3, F.array(F.lit("약 원"))).otherwise(F.array(F.when(_o() % 5 == 0, "x x").otherwise("x y"))).alias("texts_before"),
         F.when(k == 2, "[ ]").when(k == 3, "원").when(k == 4, "x").alias("anchor"), F.lit(None).cast("string").alias("token"), F.when(k == 3, "prefix_unit").alias("mode"), F.lit(None).cast("array<string>").alias("anchors"),
         F.lit(None).cast("array<string>").alias("separators"), F.lit(1).alias("expected_count"),
     )
@@ -57,24 +60,24 @@ FOUND = ["체아", "리웨이", "김민준", "응우옌 반 안", "unknown", "un
 
 
 def target_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(O, fr.target_name(pick(NAMES, O)).alias("name"))
+    return table(spark, sf_dir, "orders").select(_o(), fr.target_name(pick(NAMES, _o())).alias("name"))
 
 
 def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("o_orderdate").cast("string")
-    hours = F.when(O % 2 == 0, F.concat(F.lit("9시 0분 ~ 18시 "), day, F.lit("분"))).otherwise(F.col("o_orderpriority"))
-    wage = F.when(O % 3 != 0, F.concat(O.cast("string"), F.lit("원, 수습 "), day, F.lit("원"))).otherwise(F.concat(day, F.lit("원")))
-    paid = F.when(O % 4 != 0, F.concat(F.lit("매월 ("), day, F.lit(")일 또는 매주 ( 금 )요일"))).otherwise("매월")
-    return table(spark, sf_dir, "orders").select(O, fr.english_working_hours(hours).alias("hours"), fr.english_probation_wage(wage).alias("wage"), fr.english_payment_date(paid).alias("paid"))
+    hours = F.when(_o() % 2 == 0, F.concat(F.lit("9시 0분 ~ 18시 "), day, F.lit("분"))).otherwise(F.col("o_orderpriority"))
+    wage = F.when(_o() % 3 != 0, F.concat(_o().cast("string"), F.lit("원, 수습 "), day, F.lit("원"))).otherwise(F.concat(day, F.lit("원")))
+    paid = F.when(_o() % 4 != 0, F.concat(F.lit("매월 ("), day, F.lit(")일 또는 매주 ( 금 )요일"))).otherwise("매월")
+    return table(spark, sf_dir, "orders").select(_o(), fr.english_working_hours(hours).alias("hours"), fr.english_probation_wage(wage).alias("wage"), fr.english_payment_date(paid).alias("paid"))
 
 
 def request_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases, routes, glossaries and aliases by order."""
-    intent, workflow = F.when(O % 2 == 0, "A"), F.when(O % 5 != 0, "W")
-    outcome = fr.route_outcome(pick(["ask_hr", "ask_worker", "ocr", "out_of_scope"], O), F.when(O % 3 == 0, "text"))
-    glossary = fr.approved_dictionary(pick(["approved", "draft"], O), F.when(O % 3 != 0, "me"), F.when(O % 5 != 0, "2026-01-02"), F.lit("ab"), pick(["AB ", "ab", "cd"], O))
-    alias = fr.alias_coalesce(F.create_map(F.lit("workflowId"), F.col("o_orderstatus"), F.lit("workflow_id"), F.when(O % 2 == 0, "").otherwise("w")), "workflow_id", "workflowId")
-    return table(spark, sf_dir, "orders").select(O, fr.phase_contract(pick(["PLAN", "ANALYZE", "odd"], O), intent, workflow).alias("phase_error"), outcome["status"].alias("status"), outcome["outcome"].alias("outcome"), outcome["review"].alias("review"), glossary.alias("glossary_error"), alias.alias("workflow"))
+    intent, workflow = F.when(_o() % 2 == 0, "A"), F.when(_o() % 5 != 0, "W")
+    outcome = fr.route_outcome(pick(["ask_hr", "ask_worker", "ocr", "out_of_scope"], _o()), F.when(_o() % 3 == 0, "text"))
+    glossary = fr.approved_dictionary(pick(["approved", "draft"], _o()), F.when(_o() % 3 != 0, "me"), F.when(_o() % 5 != 0, "2026-01-02"), F.lit("ab"), pick(["AB ", "ab", "cd"], _o()))
+    alias = fr.alias_coalesce(F.create_map(F.lit("workflowId"), F.col("o_orderstatus"), F.lit("workflow_id"), F.when(_o() % 2 == 0, "").otherwise("w")), "workflow_id", "workflowId")
+    return table(spark, sf_dir, "orders").select(_o(), fr.phase_contract(pick(["PLAN", "ANALYZE", "odd"], _o()), intent, workflow).alias("phase_error"), outcome["status"].alias("status"), outcome["outcome"].alias("outcome"), outcome["review"].alias("review"), glossary.alias("glossary_error"), alias.alias("workflow"))
 
 
 def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +91,8 @@ def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyze_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     rows = o.select(
-        O.alias("request_id"), pick(["PLAN", "ANALYZE"], O).alias("phase"), F.when(O % 7 == 0, "OUT_OF_SCOPE").otherwise("DOCUMENT_REQUEST").alias("intent"), F.array(F.lit("worker_id"), F.lit("wage")).alias("required_slots"),
-        F.when(O % 3 == 0, F.lit(None).cast("map<string,string>")).when(O % 3 == 1, F.create_map(F.lit("worker_id"), F.lit("1"))).otherwise(F.create_map(F.lit("worker_id"), F.lit("1"), F.lit("wage"), F.lit("2"))).alias("slots"),
+        _o().alias("request_id"), pick(["PLAN", "ANALYZE"], _o()).alias("phase"), F.when(_o() % 7 == 0, "OUT_OF_SCOPE").otherwise("DOCUMENT_REQUEST").alias("intent"), F.array(F.lit("worker_id"), F.lit("wage")).alias("required_slots"),
+        F.when(_o() % 3 == 0, F.lit(None).cast("map<string,string>")).when(_o() % 3 == 1, F.create_map(F.lit("worker_id"), F.lit("1"))).otherwise(F.create_map(F.lit("worker_id"), F.lit("1"), F.lit("wage"), F.lit("2"))).alias("slots"),
     )
     return slots.analyze_phase(rows).select("request_id", "status", joined("keys").alias("keys"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import fields as ff
@@ -10,7 +10,18 @@ from caseflow.operators import audit, forms, records, regions
 from caseflow.plans.common import CELLS_SQL, cells, joined, pick, table
 from caseflow.sources import phrases
 
-O, E, D = F.col("o_orderkey"), F.col("event_id"), F.col("doc_id")
+
+def _o() -> Column:
+    return F.col("o_orderkey")
+
+
+def _e() -> Column:
+    return F.col("event_id")
+
+
+def _d() -> Column:
+    return F.col("doc_id")
+
 
 
 def official_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +123,11 @@ def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as an edit of two cells."""
-    value = F.when(O % 5 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(O % 5 == 3, (O * 7).cast("string")).when(O % 5 == 0, (O % 90 + 10).cast("string")).otherwise(F.col("o_orderpriority"))
+    value = F.when(_o() % 5 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(_o() % 5 == 3, (_o() * 7).cast("string")).when(_o() % 5 == 0, (_o() % 90 + 10).cast("string")).otherwise(F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("doc_id"), O.alias("field_id"), pick(["write_character_grid", "set_date_segments", "set_checkbox", "set_amount", "replace_text"], O).alias("operation"), value.alias("new_value"),
-        F.when(O % 5 == 2, "[ ]").when(O % 5 == 3, "원").alias("anchor"), F.when(O % 5 == 1, "inline").when(O % 5 == 3, "prefix_unit").alias("mode"), F.array().cast("array<string>").alias("separators"),
-        F.array(F.concat(O.cast("string"), F.lit("a")), F.concat(O.cast("string"), F.lit("b"))).alias("cell_ids"), "o_orderdate", "o_orderpriority",
+        F.col("o_custkey").alias("doc_id"), _o().alias("field_id"), pick(["write_character_grid", "set_date_segments", "set_checkbox", "set_amount", "replace_text"], _o()).alias("operation"), value.alias("new_value"),
+        F.when(_o() % 5 == 2, "[ ]").when(_o() % 5 == 3, "원").alias("anchor"), F.when(_o() % 5 == 1, "inline").when(_o() % 5 == 3, "prefix_unit").alias("mode"), F.array().cast("array<string>").alias("separators"),
+        F.array(F.concat(_o().cast("string"), F.lit("a")), F.concat(_o().cast("string"), F.lit("b"))).alias("cell_ids"), "o_orderdate", "o_orderpriority",
     )
 
 
@@ -142,7 +153,7 @@ def check_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_expected_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), O.alias("item_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), _o().alias("item_id"))
     return forms.check_expected_changes(o.where("item_id % 3 != 0"), o.where("item_id % 4 != 0"))
 
 
@@ -153,7 +164,7 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), O.alias("plan_id"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), _o().alias("plan_id"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
     plans = forms.current_plan(o.drop("o_orderstatus"))
     approvals = o.select("doc_id", "plan_id", F.explode(F.array(F.col("plan_id") * 2, F.col("plan_id") * 2 + 1)).alias("approval_id")).withColumn("revoked_at", F.when(F.col("approval_id") % 3 == 0, "x"))
     documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), pick(["APPROVED", "DRAFT", "VERIFIED_FINAL"], F.col("c_custkey")).alias("status"))
@@ -161,7 +172,7 @@ def active_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finalizable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), O.alias("plan_id"), F.col("o_orderdate").alias("created_at"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), _o().alias("plan_id"), F.col("o_orderdate").alias("created_at"))
     plans = forms.current_plan(o)
     reviews = o.select("doc_id", "plan_id", (F.col("plan_id") % 2).alias("review_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumn("verdict", pick(["PASS", "FAIL", "NEEDS_HUMAN"], F.col("plan_id") + F.col("seq")))
     documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 2 == 0, "PENDING_VISION_REVIEW").otherwise("DRAFT").alias("status"))
@@ -170,8 +181,8 @@ def finalizable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempt_document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(
-        O.alias("attempt_id"), pick(["RESERVED", "FAILED", "RESERVED", None], O).alias("was"), pick(["ABORTED_NO_OUTPUT", "FAILED", "PENDING_VISION_REVIEW", "VERIFIED_FINAL", "odd"], O).alias("status"),
-        F.when(O % 7 != 0, "m").alias("modified_sha256"), F.when(O % 3 != 0, "r").otherwise("").alias("report_sha256"),
+        _o().alias("attempt_id"), pick(["RESERVED", "FAILED", "RESERVED", None], _o()).alias("was"), pick(["ABORTED_NO_OUTPUT", "FAILED", "PENDING_VISION_REVIEW", "VERIFIED_FINAL", "odd"], _o()).alias("status"),
+        F.when(_o() % 7 != 0, "m").alias("modified_sha256"), F.when(_o() % 3 != 0, "r").otherwise("").alias("report_sha256"),
     )
     return audit.attempt_document_status(rows).select("attempt_id", "document_status", "error")
 
@@ -189,25 +200,25 @@ def check_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_edit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = pick(["date_segments", "checkbox", "character_grid", "number", "phone", "amount", "text_field"], O)
-    value = F.when(O % 7 == 0, F.when(O % 2 == 0, F.date_format("o_orderdate", "yyyy/M/d")).otherwise("2026-02-30")).when(O % 7 == 2, (O % 1000).cast("string")).when(O % 7 == 4, F.concat(F.lit("+82 10-"), O.cast("string"))).when(O % 3 == 0, F.lit("1,000")).otherwise((O % 100).cast("string"))
-    rows = table(spark, sf_dir, "orders").select(O, kind.alias("kind"), value.alias("value"), (O % 3 + 1).alias("n_segments"), pick(["inline", "odd"], F.floor(O / 3)).alias("mode"), F.lit("[ ]").alias("anchor"), F.repeat(F.lit("[ ] "), (O % 3).cast("int")).alias("current_text"), F.lit(2).alias("slot_count"))
+    kind = pick(["date_segments", "checkbox", "character_grid", "number", "phone", "amount", "text_field"], _o())
+    value = F.when(_o() % 7 == 0, F.when(_o() % 2 == 0, F.date_format("o_orderdate", "yyyy/M/d")).otherwise("2026-02-30")).when(_o() % 7 == 2, (_o() % 1000).cast("string")).when(_o() % 7 == 4, F.concat(F.lit("+82 10-"), _o().cast("string"))).when(_o() % 3 == 0, F.lit("1,000")).otherwise((_o() % 100).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(_o(), kind.alias("kind"), value.alias("value"), (_o() % 3 + 1).alias("n_segments"), pick(["inline", "odd"], F.floor(_o() / 3)).alias("mode"), F.lit("[ ]").alias("anchor"), F.repeat(F.lit("[ ] "), (_o() % 3).cast("int")).alias("current_text"), F.lit(2).alias("slot_count"))
     return audit.validate_edit_inputs(rows).select("o_orderkey", "error")
 
 
 def verify_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select((D % 900).alias("plan_id"), F.sha2("text", 256).alias("found"), F.when(D % 13 == 0, "x").otherwise(F.sha2("text", 256)).alias("recorded"))
+    rows = table(spark, sf_dir, "documents").select((_d() % 900).alias("plan_id"), F.sha2("text", 256).alias("found"), F.when(_d() % 13 == 0, "x").otherwise(F.sha2("text", 256)).alias("recorded"))
     return audit.verify_integrity(rows, hash_col="found", expected_col="recorded", id_col="plan_id")
 
 
 def progress_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), E, F.col("ts").alias("at"), F.col("event_type").alias("step"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), _e(), F.col("ts").alias("at"), F.col("event_type").alias("step"))
     return audit.progress_timeline(rows).select("event_id", F.col("position").cast("long").alias("position"), F.col("phase").cast("long").alias("phase"), "is_last")
 
 
 def hybrid_fuse_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    rows = events.select(F.col("user_id").alias("request_id"), F.col("event_type").alias("query_kind"), pick(["dense", "sparse"], E).alias("branch"), (E % 41).alias("point_id"), (E % 40).alias("rank"))
+    rows = events.select(F.col("user_id").alias("request_id"), F.col("event_type").alias("query_kind"), pick(["dense", "sparse"], _e()).alias("branch"), (_e() % 41).alias("point_id"), (_e() % 40).alias("rank"))
     found = audit.hybrid_fuse_store(rows)
     return found.select("request_id", "query_kind", "point_id", F.round("score", 9).alias("score"))
 
@@ -238,7 +249,7 @@ def map_template_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "orders").select(O.alias("doc_id"), F.explode(F.array(F.struct(F.lit("name").alias("key"), F.lit("성 명").alias("label")), F.struct(F.lit("firm").alias("key"), F.lit("업체명(x)").alias("label")))).alias("v"), F.lit("x").alias("value"))
+    values = table(spark, sf_dir, "orders").select(_o().alias("doc_id"), F.explode(F.array(F.struct(F.lit("name").alias("key"), F.lit("성 명").alias("label")), F.struct(F.lit("firm").alias("key"), F.lit("업체명(x)").alias("label")))).alias("v"), F.lit("x").alias("value"))
     found = records.fill_by_label(cells(spark, sf_dir), values.select("doc_id", "v.*", "value"), below=["name"])
     return found.select("doc_id", "row", F.col("column").cast("long").alias("column"), "key")
 
@@ -246,7 +257,7 @@ def fill_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mark_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
     boxes = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_id"), F.col("l_linenumber").alias("row"), F.lit(0).alias("column"), F.concat(pick(["[ ] ", "□", ""], F.col("p")), pick(["Yes", "NO", "Maybe"], F.col("p"))).alias("text"))
-    options = table(spark, sf_dir, "orders").select(O.alias("doc_id"), pick(["yes", "No!", "none"], O).alias("label"))
+    options = table(spark, sf_dir, "orders").select(_o().alias("doc_id"), pick(["yes", "No!", "none"], _o()).alias("label"))
     return records.mark_options(boxes, options).select("doc_id", "row", "text")
 
 
@@ -257,8 +268,8 @@ def bulk_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as record texts: a line is a pair, some are broken."""
-    text = F.concat(F.lit("# c\n"), F.when(D % 5 == 0, "=x\n").when(D % 5 == 1, "k\n").when(D % 5 == 2, "").otherwise("lang=zz\nn = 1\n"), F.concat(F.lit("lang= "), "lang", F.lit("\n\nlines=a=b\n")))
-    good, errors = phrases.parse_kv_records(table(spark, sf_dir, "documents").select(D.alias("record_id"), F.concat(text, F.lit("text="), F.translate("text", "\n", " ")).alias("text")))
+    text = F.concat(F.lit("# c\n"), F.when(_d() % 5 == 0, "=x\n").when(_d() % 5 == 1, "k\n").when(_d() % 5 == 2, "").otherwise("lang=zz\nn = 1\n"), F.concat(F.lit("lang= "), "lang", F.lit("\n\nlines=a=b\n")))
+    good, errors = phrases.parse_kv_records(table(spark, sf_dir, "documents").select(_d().alias("record_id"), F.concat(text, F.lit("text="), F.translate("text", "\n", " ")).alias("text")))
     return good.select("record_id", "key", F.md5("value").alias("value"), F.lit(None).cast("string").alias("error")).unionByName(errors.select("record_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), "error"))
 
 
@@ -289,12 +300,12 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = _uploads(spark, sf_dir)
     stored, aliases = phrases.store_snapshots(uploads)
-    requests = uploads.select(D.alias("request_id"), F.when(D % 3 == 0, F.upper("document_hash")).when(D % 11 == 0, "bad").when(D % 7 == 0, F.repeat(F.lit("0"), 64)).alias("ref"), "name")
+    requests = uploads.select(_d().alias("request_id"), F.when(_d() % 3 == 0, F.upper("document_hash")).when(_d() % 11 == 0, "bad").when(_d() % 7 == 0, F.repeat(F.lit("0"), 64)).alias("ref"), "name")
     return phrases.resolve_snapshot(requests, stored, aliases)
 
 
 def identify_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select(D.alias("file_id"), F.sha2("text", 256).alias("sha256"))
+    files = table(spark, sf_dir, "documents").select(_d().alias("file_id"), F.sha2("text", 256).alias("sha256"))
     templates = files.where("file_id % 3 = 0").select(F.col("file_id").alias("template_id"), "sha256")
     return phrases.identify_template(files, templates)
 

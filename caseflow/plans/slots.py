@@ -31,14 +31,25 @@ def _when(rule: Column, value) -> Column:
     return F.when(rule, value)
 
 
-C, O, E = F.col("c_custkey"), F.col("o_orderkey"), F.col("event_id")
+
+def _c() -> Column:
+    return F.col("c_custkey")
+
+
+def _o() -> Column:
+    return F.col("o_orderkey")
+
+
+def _e() -> Column:
+    return F.col("event_id")
+
 
 
 def enrich_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as cases, suppliers as workers, nations as companies."""
     case = table(spark, sf_dir, "customer").select(
-        C.alias("case_id"), (C % 150).cast("string").alias("worker_id"), F.col("c_nationkey").cast("string").alias("company_id"), _map({"display_name": _when(C % 2 == 0, F.col("c_name")), "full_name": _when(C % 3 == 0, "")}).alias("slots"),
-        F.when(C % 4 == 0, F.concat(F.lit('{"wage":"'), "c_mktsegment", F.lit('","full_name":"json","lodging":""}'))).alias("business_data"),
+        _c().alias("case_id"), (_c() % 150).cast("string").alias("worker_id"), F.col("c_nationkey").cast("string").alias("company_id"), _map({"display_name": _when(_c() % 2 == 0, F.col("c_name")), "full_name": _when(_c() % 3 == 0, "")}).alias("slots"),
+        F.when(_c() % 4 == 0, F.concat(F.lit('{"wage":"'), "c_mktsegment", F.lit('","full_name":"json","lodging":""}'))).alias("business_data"),
     )
     s = F.col("s_suppkey")
     workers = table(spark, sf_dir, "supplier").select(s.cast("string").alias("worker_id"), F.col("s_name").alias("display_name"), F.when(s % 2 == 0, F.col("s_nationkey").cast("string")).alias("nationality_code"), *[F.lit(None).cast("string").alias(k) for k in ("stay_expiry_date", "contract_end_date", "contract_start_date", "preferred_language", "work_status")])
@@ -49,11 +60,11 @@ def enrich_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _renewals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as renewal cases with slots, recognised fields, uploads and missing slots."""
     o = table(spark, sf_dir, "orders")
-    held = {"passport_number": _when(O % 3 == 0, F.when(O % 2 == 0, "P1").otherwise("")), "nationality": _when(O % 5 == 0, "VN"), "wage": _when(O % 7 == 0, "9"), "arc_status": _when(O % 11 == 0, "submitted"), "stay_expiry_date": _when(O % 6 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))}
-    seen = {"alien_registration_number": _when(O % 4 == 0, "A2"), "nationality": _when(O % 4 == 0, "KR"), "wage": _when(O % 4 == 0, "1"), "lodging": _when(O % 8 == 0, "")}
+    held = {"passport_number": _when(_o() % 3 == 0, F.when(_o() % 2 == 0, "P1").otherwise("")), "nationality": _when(_o() % 5 == 0, "VN"), "wage": _when(_o() % 7 == 0, "9"), "arc_status": _when(_o() % 11 == 0, "submitted"), "stay_expiry_date": _when(_o() % 6 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))}
+    seen = {"alien_registration_number": _when(_o() % 4 == 0, "A2"), "nationality": _when(_o() % 4 == 0, "KR"), "wage": _when(_o() % 4 == 0, "1"), "lodging": _when(_o() % 8 == 0, "")}
     return o.select(
-        O.alias("case_id"), _map(held).alias("slots"), _map(seen).alias("ocr_fields"), F.when(O % 9 == 0, F.array(F.lit("passport_copy"))).when(O % 13 == 0, F.array(F.lit("other"))).alias("document_types"),
-        pick(["EXPIRY_RENEWAL", "DOCUMENT_REQUEST", "OUT_OF_SCOPE", None], O).alias("intent"), F.lit(None).cast("string").alias("outcome"), F.array(F.lit("wage"), F.lit("worker_id"), F.lit("arc_status")).alias("required_slots"),
+        _o().alias("case_id"), _map(held).alias("slots"), _map(seen).alias("ocr_fields"), F.when(_o() % 9 == 0, F.array(F.lit("passport_copy"))).when(_o() % 13 == 0, F.array(F.lit("other"))).alias("document_types"),
+        pick(["EXPIRY_RENEWAL", "DOCUMENT_REQUEST", "OUT_OF_SCOPE", None], _o()).alias("intent"), F.lit(None).cast("string").alias("outcome"), F.array(F.lit("wage"), F.lit("worker_id"), F.lit("arc_status")).alias("required_slots"),
     )
 
 
@@ -63,8 +74,8 @@ def merge_ocr_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_worker_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(
-        C.alias("case_id"), C.cast("string").alias("worker_ref"), F.when(C % 2 == 0, F.col("c_name")).alias("display_name"), F.when(C % 3 == 0, "VN").alias("nationality_code"),
-        *[F.lit(None).cast("string").alias(k) for k in ("stay_expiry_date", "contract_start_date", "contract_end_date")], _map({"legal_name": _when(C % 5 == 0, F.col("c_mktsegment")), "wage": _when(C % 7 == 0, ""), "lodging": F.lit("y")}).alias("requested_fields"),
+        _c().alias("case_id"), _c().cast("string").alias("worker_ref"), F.when(_c() % 2 == 0, F.col("c_name")).alias("display_name"), F.when(_c() % 3 == 0, "VN").alias("nationality_code"),
+        *[F.lit(None).cast("string").alias(k) for k in ("stay_expiry_date", "contract_start_date", "contract_end_date")], _map({"legal_name": _when(_c() % 5 == 0, F.col("c_mktsegment")), "wage": _when(_c() % 7 == 0, ""), "lodging": F.lit("y")}).alias("requested_fields"),
     )
     return slots.seed_worker_slots(rows).select("case_id", shown(F.col("slots")).alias("slots"))
 
@@ -76,7 +87,7 @@ def missing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(O, pick([*[w[0] for w in routing.CATALOG], "WF-NONE"], O).alias("workflow_id"))
+    rows = table(spark, sf_dir, "orders").select(_o(), pick([*[w[0] for w in routing.CATALOG], "WF-NONE"], _o()).alias("workflow_id"))
     return routing.lookup_workflow(rows, routing.catalog(spark)).select("o_orderkey", "workflow_id", "intent", joined("required_slots").alias("required"))
 
 
@@ -95,8 +106,8 @@ def suggest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_ocr_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = {"surname": _when(C % 2 == 0, F.col("c_mktsegment")), "given_names": _when(C % 3 == 0, " G "), "legal_name": _when(C % 5 == 0, "L"), "stay_expiration_date": F.lit("2026-01-01"), "residence_address_1": _when(C % 7 == 0, ""), "odd": F.lit("x")}
-    rows = table(spark, sf_dir, "customer").select(C, slots.normalize_ocr_fields(_map(raw)).alias("f"))
+    raw = {"surname": _when(_c() % 2 == 0, F.col("c_mktsegment")), "given_names": _when(_c() % 3 == 0, " G "), "legal_name": _when(_c() % 5 == 0, "L"), "stay_expiration_date": F.lit("2026-01-01"), "residence_address_1": _when(_c() % 7 == 0, ""), "odd": F.lit("x")}
+    rows = table(spark, sf_dir, "customer").select(_c(), slots.normalize_ocr_fields(_map(raw)).alias("f"))
     return rows.select("c_custkey", shown(F.col("f")).alias("fields"))
 
 
@@ -111,7 +122,7 @@ def route_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expired_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(O, pick(["approved ", "APPLICATION_PENDING", "NOT_APPLIED", "EMPLOYMENT_ENDED", "odd", None], O).alias("status"))
+    rows = table(spark, sf_dir, "orders").select(_o(), pick(["approved ", "APPLICATION_PENDING", "NOT_APPLIED", "EMPLOYMENT_ENDED", "odd", None], _o()).alias("status"))
     return slots.expired_stay(rows).select("o_orderkey", "next_action", "question_key", joined("suggested_workflows").alias("workflows"), joined("case_signals").alias("signals"))
 
 
@@ -122,8 +133,8 @@ def ask_worker_request(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def worker_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(
-        O, F.col("o_orderpriority").alias("standard_text"), F.when(O % 2 == 0, F.col("o_orderpriority")).otherwise("easy").alias("easy_text"), F.when(O % 3 == 0, " t ").alias("translated_text"), (O % 5 == 0).alias("requires_human_review"),
-        F.when(O % 7 == 0, "warning").otherwise("success").alias("generation_status"),
+        _o(), F.col("o_orderpriority").alias("standard_text"), F.when(_o() % 2 == 0, F.col("o_orderpriority")).otherwise("easy").alias("easy_text"), F.when(_o() % 3 == 0, " t ").alias("translated_text"), (_o() % 5 == 0).alias("requires_human_review"),
+        F.when(_o() % 7 == 0, "warning").otherwise("success").alias("generation_status"),
     )
     return slots.worker_message(rows).select("o_orderkey", "message")
 
@@ -136,14 +147,14 @@ def field_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_identity_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saves = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), E.alias("seq"), F.col("event_type").alias("key"), E.cast("string").alias("value"))
-    workers = table(spark, sf_dir, "customer").select(C.alias("worker_id"), _map({"click": F.lit("old"), "name": F.col("c_name")}).alias("slots"))
+    saves = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), _e().alias("seq"), F.col("event_type").alias("key"), _e().cast("string").alias("value"))
+    workers = table(spark, sf_dir, "customer").select(_c().alias("worker_id"), _map({"click": F.lit("old"), "name": F.col("c_name")}).alias("slots"))
     return slots.upsert_identity_slots(saves, workers).select("worker_id", shown(F.col("slots")).alias("slots"))
 
 
 def merge_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as stored tasks, their latest orders as updates."""
-    stored = table(spark, sf_dir, "customer").select(C.alias("task_id"), _map({"a": F.col("c_name"), "b": _when(C % 2 == 0, F.lit("old"))}).alias("slots"), F.col("c_mktsegment").alias("instruction"))
+    stored = table(spark, sf_dir, "customer").select(_c().alias("task_id"), _map({"a": F.col("c_name"), "b": _when(_c() % 2 == 0, F.lit("old"))}).alias("slots"), F.col("c_mktsegment").alias("instruction"))
     latest = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("task_id")).agg(F.max("o_orderkey").alias("o"))
     update = latest.select("task_id", _map({"b": F.col("o"), "c": _when(F.col("o") % 3 == 0, F.col("o"))}).alias("slots"), F.when(F.col("o") % 2 == 0, "").otherwise("new").alias("instruction"))
     return cases.merge_resume(stored, update).select("task_id", shown(F.col("slots")).alias("slots"), "instruction")
@@ -154,32 +165,32 @@ WORDS = ["현재 이상 없음", "배치 라인 지시", "급여 확인", "신
 
 def guardrail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("value") / 500
-    rows = table(spark, sf_dir, "events").select(E, pick(WORDS, E).alias("text"), F.create_map(F.lit("a"), p, F.lit("b"), 1 - p, F.lit("c"), F.lit(0.6)).alias("probs"), p.alias("margin"))
+    rows = table(spark, sf_dir, "events").select(_e(), pick(WORDS, _e()).alias("text"), F.create_map(F.lit("a"), p, F.lit("b"), 1 - p, F.lit("c"), F.lit(0.6)).alias("probs"), p.alias("margin"))
     return routing.guardrail_route(rows).select("event_id", "category", "should_route")
 
 
 def probability_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("value") / 500
-    rows = table(spark, sf_dir, "events").select(E, F.array(p, F.lit(0.5), 0.9 - p).alias("probs"))
+    rows = table(spark, sf_dir, "events").select(_e(), F.array(p, F.lit(0.5), 0.9 - p).alias("probs"))
     return routing.probability_margin(rows, labels=["A", "B", "C"]).select("event_id", F.round("margin", 9).alias("margin"), joined("picked").alias("picked"))
 
 
 def primary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = F.when(E % 5 == 0, F.array().cast("array<string>")).when(E % 4 == 0, F.array(F.lit("OUT_OF_SCOPE"))).otherwise(F.array(F.lit("OUT_OF_SCOPE"), F.lit("A"), F.lit("B")))
-    scores = F.when(E % 3 != 0, F.create_map(F.lit("A"), F.col("value"), F.lit("B"), F.lit(50.0)))
-    return routing.primary_label(table(spark, sf_dir, "events").select(E, labels.alias("labels"), scores.alias("scores"))).select("event_id", "primary", "confidence")
+    labels = F.when(_e() % 5 == 0, F.array().cast("array<string>")).when(_e() % 4 == 0, F.array(F.lit("OUT_OF_SCOPE"))).otherwise(F.array(F.lit("OUT_OF_SCOPE"), F.lit("A"), F.lit("B")))
+    scores = F.when(_e() % 3 != 0, F.create_map(F.lit("A"), F.col("value"), F.lit("B"), F.lit(50.0)))
+    return routing.primary_label(table(spark, sf_dir, "events").select(_e(), labels.alias("labels"), scores.alias("scores"))).select("event_id", "primary", "confidence")
 
 
 def check_label_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda n, e: F.struct(n.alias("intent"), e.alias("evidence"))
     names = [*routing.LABELS, "ODD"]
-    intents = F.array(one(pick(names, E), F.when(E % 3 == 0, F.col("event_type")).when(E % 3 == 1, F.lit("zzz"))), one(pick(names, E + F.floor(E / 8) % 3), F.col("event_type")))
-    rows = table(spark, sf_dir, "events").select(E, F.col("event_type").alias("text"), F.when(E % 7 == 0, F.array(one(F.lit("OUT_OF_SCOPE"), F.lit(None).cast("string")))).when(E % 11 != 0, intents).alias("intents"))
+    intents = F.array(one(pick(names, _e()), F.when(_e() % 3 == 0, F.col("event_type")).when(_e() % 3 == 1, F.lit("zzz"))), one(pick(names, _e() + F.floor(_e() / 8) % 3), F.col("event_type")))
+    rows = table(spark, sf_dir, "events").select(_e(), F.col("event_type").alias("text"), F.when(_e() % 7 == 0, F.array(one(F.lit("OUT_OF_SCOPE"), F.lit(None).cast("string")))).when(_e() % 11 != 0, intents).alias("intents"))
     return routing.check_label_evidence(rows).select("event_id", "error")
 
 
 def expand_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(E, F.array(pick(routing.LABELS, E), pick(["WF-CON-001", "X"], E), pick(routing.LABELS, E + 1)).alias("c"))
+    rows = table(spark, sf_dir, "events").select(_e(), F.array(pick(routing.LABELS, _e()), pick(["WF-CON-001", "X"], _e()), pick(routing.LABELS, _e() + 1)).alias("c"))
     return rows.select("event_id", joined(routing.expand_constraints(F.col("c"))).alias("workflows"))
 
 
@@ -217,7 +228,7 @@ def resolve_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused lists of the users' events, reranked by a score that a third of them lacks."""
     events = table(spark, sf_dir, "events")
-    scored = events.groupBy(F.col("user_id").alias("request_id"), F.col("event_type").alias("query_kind"), (E % 97).alias("point_id")).agg(F.max("value").alias("score"))
+    scored = events.groupBy(F.col("user_id").alias("request_id"), F.col("event_type").alias("query_kind"), (_e() % 97).alias("point_id")).agg(F.max("value").alias("score"))
     fused = retrieval.rrf_fuse(retrieval.rank_candidates(scored, keys=["request_id", "query_kind"], limit=40))
     rows = fused.withColumn("reranker_score", F.when(F.col("request_id") % 3 != 0, (F.col("point_id") * 7 % 11).cast("double")))
     return retrieval.rerank_topk(rows).select("request_id", "point_id", F.col("rank").cast("long").alias("rank"), "selected_by")
@@ -225,28 +236,28 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, phone numbers, boxes, types and categories of form fields."""
-    day = F.when(O % 3 == 0, F.date_format("o_orderdate", "yyyy년 M월 d일")).when(O % 3 == 1, F.date_format("o_orderdate", "yyyy.MM.dd")).otherwise(F.concat(F.year("o_orderdate").cast("string"), F.lit("-02-30")))
-    phone = F.when(O % 4 == 0, F.concat(F.lit("+82 10-"), (F.lit(10000000) + O).cast("string"))).when(O % 4 == 1, F.concat(F.lit("02)"), (F.lit(1000000) + O).cast("string"))).when(O % 4 == 2, F.concat(F.lit("0"), (F.lit(101000000) + O).cast("string"))).otherwise("12x")
-    label = pick(["여권 번호", "휴대 전화", "생년월일", "서명", "금액", "등록번호", "비고 해당자"], O)
+    day = F.when(_o() % 3 == 0, F.date_format("o_orderdate", "yyyy년 M월 d일")).when(_o() % 3 == 1, F.date_format("o_orderdate", "yyyy.MM.dd")).otherwise(F.concat(F.year("o_orderdate").cast("string"), F.lit("-02-30")))
+    phone = F.when(_o() % 4 == 0, F.concat(F.lit("+82 10-"), (F.lit(10000000) + _o()).cast("string"))).when(_o() % 4 == 1, F.concat(F.lit("02)"), (F.lit(1000000) + _o()).cast("string"))).when(_o() % 4 == 2, F.concat(F.lit("0"), (F.lit(101000000) + _o()).cast("string"))).otherwise("12x")
+    label = pick(["여권 번호", "휴대 전화", "생년월일", "서명", "금액", "등록번호", "비고 해당자"], _o())
     return table(spark, sf_dir, "orders").select(
-        O, ff.normalize_form_date(day).alias("day"), ff.normalize_form_phone(phone).alias("phone"), ff.normalize_form_checkbox(pick(["yes ", "□", "odd"], O)).alias("box"), ff.parse_boolean(pick([" On", "0", "x"], O)).alias("flag"),
-        ff.field_type(label).alias("kind"), ff.field_kind(ff.field_type(label)).alias("registry_kind"), ff.row_category((O % 40).cast("int")).alias("category"), ff.is_required(label).alias("required"), ff.known_label(label).alias("known"),
+        _o(), ff.normalize_form_date(day).alias("day"), ff.normalize_form_phone(phone).alias("phone"), ff.normalize_form_checkbox(pick(["yes ", "□", "odd"], _o())).alias("box"), ff.parse_boolean(pick([" On", "0", "x"], _o())).alias("flag"),
+        ff.field_type(label).alias("kind"), ff.field_kind(ff.field_type(label)).alias("registry_kind"), ff.row_category((_o() % 40).cast("int")).alias("category"), ff.is_required(label).alias("required"), ff.known_label(label).alias("known"),
     )
 
 
 def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates of documents in several notations, birth dates of machine-readable zones, their parts."""
-    text = F.when(O % 4 == 0, F.date_format("o_orderdate", "yyyy.MM.dd")).when(O % 4 == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(O % 4 == 2, F.date_format("o_orderdate", "d MMM yyyy")).otherwise(F.concat(F.lit("31 "), F.month("o_orderdate").cast("string"), F.lit("월 / JAN "), F.year("o_orderdate").cast("string")))
+    text = F.when(_o() % 4 == 0, F.date_format("o_orderdate", "yyyy.MM.dd")).when(_o() % 4 == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(_o() % 4 == 2, F.date_format("o_orderdate", "d MMM yyyy")).otherwise(F.concat(F.lit("31 "), F.month("o_orderdate").cast("string"), F.lit("월 / JAN "), F.year("o_orderdate").cast("string")))
     zone = F.concat(F.lit("P<VNM 1 vnm"), F.date_format("o_orderdate", "yyMMdd"), F.lit("x"))
     parts = ff.birth_parts(F.date_format("o_orderdate", "yyyy-M-d"))
     return table(spark, sf_dir, "orders").select(
-        O, ff.parse_document_date(text).cast("string").alias("plain"), ff.parse_document_date(text, day_first=True).cast("string").alias("day_first"), ff.mrz_birth_date(zone, F.to_date(F.lit("2010-06-15"))).cast("string").alias("birth"),
+        _o(), ff.parse_document_date(text).cast("string").alias("plain"), ff.parse_document_date(text, day_first=True).cast("string").alias("day_first"), ff.mrz_birth_date(zone, F.to_date(F.lit("2010-06-15"))).cast("string").alias("birth"),
         F.concat_ws("/", parts["year"], parts["month"], parts["day"]).alias("parts"),
     )
 
 
 def resolve_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(O, pick(["passport_copy", "arc"], O).alias("document_type"), pick([" vn", "KOR", "", "xx", None], O).alias("country_code"))
+    rows = table(spark, sf_dir, "orders").select(_o(), pick(["passport_copy", "arc"], _o()).alias("document_type"), pick([" vn", "KOR", "", "xx", None], _o()).alias("country_code"))
     return ocr.resolve_template(rows).select("o_orderkey", joined(F.transform("template_ids", lambda x: x.cast("string"))).alias("templates"))
 
 
@@ -257,15 +268,15 @@ def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(E, pick([*ocr.APPROVED_FIELDS, "odd"], E).alias("name"), F.when(E % 3 == 0, "  ").otherwise(F.col("props")).alias("text"))
+    rows = table(spark, sf_dir, "events").select(_e(), pick([*ocr.APPROVED_FIELDS, "odd"], _e()).alias("name"), F.when(_e() % 3 == 0, "  ").otherwise(F.col("props")).alias("text"))
     return ocr.approved_fields(rows)
 
 
 def ocr_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as the fields of its document."""
-    name = pick([*ocr.APPROVED_FIELDS, "full_name", "mrz", "odd"], O)
-    text = F.when(O % 17 == 0, "??").when(name.isin(*ocr.DATE_FIELDS), F.date_format("o_orderdate", "yyyy.MM.dd")).when(name == "full_name", "NGUYEN VAN A").when(name == "mrz", "P<VNM VNM850101").otherwise(F.col("o_orderpriority"))
-    fields = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(O, name.alias("name"), text.alias("inferText"), ((O % 50) / 50).alias("inferConfidence")))).alias("f"))
+    name = pick([*ocr.APPROVED_FIELDS, "full_name", "mrz", "odd"], _o())
+    text = F.when(_o() % 17 == 0, "??").when(name.isin(*ocr.DATE_FIELDS), F.date_format("o_orderdate", "yyyy.MM.dd")).when(name == "full_name", "NGUYEN VAN A").when(name == "mrz", "P<VNM VNM850101").otherwise(F.col("o_orderpriority"))
+    fields = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(_o(), name.alias("name"), text.alias("inferText"), ((_o() % 50) / 50).alias("inferConfidence")))).alias("f"))
     k = F.col("o_custkey")
     template = F.struct(pick([43038, 43024, 43025, 43019], k).alias("id"))
     image = F.struct(F.when(k % 23 == 0, "FAIL").otherwise("SUCCESS").alias("inferResult"), template.alias("matchedTemplate"), F.transform("f", lambda x: F.struct(x["name"], x["inferText"], x["inferConfidence"])).alias("fields"))
