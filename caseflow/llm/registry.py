@@ -7,12 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.llm.byte_bpe import decode_documents, packed_ids
+from caseflow.llm.byte_bpe import encode_documents as encode_byte_bpe
 from caseflow.llm.licenses import scan_licenses
 from caseflow.llm.mixing import mix, words
 from caseflow.llm.neighbours import build_index, search
 from caseflow.llm.oracles import MIXTURE
 from caseflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from caseflow.llm.pii import find_personal_data, joined
+from caseflow.llm.resampling import resample
+from caseflow.llm.runs import find_runs
 from caseflow.llm.sentencepiece import encode_documents
 from caseflow.llm.shared import document_batches, table
 from caseflow.llm.simhash import near_duplicates
@@ -95,6 +99,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"), F.col("toxic_spans"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
+    ranks = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    found = decode_documents(encode_byte_bpe(table(spark, sf_dir, "documents"), ranks), ranks)
+    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(packed_ids("token_ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, buckets=10_000, seed="42")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with a periodic tail in the texts whose id has a checksum that ten divides; the other texts stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def tail(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + (i - a) % p + 1).cast("int")))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tail(w)).otherwise("")), 1)
+    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document_batches(spark)
+    found = find_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")), least=6, repeats=4)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.shorter")).alias("length"), F.col("longest.period").alias("period"),
+        F.floor(-1000 * F.col("longest.shorter") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -106,4 +151,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
