@@ -30,6 +30,8 @@ from caseflow.llm.token_counts import pre_token_finders
 
 #: Pre-tokens after which a block is closed.
 BLOCK_WORDS = 1 << 21
+#: Pre-tokens of the documents of a block that are put together at once.
+SLICE_WORDS = 1 << 17
 #: Distinct words a task remembers with their ids; beyond it the memory starts anew.
 MEMORY_WORDS = 1 << 20
 
@@ -49,12 +51,12 @@ class _Slots(dict):
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as all their low bytes, then all the next ones ...: the high ones are mostly zero."""
+    """Whole numbers below 2**31 as all their low bytes, then all the next ones ...: the high ones are mostly zero."""
     return np.ascontiguousarray(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _from_planes(data: bytes | memoryview) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _pack(*parts: bytes) -> bytes:
@@ -151,20 +153,27 @@ def assemble(blocks: DataFrame, id_type: str, name: str) -> DataFrame:
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, sizes, slots, tokens in zip(*(batch.column(c) for c in ("ids", "sizes", "slots", "tokens")), strict=True):
-                slots, sizes = _from_planes(slots.as_py()), np.array(sizes.values)
-                parts = [[_from_planes(x) for x in _unpack(t, 3)] for t in tokens.as_py() or []]
-                of = np.concatenate([np.cumsum(p[0]) for p in parts]) if parts else np.zeros(0, np.int64)
-                count = np.concatenate([p[1] for p in parts]) if parts else of
-                flat = np.concatenate([p[2] for p in parts]).astype(np.int32) if parts else of.astype(np.int32)
+                slots, sizes = _from_planes(slots.as_py()), sizes.values.to_numpy()
+                parts = [[_from_planes(x) for x in _unpack(t.as_py(), 3)] for t in tokens.values] if tokens.is_valid else []
+                of = np.concatenate([np.cumsum(p[0]) for p in parts] or [np.zeros(0, np.int64)])
+                count, flat = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int32)]) for k in (1, 2))
+                del parts
                 order = np.argsort(of)
                 if not np.array_equal(of[order], np.arange(slots.max() + 1 if len(slots) else 0)):
                     raise ValueError("a block misses the ids of some of its words")
                 begin = (np.cumsum(count) - count)[order]
                 count = count[order]
-                each = count[slots]
-                upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
-                found = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(_ragged(flat, begin[slots], each)))
-                yield pa.RecordBatch.from_arrays([own.values, found], names=[name, "token_ids"])
+                ends = np.cumsum(sizes, dtype=np.int64)
+                first = 0
+                while first < len(sizes):
+                    ahead = int(ends[first] - sizes[first])
+                    last = max(first + 1, int(np.searchsorted(ends, ahead + SLICE_WORDS, side="right")))
+                    some = slots[ahead : ends[last - 1]]
+                    each = count[some]
+                    upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], ends[first:last] - ahead])]
+                    found = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(_ragged(flat, begin[some], each)))
+                    yield pa.RecordBatch.from_arrays([own.values.slice(first, last - first), found], names=[name, "token_ids"])
+                    first = last
 
     return blocks.select("ids", "sizes", "slots", "tokens").mapInArrow(put_together, f"{name} {id_type}, token_ids array<int>")
 
@@ -215,7 +224,8 @@ def packed_ids(ids: Column | str) -> Column:
     """Ids as little-endian unsigned 32-bit numbers."""
 
     @F.pandas_udf("binary")
-    def packed(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in rows], dtype="object")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in rows], dtype="object")
 
     return packed(ids)
