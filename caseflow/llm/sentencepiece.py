@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import per_worker
+from caseflow.llm.shared import fresh_name, per_worker
 
 BLANK = "▁"
 #: Boundaries that may wait in one window before convergence is looked for.
@@ -289,7 +289,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
                     same.append(back == text or back == text.replace(BLANK, " "))
                 yield pd.DataFrame({"ids": pd.Series(rows, dtype="object"), "round_trip": pd.Series(same, dtype="bool")})
 
-    found = "__sentencepiece"
+    found = fresh_name(docs, "__sentencepiece")
     out = docs.withColumn(found, encoded(F.col(text_col)))
     return out.withColumns(
         {

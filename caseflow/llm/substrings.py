@@ -174,12 +174,15 @@ class SuffixAutomaton:
 
 def _stream_shards(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """Runs sorted by shard and place; gives the maximal repeated spans of words (doc_id, start, stop)."""
-    shard, automaton = None, None
+    shard, automaton, place = None, None, None
     for batch in batches:
         out = []
         for a, context, doc_id, start, words in zip(batch["anchor"], batch["context"], batch["doc_id"], batch["start"], batch["words"], strict=True):
             if (a, context) != shard:
-                shard, automaton = (a, context), SuffixAutomaton()
+                shard, automaton, place = (a, context), SuffixAutomaton(), None
+            if (doc_id, start) == place:  # a repeated row brings its runs once more
+                continue
+            place = doc_id, start
             words = list(words)
             begin = stop = None
             for at, length in enumerate(automaton.matching(words)):

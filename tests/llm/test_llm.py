@@ -410,3 +410,19 @@ print("all ran")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "all ran" in got.stdout, got.stderr[-2000:]
+
+
+@pytest.mark.parametrize("limit", [1, 512])
+@pytest.mark.parametrize("order", [[1, 2], [1, 1, 2], [1, 2, 2], [2, 1, 2, 1, 3, 3]])
+def test_substrings_of_repeated_rows_that_share_an_anchor(spark, monkeypatch, limit, order):
+    monkeypatch.setattr(substrings, "SHARD_RUNS", limit)
+    shared = " ".join(f"s{i}" for i in range(24))
+    texts = {1: f"a b c d e f g {shared} h i j k l m n o", 2: f"p q r s t u v w {shared} x y z aa", 3: f"{shared} 1 2 3 4 5 6 7 8 9 10 11 12"}
+    rows = spark.createDataFrame([(d, texts[d]) for d in order], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in remove_repeats(rows).collect())
+    assert got == sorted((d, 0 if d == 1 else 24) for d in order)
+
+
+def test_sentencepiece_keeps_a_column_of_its_own_name(spark):
+    got = encode_documents(spark.createDataFrame([("x", 1)], "text string, __sentencepiece int"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    assert got.columns[:2] == ["text", "__sentencepiece"] and got.first()["__sentencepiece"] == 1
