@@ -22,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import checkpoint_root, per_worker
+from caseflow.llm.shared import checkpoint_root, fresh_name, per_worker
 from caseflow.llm.token_counts import pre_token_finders
 
 #: Pre-tokens after which a block is closed.
@@ -110,7 +110,7 @@ def explode_words(rows: DataFrame, buckets: int) -> DataFrame:
             pa.array([number], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
             pa.array([[len(s) for s in slots]], pa.list_(pa.int32())),
-            pa.array([_planes(np.concatenate(slots))], pa.binary()),
+            pa.array([_pack(_planes(np.concatenate(slots)))], pa.binary()),
             pa.array([packed([w.encode() for w in names])], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "slots", "parts"])
@@ -153,7 +153,7 @@ def assemble(blocks: DataFrame, id_type: str, name: str) -> DataFrame:
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, sizes, slots, tokens in zip(*(batch.column(c) for c in ("ids", "sizes", "slots", "tokens")), strict=True):
-                slots, sizes = _from_planes(slots.as_py()), sizes.values.to_numpy()
+                slots, sizes = _from_planes(_unpack(slots.as_py(), 1)[0]), sizes.values.to_numpy()
                 parts = [[_from_planes(x) for x in _unpack(t.as_py(), 3)] for t in tokens.values] if tokens.is_valid else []
                 of = np.concatenate([np.cumsum(p[0]) for p in parts] or [np.zeros(0, np.int64)])
                 count, flat = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int32)]) for k in (1, 2))
@@ -200,32 +200,28 @@ def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
     return spark.createDataFrame([(rank, token) for token, rank in read_ranks(ranks_path).items()], "token_id int, bytes binary")
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str, *, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the bytes of a column of ids; null ids give null, no ids give no bytes, and null or unknown ids inside give nothing. A column of that name is replaced."""
+def decode_documents(encoded: DataFrame, ranks_path: str, *, ids_col: str = "token_ids", out_col: str = "decoded", packed_col: str = "packed_ids") -> DataFrame:
+    """Adds the bytes of a column of ids, and the ids packed as little-endian unsigned 32-bit numbers; columns of these names are replaced.
+
+    Null ids give null, no ids give no bytes; null or unknown ids inside give nothing among the bytes, and null ones nothing among the packed ids.
+    """
     spark = encoded.sparkSession
     table = spark.sparkContext.broadcast({r["token_id"]: bytes(r["bytes"]) for r in token_bytes(spark, ranks_path).toLocalIterator()})
 
-    @F.pandas_udf("binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("decoded binary, packed binary")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = table.value
         for rows in batches:
-            out = []
+            out, packed = [], []
             for ids in rows:
+                ids = ids if ids is None or ids.dtype == np.int32 else np.array([i for i in ids if i is not None and i == i], np.int32)
+                packed.append(None if ids is None else ids.astype("<u4").tobytes())
                 try:
                     out.append(None if ids is None else b"".join(map(of.__getitem__, ids.tolist())))
                 except KeyError:
                     out.append(b"".join([of.get(i, b"") for i in ids.tolist()]))
-            yield pd.Series(out, dtype="object")
-
-    return encoded.withColumn(out_col, decoded(F.col(ids_col)))
-
-
-def packed_ids(ids: Column | str) -> Column:
-    """Ids as little-endian unsigned 32-bit numbers."""
-
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in rows], dtype="object")
+            yield pd.DataFrame({"decoded": pd.Series(out, dtype="object"), "packed": pd.Series(packed, dtype="object")})
 
-    return packed(ids)
+    found = fresh_name(encoded, "__decoded")
+    out = encoded.withColumn(found, decoded(F.col(ids_col)))
+    return out.withColumns({out_col: F.col(f"{found}.decoded"), packed_col: F.col(f"{found}.packed")}).drop(found)

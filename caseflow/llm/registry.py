@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.byte_bpe import decode_documents, packed_ids
+from caseflow.llm.byte_bpe import decode_documents
 from caseflow.llm.byte_bpe import encode_documents as encode_byte_bpe
 from caseflow.llm.licenses import scan_licenses
 from caseflow.llm.mixing import mix, words
@@ -103,7 +103,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     document_batches(spark)
     ranks = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
     found = decode_documents(encode_byte_bpe(table(spark, sf_dir, "documents"), ranks), ranks)
-    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(packed_ids("token_ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow.llm import byte_bpe, registry, runs
-from caseflow.llm.byte_bpe import decode_documents, encode_documents, packed_ids, read_ranks, token_bytes
+from caseflow.llm.byte_bpe import decode_documents, encode_documents, read_ranks, token_bytes
 from caseflow.llm.resampling import Shifts, resample, running_crcs
 from caseflow.llm.runs import Grammar, collapsed, find_runs, runs_of
 
@@ -79,10 +79,11 @@ def test_byte_bpe_words_are_encoded_once(spark, texts):
 
 def test_decoding_null_and_unknown_ids(spark):
     vocabulary = {r["token_id"]: bytes(r["bytes"]) for r in token_bytes(spark, RANKS).collect()}
-    rows = spark.createDataFrame([(None,), ([],), ([1, 10**6, 2],), ([-1],)], "token_ids array<int>")
-    got = [r["decoded"] if r["decoded"] is None else bytes(r["decoded"]) for r in decode_documents(rows, RANKS).collect()]
-    assert got == [None, b"", vocabulary[1] + vocabulary[2], b""]
-    assert [r[0] for r in rows.select(packed_ids("token_ids")).collect()][:2] == [None, b""]
+    rows = spark.createDataFrame([(None, 1), ([], 1), ([1, 10**6, 2], 1), ([-1], 1), ([1, None, 2], 1)], "token_ids array<int>, __decoded int")
+    found = decode_documents(rows, RANKS)
+    got = [tuple(x if x is None else bytes(x) for x in (r["decoded"], r["packed_ids"])) for r in found.collect()]
+    both, number = vocabulary[1] + vocabulary[2], lambda *ids: np.array(ids).astype("<u4").tobytes()
+    assert got == [(None, None), (b"", b""), (both, number(1, 10**6, 2)), (b"", number(-1)), (both, number(1, 2))] and found.columns == ["token_ids", "__decoded", "decoded", "packed_ids"]
 
 
 def test_pre_tokens_of_all_characters(library):
