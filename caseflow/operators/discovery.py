@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.facts import located
+from caseflow.functions.facts import let, located
 from caseflow.functions.fields import any_word, is_required, row_category
 from caseflow.functions.text import strip
 from caseflow.operators import forms, regions
@@ -27,19 +27,20 @@ CLAIMS = ["character_grid", "date_segments", "amount_unit", "checkbox_group", "c
 
 
 def unique_anchor(text: Column, start: Column, stop: Column) -> Column:
-    """The text around a span, widened from 16 letters on each side by doubling, until it stands in the text once or is the whole text. Places count from 0, the stop exclusive."""
+    """The text around a span, widened from 16 letters on each side by doubling, until it stands in the text once or is the whole text. Places count from 0, the stop exclusive.
 
-    def around(pad: int) -> Column:
-        first = F.greatest(F.lit(0), start - pad)
-        return F.substring(text, first + 1, F.least(F.length(text), stop + pad) - first)
+    The steps are as many as the text's length needs to reach both its ends; after the first part that stands once no other is searched for.
+    """
+
+    def around(k: Column) -> Column:
+        pad = F.lit(16) * F.pow(F.lit(2), k).cast("long")
+        first = F.greatest(F.lit(0).cast("long"), start - pad)
+        return F.substring(text, (first + 1).cast("int"), (F.least(F.length(text).cast("long"), stop + pad) - first).cast("int"))
 
     once = lambda part: (F.length(text) - F.length(F.replace(text, part, F.lit("")))) == F.length(part)
-    # a text ends the doubling when the widening reaches both its ends; 2**20 letters on each side is all of any text here
-    found = None
-    for k in range(16):
-        part = around(16 << k)
-        found = F.when(once(part), part) if found is None else found.when(once(part), part)
-    return found.otherwise(text)
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.length(text) / 16 + 1)).cast("int")))
+    widen = lambda found, k: F.when(found.isNotNull(), found).otherwise(let(around(k), lambda part: F.when(once(part), part)))
+    return F.coalesce(F.aggregate(steps, F.lit(None).cast("string"), widen), text)
 
 
 def segment_fields(cells: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,16 +38,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Cells from orders: a line is a row, its columns hold labels, values and blanks.
-CELLS_SQL = """cells as (select l_orderkey as doc_id, 0 as table_id, l_linenumber as "row", unnest(range(6)) as "column", unnest([case l_linenumber % 4 when 0 then '성명' when 1 then 'yyyy' when 2 then '결재' else '업체명' end,
-  case when l_quantity % 2 = 0 then '' else l_returnflag end, case when l_quantity % 3 = 0 then 'mm' else '' end, case when l_quantity % 5 = 0 then '원' else '' end, case when l_partkey % 3 = 0 then 'dd' else '' end, l_linestatus]) as text
-  from (select l_orderkey, l_linenumber, any_value(l_quantity) as l_quantity, any_value(l_returnflag) as l_returnflag, any_value(l_linestatus) as l_linestatus, any_value(l_partkey) as l_partkey from lineitem group by 1, 2 having count(*) = 1))"""
+#: Cells from orders: a line is a row, its columns hold labels, values and blanks. An order's line numbers repeat, and the k-th line of a number stands in the order's k-th document, so that every line has a place of its own.
+CELLS_SQL = """placed as (select *, l_orderkey * 1000 + row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 as doc from lineitem),
+cells as (select doc as doc_id, 0 as table_id, l_linenumber as "row", unnest(range(6)) as "column", unnest([case l_linenumber % 4 when 0 then '성명' when 1 then 'yyyy' when 2 then '결재' else '업체명' end,
+  case when l_quantity % 2 = 0 then '' else l_returnflag end, case when l_quantity % 3 = 0 then 'mm' else '' end, case when l_quantity % 5 = 0 then '원' else '' end, case when l_partkey % 3 = 0 then 'dd' else '' end, l_linestatus]) as text from placed)"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("l_quantity", "l_returnflag", "l_linestatus", "l_partkey")]).where("n = 1")
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey") * 1000 + F.row_number().over(same) - 1)
     q, n = F.col("l_quantity"), F.col("l_linenumber") % 4
     first = F.when(n == 0, "성명").when(n == 1, "yyyy").when(n == 2, "결재").otherwise("업체명")
     blank = lambda rule, text: F.when(rule, text).otherwise("")
     texts = F.array(first, F.when(q % 2 == 0, "").otherwise(F.col("l_returnflag")), blank(q % 3 == 0, "mm"), blank(q % 5 == 0, "원"), blank(F.col("l_partkey") % 3 == 0, "dd"), F.col("l_linestatus"))
-    return lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_id"), F.col("l_linenumber").alias("row"), F.posexplode(texts).alias("column", "text"))
+    return lines.select("doc_id", F.lit(0).alias("table_id"), F.col("l_linenumber").alias("row"), F.posexplode(texts).alias("column", "text"))

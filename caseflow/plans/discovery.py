@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import requests as fr
 from caseflow.operators import discovery, slots
 from caseflow.plans.common import CELLS_SQL, cells, joined, pick, sql_list, table
-from caseflow.sources import packages
+from caseflow.sources import packages, phrases
 
 
 def _o() -> Column:
@@ -134,13 +134,25 @@ def package_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.validate_packages(_packages(spark, sf_dir)).select("path", "valid", joined("errors").alias("errors"), F.col("fingerprint").isNotNull().alias("has_print"))
 
 
-QUERIES = {f.__name__: f for f in (package_tables, package_checks, segment_fields, inline_fields, field_union, unique_anchor, apply_typed_op, target_name, english_terms, request_contracts, parse_replies, analyze_phase)}
+def package_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packages(spark, sf_dir).select("path", phrases.detect_format(F.col("content")).alias("format"))
+
+
+def layout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of one layout: those with the same number of lines, whatever their words."""
+    prints = packages.validate_packages(_packages(spark, sf_dir)).where("valid")
+    return prints.groupBy("fingerprint").agg(F.min(F.col("path").cast("long")).alias("first_doc"), F.count("*").alias("n")).select("first_doc", "n")
+
+
+QUERIES = {f.__name__: f for f in (package_tables, package_checks, package_formats, layout_groups, segment_fields, inline_fields, field_union, unique_anchor, apply_typed_op, target_name, english_terms, request_contracts, parse_replies, analyze_phase)}
 
 _SEG = """values (0, 'signature', 0, '(서명 또는 인)'), (1, 'date', 0, '년 3월 5일'), (2, 'checkbox', 0, '[ ]'), (2, 'checkbox', 7, '[ ]'), (3, 'checkbox', 3, '[ ]'), (6, 'number', 0, '사업자등록번호'), (6, 'date', 0, '2024. 1. 2'), (6, 'checkbox', 19, '□')"""
 _INL = """values (0, 'signable', 4, '(서명 또는 인)'), (1, 'date_inline', 0, '날짜 입력 영역'), (1, 'date_inline', 14, '날짜 입력 영역'), (2, 'checkbox_group', 0, '남 M / 여 F'), (3, 'checkbox', 0, '미취학'), (4, 'placeholder', 0, '희망 자격'), (5, 'amount', 3, '금액 입력 영역')"""
 ORACLE_SQL = {
     "package_tables": "select doc_id::varchar as path, len(string_split(text, chr(10))) as n_paragraphs, 2 as n_cells, (length(replace(text, chr(10), '')) + length(lang) + length(source))::bigint as letters, 2 as row_addr, source as last_cell from documents where doc_id % 7 != 0 and doc_id % 5 != 0",
     "package_checks": "select doc_id::varchar as path, doc_id % 7 != 0 and doc_id % 5 != 0 as valid, case when doc_id % 7 = 0 then 'NOT_A_PACKAGE' when doc_id % 5 = 0 then 'PART_MISSING:mimetype' else '' end as errors, doc_id % 7 != 0 and doc_id % 5 != 0 as has_print from documents",
+    "package_formats": "select doc_id::varchar as path, case when doc_id % 7 = 0 or doc_id % 5 = 0 then 'UNKNOWN' else 'ZIP_PACKAGE' end as format from documents",
+    "layout_groups": "select min(doc_id) as first_doc, count(*) as n from documents where doc_id % 7 != 0 and doc_id % 5 != 0 group by len(string_split(text, chr(10)))",
     "segment_fields": f"with s(i, kind, at_, anchor) as ({_SEG}) select o_orderkey as \"row\", kind, at_::bigint as \"at\", anchor from orders join s on o_orderkey % 8 = i",
     "inline_fields": f"with s(i, kind, at_, label) as ({_INL}) select o_orderkey as \"row\", kind, at_::bigint as \"at\", label from orders join s on o_orderkey % 8 = i",
     "field_union": f"""with {CELLS_SQL}, off as (select doc_id, min("row") as sr from cells where text = '결재' group by 1), c as (select cells.* from cells left join off using (doc_id) where sr is null or "row" < sr),

@@ -249,8 +249,10 @@ def map_template_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "orders").select(_o().alias("doc_id"), F.explode(F.array(F.struct(F.lit("name").alias("key"), F.lit("성 명").alias("label")), F.struct(F.lit("firm").alias("key"), F.lit("업체명(x)").alias("label")))).alias("v"), F.lit("x").alias("value"))
-    found = records.fill_by_label(cells(spark, sf_dir), values.select("doc_id", "v.*", "value"), below=["name"])
+    rows = cells(spark, sf_dir)
+    asked = F.explode(F.array(F.struct(F.lit("name").alias("key"), F.lit("성 명").alias("label")), F.struct(F.lit("firm").alias("key"), F.lit("업체명(x)").alias("label"))))
+    values = rows.select("doc_id").distinct().select("doc_id", asked.alias("v"), F.lit("x").alias("value"))
+    found = records.fill_by_label(rows, values.select("doc_id", "v.*", "value"), below=["name"])
     return found.select("doc_id", "row", F.col("column").cast("long").alias("column"), "key")
 
 
@@ -280,7 +282,9 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id")
-    content = F.when(p % 5 == 0, F.concat(F.lit("%PDF-1.7 "), "html")).when(p % 5 == 1, F.concat(F.lit("PK"), "html")).when(p % 5 == 2, F.concat(F.lit("<?xml version='1.0'?>"), F.replace("html", F.lit("<!DOCTYPE html>"), F.lit("")))).when(p % 5 == 3, F.lit("text")).otherwise(F.col("html"))
+    escaped = F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    element = F.concat(F.lit("<page>"), escaped, F.lit("</page>"))
+    content = F.when(p % 5 == 0, F.concat(F.lit("%PDF-1.7 "), "html")).when(p % 5 == 1, F.concat(F.lit("PK"), "html")).when(p % 5 == 2, F.concat(F.lit("<?xml version='1.0'?>"), element)).when(p % 5 == 3, F.concat(element, F.lit("<!DOCTYPE a>"))).otherwise(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", phrases.detect_format(F.encode(content, "UTF-8")).alias("format"))
 
 
@@ -376,7 +380,8 @@ a as (select u, 1 as rule, arg_min(v, case k when 'view' then 0 else 1 end) as v
 select u as record_id, rule::int as rule_id, v as value, err as error, case rule when 1 then v when 2 then 'a_b  ' || v when 3 then v || ' a_b' when 5 then 'a<' || v || '>b' when 7 then 'a_b' end as text, case when err is null then rule != 7 end as changed, case when rule = 7 then 'MARKER_NOT_FOUND' end as cell_error from a where coalesce(v, '') != '' or err is not null""",
     "map_template_fields": """with r as (select user_id as u, event_type as k, max(event_id) as e from events group by 1, 2), h as (select u, k, e::varchar as v from r where e % 4 != 0), f as (select u, arg_min(v, k = 'click') as v from h where k in ('view', 'click') group by 1), s as (select u, arg_min(v, k = 'signup') as v from h where k in ('error', 'signup') group by 1)
 select u as case_id, 'T1' as template_id, 'first' as field, v as value from f union all select u, 'T1', 'again', v from f union all select distinct u, 'T1', 'country', 'KR' from r union all select u, 'T1', 'signup', v from s""",
-    "fill_by_label": f"""with {CELLS_SQL}, n as (select *, lead("column") over (partition by doc_id, "row" order by "column") as nc from cells) select a.doc_id, a."row" + 1 as "row", a."column", 'name' as key from cells a join cells b on a.doc_id = b.doc_id and b."row" = a."row" + 1 and b."column" = a."column" where a.text = '성명' union all select doc_id, "row", nc, 'firm' from n where text = '업체명' and nc is not null""",
+    "fill_by_label": f"""with {CELLS_SQL}, r as (select doc_id, "row", lead("row") over (partition by doc_id order by "row") as nr from (select distinct doc_id, "row" from cells)), n as (select *, lead("column") over (partition by doc_id, "row" order by "column") as nc from cells)
+select doc_id, nr as "row", "column", 'name' as key from n join r using (doc_id, "row") where text = '성명' and nr = "row" + 1 union all select doc_id, "row", nc, 'firm' from n where text = '업체명' and nc is not null""",
     "mark_options": f"with {_LINES} select d as doc_id, n as \"row\", case p % 3 when 0 then '[V] Yes' else '[V]NO' end as text from l join orders on o_orderkey = d where p % 3 = d % 3 and p % 3 != 2",
     "bulk_replace": "with r as (select doc_id, replace(text, 'the ', lang) as t, ((length(text) - length(replace(text, 'the ', ''))) // 4)::bigint as n from documents) select doc_id, md5(t) as text, n as replaced, case when n = 0 then 'NOTHING_REPLACED' end as error from r",
     "kv_records": r"""with d as (select doc_id as r, lang, doc_id % 5 as k, regexp_replace(regexp_replace(translate(text, chr(10), ' '), '^[\s\x{0B}\x{85}\p{Z}]+', ''), '[\s\x{0B}\x{85}\p{Z}]+$', '') as t from documents)
@@ -384,7 +389,7 @@ select r as record_id, unnest(['lang', 'lines', 'text']) as key, md5(unnest([lan
     "html_rows": r"""with b as (select page_id, regexp_extract(replace(html, '</a>', '</a><a>n</a>'), '(?is)<nav\b[^>]*>(.*?)</nav>', 1) as nav from pages), r as (select page_id, regexp_extract_all(nav, '(?is)<li\b[^>]*>(.*?)</li>', 1) as l from b),
 u as (select page_id, unnest(range(len(l))) as pos, unnest(l) as li from r), c as (select page_id, pos, regexp_extract_all(li, '(?is)<a\b[^>]*>(.*?)</a>', 1) as c from u)
 select page_id, pos, trim(regexp_replace(regexp_replace(c[1], '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as source, trim(c[2]) as translation from c where len(c) >= 2""",
-    "detect_format": "select page_id, ['PDF', 'ZIP_PACKAGE', 'XML', 'UNKNOWN', case when regexp_matches(substr(html, 1, 4096), '(?i)<!(DOCTYPE|ENTITY)') or not regexp_matches(trim(html), '^<[A-Za-z_?]') then 'UNKNOWN' else 'XML' end][page_id % 5 + 1] as format from pages",
+    "detect_format": "select page_id, case when left(c, 5) = '%PDF-' then 'PDF' when left(c, 2) = 'PK' or regexp_matches(c, '(?i)<!(DOCTYPE|ENTITY)') then 'UNKNOWN' else 'XML' end as format from (select page_id, case page_id % 5 when 0 then '%PDF-1.7 ' || html when 1 then 'PK' || html when 2 then '<page>' || replace(replace(html, '&', '&amp;'), '<', '&lt;') || '</page>' when 3 then '<a/><!DOCTYPE a>' else html end as c from pages)",
     "embedded_refs": "select page_id, case when page_id % 3 != 0 then sha256(html) end as ref, case when page_id % 3 != 0 then page_id end as section, true as restored from pages",
     "resolve_snapshot": """with u as (select doc_id, lang || '/' || source || '/' || (n_chars % 50) as name, sha256(text) as h from documents), a as (select name, min(h) as f from u group by 1 having count(distinct h) = 1)
 select doc_id as request_id, case when doc_id % 3 = 0 then h when doc_id % 11 = 0 or doc_id % 7 = 0 then null else f end as fingerprint, case when doc_id % 3 = 0 then null when doc_id % 11 = 0 then 'INVALID_REFERENCE' when doc_id % 7 = 0 or f is null then 'NOT_FOUND' end as error from u left join a using (name)""",

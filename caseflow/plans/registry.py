@@ -219,7 +219,7 @@ ORACLE_SQL = {
     "rrf_fuse": f"with {FUSED_SQL} select request_id, point_id, best_rank, round(score, 9) as score, query_kinds from top",
     "retrieval_metrics": f"with {_METRICS_SQL} select * from cases",
     "retrieval_report": f"with {_METRICS_SQL} select count(*) as n_cases, round(avg(recall_5), 6) as recall_5, round(avg(recall_10), 6) as recall_10, round(avg(recall_30), 6) as recall_30, round(avg(mrr_10), 6) as mrr_10, round(avg(ndcg_10), 6) as ndcg_10, round(avg(precision_5), 6) as precision_5 from cases",
-    "dense_topk": "select q.vec_id as request_id, p.vec_id as point_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], p.embedding::double[]) desc, p.vec_id) - 1 as rank from embeddings q, embeddings p where q.vec_id % 20 = 0 qualify rank < 40",
+    "dense_topk": "select q.vec_id as request_id, p.vec_id as point_id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], p.embedding::double[]), 12) desc, p.vec_id) - 1 as rank from embeddings q, embeddings p where q.vec_id % 20 = 0 qualify rank < 40",
     "sparse_topk": "with p as (select conv_id * 1000 + turn as point_id, w as idx, count(*) as w from (select conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as w from conversations) where length(w) > 4 group by all), s as (select q.point_id as request_id, p.point_id, sum(q.w * p.w)::bigint as score from p q join p on q.idx = p.idx where q.point_id % 1000 = 0 group by all) select *, row_number() over (partition by request_id order by score desc, point_id) - 1 as rank from s qualify rank < 40",
     "latency_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1",
     "resolve_language": """with l(c, n, a) as (values ('en', null, null), ('zh-Hans', 'CN', null), ('vi', 'VN', 'vn'), ('th', 'TH', null), ('fil', 'PH', 'ph'), ('id', 'ID', null), ('mn', 'MN', null), ('si', 'LK', 'lk'), ('ru', 'RU', null), ('uz', 'UZ', null), ('ky', 'KG', 'kg'), ('bn', 'BD', 'bd'), ('ur', 'PK', 'pk'), ('km', 'KH', 'kh'), ('tet', 'TL', 'tl')),

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import strip
+from caseflow.sources.packages import states_package, well_formed
 
 PHRASES = "lang_code string, lang_name string, page string, korean string, foreign_translation string, pronunciation string"
 PHRASE_COLUMNS = [c.split()[0] for c in PHRASES.split(", ")]
 #: What binary forms begin with.
-OLE, PDF, ZIP = "D0CF11E0A1B11AE1", "255044462D", "504B"
+OLE, PDF = "D0CF11E0A1B11AE1", "255044462D"
+#: Pointers of an index, appended to only.
+POINTERS = "sequence long, version string"
 
 
 def file_revision(spark: SparkSession, path: str) -> DataFrame:
@@ -89,11 +96,16 @@ def extract_html_rows(pages: DataFrame, *, block: str = "table", row: str = "tr"
 
 
 def detect_format(content: Column) -> Column:
-    """PDF, HWP_CANDIDATE (an OLE file), ZIP_PACKAGE, XML (begins like it, without DTD or entities) or UNKNOWN, by a file's first bytes."""
+    """PDF, HWP_CANDIDATE (an OLE file), ZIP_PACKAGE (a readable zip that states the package type and has a first section), XML (well-formed, without DTD or entities) or UNKNOWN, by the
+    whole content. Only what is neither PDF nor OLE reaches Python; of a zip only the directory and the type are read. Null is UNKNOWN."""
+
+    @F.pandas_udf("string")
+    def kind_of(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else "ZIP_PACKAGE" if c[:2] == b"PK" and states_package(c) else "XML" if c[:2] != b"PK" and well_formed(c) else "UNKNOWN" for c in contents], dtype="object")
+
     head = F.hex(F.substring(content, 1, 8))
-    start = strip(F.substring(content, 1, 4096).cast("string"))
-    xml = start.rlike(r"(?s)^\x{FEFF}?<(\?xml|[A-Za-z_])") & ~start.rlike(r"(?i)<!(DOCTYPE|ENTITY)")
-    return F.when(head.startswith(PDF), "PDF").when(head == OLE, "HWP_CANDIDATE").when(head.startswith(ZIP), "ZIP_PACKAGE").when(xml, "XML").otherwise("UNKNOWN")
+    settled = F.when(head.startswith(PDF), "PDF").when(head == OLE, "HWP_CANDIDATE")
+    return F.coalesce(settled, kind_of(F.when(settled.isNull(), content)), F.lit("UNKNOWN"))
 
 
 def read_embedded_ref(content: Column, *, target: str = "caseflow") -> Column:
@@ -153,17 +165,41 @@ def verify_artifacts(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("uri", F.when(F.col("known").isNull(), "UNRECORDED").when(~same, "ARTIFACT_TAMPERED").alias("error"))
 
 
-def publish_index(points: DataFrame, current: DataFrame | None, root: str, *, dataset: str, encoder: str, verified) -> str | None:
-    """Writes a version of the index: ``current`` with ``points`` laid over by point_id, partitioned by target_language, below ``{root}/v-<dataset>-<encoder>``.
+def index_version(spark: SparkSession, root: str) -> str | None:
+    """The version in use below ``root``: the one that the last pointer names."""
+    try:
+        last = spark.read.schema(POINTERS).parquet(f"{root}/pointers").agg(F.max_by("version", F.struct("sequence", "version")).alias("v")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return last["v"]
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """The points of the version in use; None if nothing has been published."""
+    version = index_version(spark, root)
+    return None if version is None else spark.read.parquet(f"{root}/{version}")
+
+
+def publish_index(points: DataFrame, root: str, *, dataset: str, encoder: str, verified) -> str | None:
+    """Publishes the index in use with ``points`` laid over it by point_id as a new version below ``root``, partitioned by target_language; gives the version, or None if it is refused.
 
-    ``verified(written) -> bool`` decides whether the pointer table ``{root}/current`` moves to it; it is written last, so a failed check leaves the old version in use. Gives the version or None.
+    Each run writes a folder of its own, named by dataset, encoder and run, so that no version is ever written twice. ``verified(written) -> bool`` decides; after a refusal the version in use and
+    its pointer are as they were. Pointers are a table that is only appended to: Spark commits the one file of a new row by a rename, so a reader finds the old pointer or the new one and never a
+    half, and a run that ends between the steps leaves the old one. Publishing the same points again gives the same rows. Of points that repeat an id one is taken, the same in every run.
     """
     spark = points.sparkSession
-    version = f"v-{dataset[:12]}-{encoder[:12]}"
+    before = index_version(spark, root)
     newest = points.withColumn("__rn", F.row_number().over(Window.partitionBy("point_id").orderBy(F.xxhash64(*points.columns)))).where("__rn = 1").drop("__rn")
-    rows = newest if current is None else current.join(newest.select("point_id"), "point_id", "left_anti").unionByName(newest)
-    rows.write.mode("overwrite").partitionBy("target_language").parquet(f"{root}/{version}")
+    rows = newest
+    if before is not None:
+        current = spark.read.parquet(f"{root}/{before}")
+        rows = current.join(newest.select("point_id"), "point_id", "left_anti").unionByName(newest, allowMissingColumns=True)
+    version = f"v-{dataset[:12]}-{encoder[:12]}-{uuid.uuid4().hex}"
+    rows.write.mode("error").partitionBy("target_language").parquet(f"{root}/{version}")
     if not verified(spark.read.parquet(f"{root}/{version}")):
         return None
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    sequence = F.lit(1) if before is None else F.lit(spark.read.schema(POINTERS).parquet(f"{root}/pointers").agg(F.max("sequence")).first()[0] + 1)
+    spark.range(1).select(sequence.cast("long").alias("sequence"), F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return version

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from caseflow.sources.shared import fresh_path
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int | None = None) -> DataFrame:
     """The Parquet file or folder ``path`` as a stream; it is given as a pattern, as a stream's plain path must be a folder."""
@@ -15,24 +14,13 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, *, files_per
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder in a local session where that is unset, an error on a cluster, which has no folder to fall back to."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="caseflow-stream-")
-    return found.rstrip("/")
-
-
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Runs ``stream`` over all input present, appends its rows to a Parquet table in the shared folder and reads that table.
 
     Offsets and state are in the shared folder as well, so that a lost executor costs only the tasks it had.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    root = fresh_path(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")

@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.functions import facts, fields
@@ -114,15 +115,35 @@ def test_rows_of_stored_pages(spark):
     assert [tuple(r)[2:] for r in got] == [("안녕", "hello", "heh-lo")]
 
 
-def test_index_moves_only_when_verified(spark, tmp_path):
+def _bytes(root):
+    return {p.relative_to(root): p.read_bytes() for p in sorted(root.rglob("*")) if p.is_file()}
+
+
+def test_index_moves_only_when_verified(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path), lambda: {(r["point_id"], r["v"]) for r in phrases.read_index(spark, str(tmp_path)).collect()}
+    assert phrases.read_index(spark, root) is None
     points = spark.createDataFrame([("a", "en", 1), ("b", "vi", 1)], "point_id string, target_language string, v int")
-    first = phrases.publish_index(points, None, str(tmp_path), dataset="d1", encoder="e", verified=lambda df: df.count() == 2)
-    again = spark.createDataFrame([("a", "en", 2)], points.schema)
-    failed = phrases.publish_index(again, points, str(tmp_path), dataset="d2", encoder="e", verified=lambda df: False)
-    assert failed is None and spark.read.parquet(str(tmp_path / "current")).first()["version"] == first
-    second = phrases.publish_index(again, points, str(tmp_path), dataset="d3", encoder="e", verified=lambda df: df.count() == 2)
-    assert spark.read.parquet(str(tmp_path / "current")).first()["version"] == second
-    assert {(r["point_id"], r["v"]) for r in spark.read.parquet(str(tmp_path / second)).collect()} == {("a", 2), ("b", 1)}
+    publish = lambda df, ok: phrases.publish_index(df, root, dataset="d1", encoder="e", verified=ok)
+    assert publish(points, lambda df: False) is None and phrases.read_index(spark, root) is None
+    first = publish(points, lambda df: df.count() == 2)
+    assert phrases.index_version(spark, root) == first
+    before, again = _bytes(tmp_path), spark.createDataFrame([("a", "en", 2)], points.schema)
+    # a refused run of the same names leaves every byte of what is in use
+    assert publish(again, lambda df: False) is None
+    after = _bytes(tmp_path)
+    assert all(after[p] == data for p, data in before.items()) and rows() == {("a", 1), ("b", 1)}
+
+    # a run that ends after the write and before the pointer
+    def crash(df):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        publish(again, crash)
+    assert phrases.index_version(spark, root) == first and rows() == {("a", 1), ("b", 1)}
+    second = publish(again, lambda df: df.count() == 2)
+    assert second != first and rows() == {("a", 2), ("b", 1)}
+    publish(again, lambda df: df.count() == 2)
+    assert rows() == {("a", 2), ("b", 1)}
 
 
 def test_terms_need_no_comparison_of_all_with_all(spark):
@@ -183,6 +204,48 @@ def test_packages_of_all_kinds(spark):
     got = {r["path"]: r["errors"] for r in packages.validate_packages(files).collect()}
     assert got == {"good": [], "none": ["NOT_A_PACKAGE"], "text": ["NOT_A_PACKAGE"], "bad": ["XML:Contents/section0.xml"], "dtd": ["XML_DECLARATION:Contents/section0.xml"], "type": ["MIMETYPE"], "name": ["UNSAFE_NAME"], "empty": ["NO_SECTION"]}
     rows = packages.extract_package_tables(files).orderBy("kind").collect()
-    assert [(r["kind"], r["id"], r["column_span"], r["text"]) for r in rows] == [("cell", "section0.table0.row0.cell0", 2, "bc"), ("object", "section0.object0", None, "pic"), ("paragraph", "section0.paragraph0", None, "a")]
+    assert [(r["kind"], r["id"], r["column_span"], r["text"]) for r in rows] == [("cell", "section0.table0.row0.cell0", 2, "bc"), ("object", "section0.object9", None, "pic"), ("paragraph", "section0.paragraph0", None, "a")]
     other = pack("<s><p><t>other words</t></p><tbl><tr><tc><cellSpan colSpan='2'/><t>b</t><t/></tc></tr></tbl><pic/></s>")
-    assert packages.layout_fingerprint(good) == packages.layout_fingerprint(other) != packages.layout_fingerprint(pack("<s/>"))
+    indented = pack("""<s>
+      <p><t>more</t></p> <tbl><tr><tc><cellSpan colSpan='2'/><t>b</t><t>c</t></tc></tr></tbl>
+      <pic/></s>""")
+    prints = [packages.layout_fingerprint(packages.read_package(c)) for c in (good, other, indented, pack("<s/>"))]
+    assert prints[0] == prints[1] == prints[2] != prints[3]
+
+
+def test_formats_by_whole_content(spark):
+    import io
+    import zipfile
+
+    def zipped(**parts):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for name, data in parts.items():
+                z.writestr(name, data)
+        return buffer.getvalue()
+
+    form = {"mimetype": "application/hwp+zip", "Contents/section0.xml": "<s/>"}
+    want = {
+        b"%PDF-1.4 x": "PDF", bytes.fromhex("D0CF11E0A1B11AE1") + b"x": "HWP_CANDIDATE", zipped(**form): "ZIP_PACKAGE", zipped(mimetype="text/plain", **{"Contents/section0.xml": ""}): "UNKNOWN", zipped(mimetype="application/hwp+zip"): "UNKNOWN",
+        b"PK not a zip": "UNKNOWN", b"<a><b></a>": "UNKNOWN", b"<a>" + b"x" * 5000 + b"</a><!DOCTYPE a>": "UNKNOWN", b"<a>" + b"x" * 5000 + b"</a>": "XML", b"<!doctype a><a/>": "UNKNOWN", b"": "UNKNOWN", None: "UNKNOWN", "<?xml version='1.0' encoding='UTF-16'?><a>é</a>".encode("utf-16"): "XML",
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "i int, content binary").select("i", phrases.detect_format(F.col("content")).alias("f")).collect()
+    assert {r["i"]: r["f"] for r in rows} == dict(enumerate(want.values()))
+
+
+def test_anchors_widen_to_any_length(spark):
+    from caseflow.operators.discovery import unique_anchor
+
+    long = "ab" * 300_000 + "X" + "ab" * 300_000
+    rows = spark.createDataFrame([(0, "one two one two three", 4, 7), (1, long, 0, 2), (2, "aaaa", 1, 2), (3, "", 0, 0), (4, None, 0, 0)], "i int, text string, a int, b int")
+    got = {r["i"]: r["x"] for r in rows.select("i", unique_anchor(F.col("text"), F.col("a"), F.col("b")).alias("x")).collect()}
+
+    def plain(text, a, b):
+        pad = 16
+        while True:
+            part = text[max(0, a - pad) : b + pad]
+            if part == text or len(text) - len(text.replace(part, "")) == len(part):
+                return part
+            pad *= 2
+
+    assert got[0] == plain("one two one two three", 4, 7) and got[1] == plain(long, 0, 2) and got[2] == "aaaa" and not got[3] and got[4] is None
