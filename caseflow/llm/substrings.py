@@ -81,26 +81,46 @@ def finer_shards(words: list[str], window: int, gram: int, letters: Powers, powe
         yield "r " + " ".join(words[at + gram : at + gram + window - gram - left + 1]), first, words[first:]
 
 
+def document_anchors(parts: list[bytes], window: int, gram: int, letters: Powers, words: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the runs of a text, their places, first windows and numbers of windows. Anchors only decide which runs meet, so a fast hash does for them."""
+    n = len(parts)
+    _, grams = gram_hashes(parts, gram, letters, words)
+    per_window = window - gram + 1
+    least = np.lib.stride_tricks.sliding_window_view(grams, per_window).argmin(axis=1) + np.arange(n - window + 1)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    count = np.diff(np.concatenate([first, [len(least)]]))
+    return grams[least[first]], least[first], first, count
+
+
 def document_runs(text: str, window: int, gram: int, letters: Powers, words: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Anchors, run digests (two numbers each), first windows and numbers of windows of the runs of a text; None below one window.
 
-    Anchors only decide which runs meet, so a fast hash does for them. Runs with one digest count as equal, so that one is cryptographic: it holds the words and the anchor's place.
+    Runs with one digest count as equal, so that one is cryptographic: it holds the words and the anchor's place.
     """
     parts = text.encode().split()
     n = len(parts)
     if n < window:
         return None
-    _, grams = gram_hashes(parts, gram, letters, words)
-    per_window = window - gram + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, per_window).argmin(axis=1) + np.arange(n - window + 1)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-    count = np.diff(np.concatenate([first, [len(least)]]))
-    anchor = least[first]
+    found, anchor, first, count = document_anchors(parts, window, gram, letters, words)
     joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1)
     begin = np.concatenate([[0], ends[:-1]])[first].tolist()
     stop = (ends[first + count + window - 2] - 1).tolist()
     digests = b"".join([blake2b(joined[a:b], digest_size=16, salt=k.to_bytes(8, "little")).digest() for a, b, k in zip(begin, stop, (anchor - first).tolist(), strict=True)])
-    return grams[anchor], np.frombuffer(digests, np.int64).reshape(-1, 2), first, count
+    return found, np.frombuffer(digests, np.int64).reshape(-1, 2), first, count
+
+
+def anchors_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """The anchor of every run of the texts of ``docs`` (doc_id, text), without the runs."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, words = Powers(BASE), Powers(WORD_BASE)
+        for batch in batches:
+            texts = (text.as_py().encode().split() for text in batch.column(0))
+            found = [document_anchors(parts, window, gram, letters, words)[0] for parts in texts if len(parts) >= window]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["anchor"])
+
+    return docs.select("text").mapInArrow(find, "anchor long")
 
 
 def anchored_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -203,7 +223,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, gram: int = 8) -> DataF
     """(doc_id, start, stop): spans of words, each covered by windows that start earlier elsewhere. ``docs`` has doc_id (long, not null) and text (not null)."""
     spark = docs.sparkSession
     runs = anchored_runs(docs, window, gram)
-    anchors = materialize(runs.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "substrings-anchors")
+    anchors = materialize(anchors_of(docs, window, gram).groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "substrings-anchors")
     release_shuffles(spark)
     suspects = materialize(runs.join(anchors, "anchor"), "substrings-suspects")
     release_shuffles(spark)
