@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.plans import registry
-from caseflow.streaming import cases
+from caseflow.streaming import cases, timed
 from caseflow.streaming.sinks import read_stream, run_available
 
 
@@ -62,9 +62,62 @@ def stream_trace_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("branch", F.date_format("started", "yyyy-MM-dd").alias("day"), "n", "slowest")
 
 
-QUERIES = {f.__name__: f for f in (stream_check_transitions, stream_attempt_cap, stream_resume_slots, stream_one_time_delivery, stream_upsert_points, stream_trace_latency)}
+#: What the registered streams in event time wait for, and the length of a stretch.
+DAYS = {"delay": "2 days", "width": "1 day"}
 
+
+def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def timed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = _pick(["DRAFT", "NEEDS_INFO", "READY_FOR_REVIEW", "APPROVED", "IN_PROGRESS", "COMPLETED"], F.col("event_id"))
+    history = _timed_events(spark, sf_dir).select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), "at", status.alias("status"))
+    found = run_available(timed.timed_transitions(history, **DAYS, idle="20 days"), "timed-transitions")
+    return found.groupBy("previous", "status", "allowed").agg(F.count("*").alias("n"))
+
+
+def timed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = F.when(F.col("o_orderstatus") == "F", "ABORTED_NO_OUTPUT").otherwise("OK")
+    rows = _stream(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("attempt_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), result.alias("result"))
+    return run_available(timed.timed_attempts(rows, delay="30 days", width="100 days"), "timed-attempts")
+
+
+def timed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _timed_events(spark, sf_dir).select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "at", F.create_map("event_type", F.col("event_id").cast("string")).alias("slots"))
+    held = run_available(timed.timed_slots(rows, **DAYS), "timed-slots")
+    pairs = F.transform(F.array_sort(F.map_entries("slots")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return held.select("task_id", "seq", F.array_join(pairs, ",").alias("slots"))
+
+
+def timed_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    rows = _timed_events(spark, sf_dir).select(
+        F.col("user_id").alias("doc_id"), key.alias("action_id"), "at", F.when(key % 5 == 0, "issue").otherwise("consume").alias("kind"), (key % 3).alias("delivery_id"), (F.col("at") + F.expr("interval 36 hours")).alias("expires_at")
+    )
+    found = run_available(timed.timed_deliveries(rows, **DAYS), "timed-deliveries")
+    return found.groupBy("doc_id", "outcome").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (timed_transitions, timed_attempts, timed_slots, timed_deliveries, stream_check_transitions, stream_attempt_cap, stream_resume_slots, stream_one_time_delivery, stream_upsert_points, stream_trace_latency)}
+
+#: Events in stretches that the watermark has closed.
+_CLOSED = "hz as (select epoch_ms(max(ts) - interval 2 day) // 86400000 * 86400000 as h from events), ev as (select events.* from events, hz where (epoch_ms(ts) // 86400000 + 1) * 86400000 <= h)"
 ORACLE_SQL = {
+    "timed_transitions": f"""with {_CLOSED}, s as (select *, ['DRAFT','NEEDS_INFO','READY_FOR_REVIEW','APPROVED','IN_PROGRESS','COMPLETED'][event_id % 6 + 1] as status from ev), p as (select status, lag(status) over (partition by user_id order by ts, event_id) as previous from s)
+select previous, status, previous is null or (previous, status) in ({registry._NEXT}) as allowed, count(*) as n from p group by all""",
+    "timed_attempts": """with hz as (select epoch_ms(max(o_orderdate) - interval 30 day) // 8640000000 * 8640000000 as h from orders), o as (select orders.* from orders, hz where (epoch_ms(o_orderdate::timestamp) // 8640000000 + 1) * 8640000000 <= h)
+select o_orderkey as attempt_id, row_number() over w as sequence, (sum((o_orderstatus != 'F')::int) over w)::bigint as counted, sum((o_orderstatus != 'F')::int) over w > 2 as needs_human from o window w as (partition by o_custkey order by o_orderdate, o_orderkey)""",
+    "timed_slots": f"""with {_CLOSED}, t as (select distinct event_type from events), h as (select e.user_id, e.event_id, t.event_type, last_value(case when e.event_type = t.event_type then e.event_id end ignore nulls) over (partition by e.user_id, t.event_type order by e.ts, e.event_id) as held from ev e cross join t)
+select user_id as task_id, event_id as seq, string_agg(event_type || '=' || held, ',' order by event_type) filter (where held is not null) as slots from h group by all""",
+    "timed_deliveries": f"""with {_CLOSED}, a as (select user_id as d, event_id as i, ts as t, event_id % 5 = 0 as issue, event_id % 3 as k from ev),
+g as (select *, sum(issue::int) over (partition by d order by t, i) as run from a),
+f as (select *, first_value(k) over w as k0, first_value(t) over w + interval 36 hour as until from g window w as (partition by d, run order by t, i)),
+c as (select *, not issue and run > 0 and k = k0 and t < until as good from f),
+u as (select *, max(good::int) over (partition by d, run order by t, i rows between unbounded preceding and 1 preceding) as used from c),
+r as (select d, run, any_value(until) as until, bool_or(good) as used, min(t) as t from c where run > 0 group by 1, 2), n as (select *, lead(t) over (partition by d order by run) as next from r)
+select d as doc_id, outcome, count(*) as n from (select d, case when issue then 'issued' when run = 0 or k != k0 then 'unknown' when used = 1 then 'already_consumed' when good then 'consumed' else 'expired' end as outcome from u
+  union all select d, 'lapsed' from n, hz where not used and epoch_ms(until) <= h and (next is null or until <= next)) group by all""",
     "stream_check_transitions": registry.ORACLE_SQL["check_transitions"],
     "stream_attempt_cap": registry.ORACLE_SQL["attempt_sequence"],
     "stream_upsert_points": "select distinct user_id || '/' || event_type as point_id from events",
