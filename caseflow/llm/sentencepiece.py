@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from caseflow.llm.shared import fresh_name, per_worker
 
 BLANK = "▁"
-#: Boundaries that may wait in one window before convergence is looked for.
-STRIDE = 64
 #: Encoded chunks of a generation and pair verdicts kept by a worker; beyond it the memory starts anew.
 CACHE_ROWS, PAIR_ROWS = 120_000, 250_000
 #: Documents encoded before their ids leave the task.
@@ -119,15 +117,16 @@ class StreamingViterbi:
             return [piece]
         return [self.v.byte[b] for b in chr(-2 - piece).encode()] if self.v.byte else [self.v.unknown]
 
-    def _length(self, piece: int) -> int:
-        return len(self.v.text[piece]) if piece >= 0 else 1
-
     def pieces(self, text: str) -> Iterator[int]:
-        """The pieces of ``text``, each as soon as it is final."""
-        bpe, n, root = self.bpe, len(text), self.endings
-        verdict, back, total, done = self.pairs.get, {0: -1}, {0: 0.0}, 0  # of the boundaries in the window: backpointer and the path's score
-        for end in range(1, n + 1):
-            node, start = root, end
+        """The pieces of ``text``, each as soon as it is final.
+
+        The window holds the boundaries from the last one on which all paths met. When it is wider than the longest piece, the open boundaries (those a further piece can start from) are
+        followed back; where they meet, what is before is final and leaves the window, but for the piece that ends there, which still decides which pieces may follow.
+        """
+        bpe, root, longest, verdict = self.bpe, self.endings, self.v.longest, self.pairs.get
+        back, begin, total, done = [-1], [0], [0.0], 0  # of the boundaries from ``done`` on: the piece that ends there, where it starts, the path's score
+        for end in range(1, len(text) + 1):
+            node, start, best, origin, score = root, end, None, 0, 0.0
             while start > done:
                 start -= 1
                 node = node.get(text[start])
@@ -139,82 +138,50 @@ class StreamingViterbi:
                     piece = node.get(0)
                     if piece is None:
                         continue
-                left = back.get(start)
+                left = back[start - done]
                 if left is None:
                     continue
                 if bpe:  # one piece at most is open at a boundary
                     fits = verdict(left << 20 | piece) if left >= 0 <= piece else None
                     if fits or fits is None and self._open(left, piece):
-                        back[end] = piece
+                        best, origin = piece, start
                         break
                 else:
-                    score = total[start] + (self.v.score[self.v.text[piece]] if piece >= 0 else self.lowest)
-                    if end not in back or score > total[end]:
-                        back[end], total[end] = piece, score
-            if end % STRIDE == 0 and end < n:
-                self.widest = max(self.widest, len(back))
-                meeting = self._convergence(back, end)
+                    path = total[start - done] + (self.v.score[self.v.text[piece]] if piece >= 0 else self.lowest)
+                    if best is None or path > score:
+                        best, origin, score = piece, start, path
+            back.append(best)
+            begin.append(origin)
+            total.append(score)
+            if end - done > longest:
+                self.widest = max(self.widest, end - done)
+                meeting = self._convergence(back, begin, done, end)
                 if meeting > done:
-                    yield from self._path(back, done, meeting)
-                    # the piece before the meeting point is out, but still decides which pieces may follow it
-                    back, total = ({k: x for k, x in kept.items() if k >= meeting} for kept in (back, total))
+                    yield from self._path(back, begin, done, meeting)
+                    back, begin, total = (kept[meeting - done :] for kept in (back, begin, total))
                     done = meeting
-        yield from self._path(back, done, n)
+        yield from self._path(back, begin, done, len(text))
 
-    def _convergence(self, back: dict, end: int) -> int:
+    def _convergence(self, back: list, begin: list, done: int, end: int) -> int:
         """The last boundary that the paths of all open boundaries share."""
-        first = min(back)
-        heads = {k for k in back if k > end - self.v.longest}
+        heads = {k for k in range(max(done, end - self.v.longest + 1), end + 1) if back[k - done] is not None}
         while len(heads) > 1:
             last = max(heads)
             heads.discard(last)
-            heads.add(last - self._length(back[last]))
-        return heads.pop() if heads else first
-
-    def _path(self, back: dict, start: int, stop: int) -> list[int]:
-        found = []
-        while stop > start:
-            found.append(back[stop])
-            stop -= self._length(back[stop])
-        return found[::-1]
-
-    def window(self, text: str) -> list[int]:
-        """The pieces of a text below a stride, which is one window: the same trellis without the search for convergence."""
-        n, root, verdict = len(text), self.endings, self.pairs.get
-        back, begin = [-1] + [None] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            node, start = root, end
-            while start:
-                start -= 1
-                node = node.get(text[start])
-                if node is None:
-                    if start < end - 1:
-                        break
-                    node, piece = self.endings_of_none, -2 - ord(text[start])
-                else:
-                    piece = node.get(0)
-                    if piece is None:
-                        continue
-                left = back[start]
-                if left is None:
-                    continue
-                fits = verdict(left << 20 | piece) if left >= 0 <= piece else None
-                if fits or fits is None and self._open(left, piece):
-                    back[end], begin[end] = piece, start
-                    break
-        found = []
-        while n:
-            found.append(back[n])
-            n = begin[n]
+            heads.add(begin[last - done])
+        return heads.pop() if heads else done
+
+    @staticmethod
+    def _path(back: list, begin: list, done: int, stop: int) -> list[int]:
+        found, at = [], stop
+        while at > done:
+            found.append(back[at - done])
+            at = begin[at - done]
         return found[::-1]
 
     def encode(self, text: str) -> tuple[int, ...]:
-        if self.bpe and len(text) < STRIDE:
-            found = self.window(text)
-            if min(found, default=0) >= 0:
-                return tuple(found)
-            return tuple(i for piece in found for i in self._ids(piece))
-        return tuple(i for piece in self.pieces(text) for i in (self._ids(piece) if piece < 0 else (piece,)))
+        found = tuple(self.pieces(text))
+        return found if min(found, default=0) >= 0 else tuple(i for piece in found for i in self._ids(piece))
 
 
 class Encoder(dict):
