@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caseflow.functions.facts import parse_date
+from caseflow.functions.facts import let, parse_date
 from caseflow.functions.text import strip
 
 #: Words for a ticked and an unticked box, and for true and false.
@@ -65,18 +65,29 @@ def parse_boolean(c: Column) -> Column:
 
 def parse_document_date(c: Column, *, day_first: bool = False) -> Column:
     """A document's date: year first with - . or /; with ``day_first`` also day-month-year in four notations; and bilingual dates whose two months agree."""
-    text = strip(c)
-    year_first = r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})$"
-    tries = [F.when(text.rlike(year_first), parse_date(*[F.regexp_extract(text, year_first, i) for i in (1, 3, 4)]))]
+    return let(strip(c), lambda text: _document_date(text, day_first))
+
+
+def _document_date(text: Column, day_first: bool) -> Column:
+    """Dates by their shape: the pattern that fits the whole text gives the parts, all at once."""
+
+    def dated(pattern: str, year: int, month, day: int, *, if_=None) -> tuple[Column, Column]:
+        parts = F.split(F.regexp_replace(text, pattern, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+        made = let(parts, lambda p: F.when(if_(p) if if_ else F.lit(True), parse_date(p[year - 1], month(p), p[day - 1])))
+        return text.rlike(pattern), made
+
+    nth = lambda i: lambda p: p[i - 1]
     month_of = lambda name: F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(name)).cast("string")
+    shapes = [dated(r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})$", 1, nth(3), 4)]
     if day_first:
-        numeric, named = r"^(\d{1,2})([-./])(\d{1,2})\2(\d{4})$", r"(?U)^(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})$"
-        tries.append(F.when(text.rlike(numeric), parse_date(*[F.regexp_extract(text, numeric, i) for i in (4, 3, 1)])))
-        tries.append(F.when(text.rlike(named), parse_date(F.regexp_extract(text, named, 3), month_of(F.regexp_extract(text, named, 2)), F.regexp_extract(text, named, 1))))
-    both = r"(?U)^(\d{1,2})\s+(\d{1,2})월\s*/\s*([A-Za-z]{3})\s+(\d{4})$"
-    agree = month_of(F.regexp_extract(text, both, 3)) == F.regexp_extract(text, both, 2).cast("int").cast("string")
-    tries.append(F.when(text.rlike(both), F.when(agree, parse_date(F.regexp_extract(text, both, 4), F.regexp_extract(text, both, 2), F.regexp_extract(text, both, 1)))))
-    return F.coalesce(*tries)
+        shapes.append(dated(r"^(\d{1,2})([-./])(\d{1,2})\2(\d{4})$", 4, nth(3), 1))
+        shapes.append(dated(r"(?U)^(\d{1,2})(\s+)([A-Za-z]{3})\s+(\d{4})$", 4, lambda p: month_of(p[2]), 1))
+    agree = lambda p: month_of(p[2]) == p[1].cast("int").cast("string")
+    shapes.append(dated(r"(?U)^(\d{1,2})\s+(\d{1,2})월\s*/\s*([A-Za-z]{3})\s+(\d{4})$", 4, nth(2), 1, if_=agree))
+    out = None
+    for fits, made in shapes:
+        out = F.when(fits, made) if out is None else out.when(fits, made)
+    return out
 
 
 def mrz_birth_date(c: Column, as_of: Column) -> Column:

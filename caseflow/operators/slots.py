@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.facts import let
 from caseflow.functions.text import strip
 
 #: Slots that identity documents give, slots a renewal needs of the contract, slots that staff are never asked for.
@@ -58,10 +59,13 @@ def _truthy(v: Column) -> Column:
 
 def overlay(base: Column, more: Column, *, wins: Column | None = None) -> Column:
     """``base`` with the truthy entries of ``more``: absent keys always, present ones only where ``wins`` (an array of names) holds them."""
-    base, more = F.coalesce(base, no_slots()), F.coalesce(more, no_slots())
-    strong = F.array().cast("array<string>") if wins is None else wins
-    fill = F.map_filter(more, lambda k, v: _truthy(v) & (~F.map_contains_key(base, k) | F.array_contains(strong, k)))
-    return F.map_zip_with(base, fill, lambda k, a, b: F.when(F.map_contains_key(fill, k), b).otherwise(a))
+    absent = lambda maps, k: ~F.map_contains_key(maps["base"], k)
+    fills = absent if wins is None else lambda maps, k: absent(maps, k) | F.array_contains(wins, k)
+    # both maps and what fills are used in several places, so each is computed once
+    both = F.struct(F.coalesce(base, no_slots()).alias("base"), F.coalesce(more, no_slots()).alias("more"))
+    filled = lambda maps: F.map_filter(maps["more"], lambda k, v: _truthy(v) & fills(maps, k))
+    merged = lambda base, fill: F.map_zip_with(base, fill, lambda k, a, b: F.when(F.map_contains_key(fill, k), b).otherwise(a))
+    return let(both, lambda maps: let(filled(maps), lambda fill: merged(maps["base"], fill)))
 
 
 def pairs_map(pairs: dict[str, Column]) -> Column:

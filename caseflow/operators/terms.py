@@ -34,8 +34,7 @@ def matched_terms(texts: DataFrame, terms: DataFrame, *, key: str = "term_id", f
         return F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     head = F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[parts(n) for n in sorted(sizes)]))).alias("head")
-    if few:
-        found = rows.select("text_id", "text", head).join(F.broadcast(known), "head")
-    else:
-        found = rows.select("text_id", head).join(known, "head").join(rows, "text_id")
+    # the text would be copied for each of its sequences, so it stays behind and meets the few hits
+    hits = rows.select(F.col("text_id").alias("hit_id"), head).join(F.broadcast(known) if few else known, "head").select("hit_id", key, "term").distinct()
+    found = rows.join(hits, F.col("text_id").eqNullSafe(F.col("hit_id")))
     return found.where(F.contains("text", F.col("term"))).select("text_id", key, "term", F.expr("locate(term, text)").alias("at"))
