@@ -93,3 +93,21 @@ def merge_resume(stored: DataFrame, update: DataFrame) -> DataFrame:
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     merged = F.map_zip_with(F.coalesce("old", none), F.coalesce("slots", none), lambda k, a, b: F.coalesce(b, a))
     return both.select("task_id", merged.alias("slots"), F.coalesce(F.nullif(F.col("instruction"), F.lit("")), F.col("before")).alias("instruction"))
+
+
+def resume_cases(stored: DataFrame, update: DataFrame) -> DataFrame:
+    """(task_id, instruction, slots, documents, worker_id, company_id, intent, workflow_id, ocr_result): stored cases as they go on with an update.
+
+    New slots stand over stored ones, an empty instruction keeps the stored one, documents are the new ones alone, ids fall back to the stored ones; intent, workflow and recognised fields are
+    the stored ones. Cases without an update stay as they are, but for their documents; updates of unknown tasks begin a case. Task ids stand once on each side.
+    """
+    no_map = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    old, new = stored.alias("o"), update.alias("n")
+    both = old.join(new, F.col("o.task_id") == F.col("n.task_id"), "full_outer")
+    slots = F.map_zip_with(F.coalesce("o.slots", no_map), F.coalesce("n.slots", no_map), lambda k, a, b: F.when(F.map_contains_key(F.coalesce("n.slots", no_map), k), b).otherwise(a))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return both.select(
+        F.coalesce("n.task_id", "o.task_id").alias("task_id"), text(F.coalesce(F.nullif(F.col("n.instruction"), F.lit("")), F.col("o.instruction"))).alias("instruction"), slots.alias("slots"),
+        F.coalesce("n.documents", F.array().cast(update.schema["documents"].dataType)).alias("documents"), F.coalesce("n.worker_id", "o.worker_id").alias("worker_id"), F.coalesce("n.company_id", "o.company_id").alias("company_id"),
+        text(F.col("o.intent")).alias("intent"), text(F.col("o.workflow_id")).alias("workflow_id"), F.col("o.ocr_result"),
+    )

@@ -82,3 +82,32 @@ def mark_options(cells: DataFrame, options: DataFrame) -> DataFrame:
     box = F.regexp_extract("text", r"\[\s*\]|□", 0)
     at = F.call_function("locate", box, F.col("text"))
     return ticked.select(*place, F.concat(F.substring(F.col("text"), F.lit(1), at - 1), F.lit("[V]"), F.substring(F.col("text"), at + F.length(box), F.length("text"))).alias("text"))
+
+
+#: Boxes that are empty, and the placeholder that a text value of an option rewrites.
+EMPTY_BOX, STATUS = r"\[ {1,2}\]", "희망 자격"
+
+
+def apply_application_options(cells: DataFrame, options: DataFrame) -> DataFrame:
+    """(doc_id, table_id, row, column, text): the cells that options change. Options have doc_id, label and value (text or null).
+
+    An option's label finds cells by its letters; the first of them, by place, that can be marked is marked: its empty boxes are ticked, and a value also rewrites the desired status in the
+    first cell that names one, from the option's own cell on in its row. Options are applied to the cells as they are; of several that rewrite one status the last by label stands. Repeated
+    options count once; a null label finds nothing.
+    """
+    place = ["doc_id", "table_id", "row", "column"]
+    keyed = cells.where(strip(F.col("text")) != "").select(*place, "text", label_key(F.col("text")).alias("k"))
+    wanted = options.select("doc_id", "label", "value", label_key(F.col("label")).alias("w")).distinct()
+    by = lambda part: keyed.where(F.col(f"k.{part}") != "").withColumn("m", F.col(f"k.{part}")).join(wanted.withColumn("m", F.col(f"w.{part}")), ["doc_id", "m"]).select(*place, "text", "label", "value")
+    found = by("hangul").unionByName(by("latin")).distinct()
+    statuses = cells.where(F.contains("text", F.lit(STATUS))).select("doc_id", "table_id", "row", F.col("column").alias("status_column"))
+    valued = found.where("value != ''").select(*place, "label", "value").join(statuses, ["doc_id", "table_id", "row"]).where("status_column >= column").groupBy(*place, "label", "value").agg(F.min("status_column").alias("status_column"))
+    both = found.withColumn("boxed", F.col("text").rlike(EMPTY_BOX)).join(valued, [*place, "label", "value"], "left").where("boxed or status_column is not null")
+    first = both.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "label", "value").orderBy("table_id", "row", "column"))).where("rn = 1")
+    ticks = first.where("boxed").select(*place, F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"))
+    rewrites = first.where("status_column is not null").select("doc_id", "table_id", "row", F.col("status_column").alias("column"), "label", "value")
+    edits = ticks.unionByName(rewrites).groupBy(*place).agg(F.count_if(F.col("label").isNull()).alias("ticks"), F.max_by("value", "label").alias("value"))
+    ticked = F.when(F.col("ticks") > 0, F.regexp_replace("text", EMPTY_BOX, "[v]")).otherwise(F.col("text"))
+    quoted = F.regexp_replace("value", r"([\\$])", r"\\$1")
+    done = F.when(F.col("value").isNull(), ticked).otherwise(F.regexp_replace(ticked, F.lit(r"(?U)희망\s*자격\s*:\s*[^)]*"), F.concat(F.lit(f"{STATUS} : "), quoted)))
+    return cells.join(edits, place).select(*place, done.alias("text"))

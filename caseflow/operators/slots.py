@@ -5,7 +5,7 @@ Slots are maps from name to text. A key that is present counts as present whatev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions.facts import let
@@ -241,3 +241,17 @@ def analyze_phase(requests: DataFrame) -> DataFrame:
     status = F.when(outside, "OUT_OF_SCOPE").when(plan, "PLANNED").when(F.col("slots").isNull(), "NO_WORKER").when(F.size(missing) > 0, "NEEDS_INFO").otherwise("CANDIDATE")
     keys = F.when(outside, none).when(plan, F.col("required_slots")).when(F.col("slots").isNull(), none).otherwise(missing)
     return requests.withColumn("status", status).withColumn("keys", keys)
+
+
+SAVES = "worker_id long, task_id long, seq long, slots map<string,string>"
+
+
+def save_identity_slots(saves: DataFrame, root: str) -> None:
+    """Appends saves (worker_id, task_id, seq, slots) to the audit table below ``root``, which is never rewritten; saves of unknown workers and of none are kept as well."""
+    saves.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in SAVES.split(", ")]).write.mode("append").parquet(f"{root}/identity-saves")
+
+
+def saved_workers(spark: SparkSession, root: str, workers: DataFrame) -> DataFrame:
+    """``workers`` with every save of the audit table laid over their slots, in order of seq; null values are saved as well."""
+    saves = spark.read.schema(SAVES).parquet(f"{root}/identity-saves").where("worker_id is not null")
+    return upsert_identity_slots(saves.select("worker_id", "seq", F.explode("slots").alias("key", "value")), workers)

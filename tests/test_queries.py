@@ -6,11 +6,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from caseflow.plans import discovery, edits, language, models, registry, slots, streams
+from caseflow.plans import discovery, edits, language, models, registry, reviews, slots, streams
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CORE = {name: (query, module.ORACLE_SQL.get(name)) for module in (registry, language, slots, edits, discovery, models, streams) for name, query in module.QUERIES.items()}
+CORE = {name: (query, module.ORACLE_SQL.get(name)) for module in (registry, language, slots, edits, discovery, models, reviews, streams) for name, query in module.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
