@@ -69,8 +69,8 @@ class InEventTime(StatefulProcessor):
                 known = list(self.waiting.getValue((stretch,))[0]) if self.waiting.containsKey((stretch,)) else []
                 self.waiting.updateValue((stretch,), ([*known, sink.getvalue().to_pybytes()],))
                 timers.add((stretch + 1) * self.width)
-        for at in timers:
-            self.handle.registerTimer(at)
+        if timers:  # one for the earliest stretch; when it fires it sets the next one
+            self.handle.registerTimer(min(timers))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -79,7 +79,10 @@ class InEventTime(StatefulProcessor):
         fold, found = self.fold, []
         upto, *state = self.held.get() if self.held.exists() else (0, *fold.empty())
         state = tuple(state)
-        closed = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.width <= now)
+        stretches = sorted(k[0] for k in self.waiting.keys())
+        closed = [k for k in stretches if (k + 1) * self.width <= now]
+        if stretches[len(closed) :]:
+            self.handle.registerTimer((stretches[len(closed)] + 1) * self.width)
         for stretch in closed:
             parts = [pa.ipc.open_stream(p).read_pandas() for p in self.waiting.getValue((stretch,))[0]]
             rows = pd.concat(parts, ignore_index=True).sort_values(["event_ms", *fold.order], kind="stable", ignore_index=True)
@@ -90,9 +93,9 @@ class InEventTime(StatefulProcessor):
         if fold.due(state) <= now:
             state, new = fold.lapse(key[0], state)
             found += new
-        if self.idle is not None and upto + self.idle <= now and not any(True for _ in self.waiting.keys()):
+        if self.idle is not None and upto + self.idle <= now and len(closed) == len(stretches):
             self.held.clear()
-        else:
+        elif closed or found:
             self.held.update((upto, *state))
             if now < fold.due(state) < NEVER:
                 self.handle.registerTimer(-(-fold.due(state) // self.width) * self.width)
