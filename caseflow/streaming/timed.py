@@ -7,12 +7,12 @@ and a key without rows for ``idle`` loses its state. State is kept by RocksDB be
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Iterator
+from itertools import groupby, islice
 from typing import Any
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,10 +22,12 @@ from caseflow.operators.cases import TRANSITIONS
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NEVER = 2**62
+#: Rows of a key that are put away together.
+CHUNK_ROWS = 10_000
 
 
 class Fold:
-    """What an operator does with a key's rows: ``empty`` is the state of a new key, ``step`` takes a frame by time and then ``order`` and gives (state, rows of the result), and ``due`` says when, in
+    """What an operator does with a key's rows: ``empty`` is the state of a new key, ``step`` takes rows (time in milliseconds, then ``columns``) by time and then ``order`` and gives (state, rows of the result), and ``due`` says when, in
     milliseconds, the state changes without a row; ``lapse`` then gives what becomes of it."""
 
     columns: list[str] = []
@@ -36,7 +38,7 @@ class Fold:
     def empty(self) -> tuple:
         return ()
 
-    def step(self, key: Any, rows: pd.DataFrame, state: tuple) -> tuple[tuple, list[tuple]]:
+    def step(self, key: Any, rows: list[tuple], state: tuple) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
     def due(self, state: tuple) -> int:
@@ -53,30 +55,26 @@ class InEventTime(StatefulProcessor):
         self.fold, self.width, self.idle = fold, width, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.handle, self.made = handle, Row(*[c.split()[0] for c in self.fold.out.split(", ")])
         self.held = handle.getValueState("held", f"upto long, {self.fold.state}")
         self.waiting = handle.getMapState("waiting", "stretch long", "parts array<binary>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        timers = set()
-        for part in rows:
-            for stretch, some in part.groupby(part["event_ms"] // self.width, sort=False):
-                stretch = int(stretch)
-                sink = pa.BufferOutputStream()
-                table = pa.Table.from_pandas(some, preserve_index=False)
-                with pa.ipc.new_stream(sink, table.schema) as writer:
-                    writer.write_table(table)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stretches = set()
+        while part := list(islice(rows, CHUNK_ROWS)):
+            plain = sorted((tuple(r)[2:] for r in part), key=lambda r: r[0])
+            for stretch, some in groupby(plain, key=lambda r: r[0] // self.width):
                 known = list(self.waiting.getValue((stretch,))[0]) if self.waiting.containsKey((stretch,)) else []
-                self.waiting.updateValue((stretch,), ([*known, sink.getvalue().to_pybytes()],))
-                timers.add((stretch + 1) * self.width)
-        if timers:  # one for the earliest stretch; when it fires it sets the next one
-            self.handle.registerTimer(min(timers))
+                self.waiting.updateValue((stretch,), ([*known, bytearray(pickle.dumps(list(some)))],))
+                stretches.add(stretch)
+        if stretches:  # one timer for the earliest stretch; when it fires it sets the next one
+            self.handle.registerTimer((min(stretches) + 1) * self.width)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # whole stretches behind the watermark; all rows before it are in order then
         now = timerValues.getCurrentWatermarkInMs() // self.width * self.width
-        fold, found = self.fold, []
+        fold, found, order = self.fold, [], [1 + self.fold.columns.index(c) for c in self.fold.order]
         upto, *state = self.held.get() if self.held.exists() else (0, *fold.empty())
         state = tuple(state)
         stretches = sorted(k[0] for k in self.waiting.keys())
@@ -84,8 +82,8 @@ class InEventTime(StatefulProcessor):
         if stretches[len(closed) :]:
             self.handle.registerTimer((stretches[len(closed)] + 1) * self.width)
         for stretch in closed:
-            parts = [pa.ipc.open_stream(p).read_pandas() for p in self.waiting.getValue((stretch,))[0]]
-            rows = pd.concat(parts, ignore_index=True).sort_values(["event_ms", *fold.order], kind="stable", ignore_index=True)
+            rows = [row for part in self.waiting.getValue((stretch,))[0] for row in pickle.loads(bytes(part))]
+            rows.sort(key=lambda row: (row[0], *((row[i] is None, row[i]) for i in order)))
             state, new = fold.step(key[0], rows, state)
             found += new
             self.waiting.removeKey((stretch,))
@@ -101,8 +99,8 @@ class InEventTime(StatefulProcessor):
                 self.handle.registerTimer(-(-fold.due(state) // self.width) * self.width)
             if self.idle is not None and closed:
                 self.handle.registerTimer(-(-(upto + self.idle) // self.width) * self.width)
-        if found:
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in fold.out.split(", ")]).astype({c.split()[0]: "Int64" for c in fold.out.split(", ") if c.endswith(" long")} | {c.split()[0]: "boolean" for c in fold.out.split(", ") if c.endswith(" boolean")})
+        for row in found:
+            yield self.made(*row)
 
     def close(self) -> None:
         pass
@@ -124,7 +122,7 @@ def in_event_time(stream: DataFrame, fold: Fold, *, key: str, at: Column | str,
     rows = stream.withColumn("event_time", F.col(at) if isinstance(at, str) else at).where("event_time is not null").withWatermark("event_time", delay)
     rows = rows.select(F.col(key).alias("event_key"), "event_time", F.unix_millis("event_time").alias("event_ms"), *fold.columns)
     processor = InEventTime(fold, _millis(width, spark), None if idle is None else _millis(idle, spark))
-    return rows.groupBy("event_key").transformWithStateInPandas(processor, fold.out, "Append", "EventTime")
+    return rows.groupBy("event_key").transformWithState(processor, fold.out, "Append", "EventTime")
 
 
 def late_rows(query: StreamingQuery) -> dict[int, int]:
@@ -143,8 +141,7 @@ class Transitions(Fold):
     def step(self, key, rows, state):
         seen, before = state
         found = []
-        for seq, now in zip(rows["seq"], rows["status"], strict=True):
-            now = now if isinstance(now, str) else None
+        for _, seq, now in rows:
             found.append((key, seq, before, now, not seen or before is None or now in TRANSITIONS.get(before, ())))
             seen, before = True, now
         return (seen, before), found
@@ -168,9 +165,11 @@ class Attempts(Fold):
 
     def step(self, key, rows, state):
         sequence, counted = state
-        totals = counted + (rows["result"] != "ABORTED_NO_OUTPUT").cumsum()
-        numbers = range(sequence + 1, sequence + len(rows) + 1)
-        return (sequence + len(rows), int(totals.iloc[-1])), list(zip(rows["attempt_id"], numbers, totals, totals > self.cap, strict=True))
+        found = []
+        for _, attempt, result in rows:
+            sequence, counted = sequence + 1, counted + (result != "ABORTED_NO_OUTPUT")
+            found.append((attempt, sequence, counted, counted > self.cap))
+        return (sequence, counted), found
 
 
 def timed_attempts(attempts: DataFrame, *, cap: int = 2, delay: str, width: str, idle: str | None = None) -> DataFrame:
@@ -188,7 +187,7 @@ class Slots(Fold):
 
     def step(self, key, rows, state):
         slots, found = dict(zip(*state, strict=True)), []
-        for seq, names, vals in zip(rows["seq"], rows["names"], rows["vals"], strict=True):
+        for _, seq, names, vals in rows:
             slots |= {n: v for n, v in zip(names, vals, strict=True) if v is not None or n not in slots}
             found.append((key, seq, list(slots), list(slots.values())))
         return (list(slots), list(slots.values())), found
@@ -219,14 +218,13 @@ class Deliveries(Fold):
 
     def step(self, key, rows, state):
         found = []
-        for at, action, kind, named, until in zip(rows["event_ms"], rows["action_id"], rows["kind"], rows["delivery_id"], rows["expires"], strict=True):
+        for at, action, kind, named, until in rows:
             if self.due(state) <= at:
                 state, gone = self.lapse(key, state)
                 found += gone
             delivery, expires, open_, used = state
-            named = None if pd.isna(named) else int(named)
             if kind == "issue":
-                state, outcome = (named, None if pd.isna(until) else int(until), True, False), "issued"
+                state, outcome = (named, until, True, False), "issued"
             elif kind != "consume":
                 outcome = "invalid"
             elif delivery is None or named != delivery:

@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-import pandas as pd
 import pytest
 from pyspark.sql.types import StructType
 
@@ -104,4 +103,7 @@ def test_a_hot_key_is_folded_stretch_by_stretch(spark, stream):
     hot = source.select("case_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(100_000).cast("long"))).alias("seq"), "at").withColumn("at", F.col("at") + F.make_dt_interval(secs=F.col("seq").cast("decimal(18,6)") * 20))
     found = run_available(timed.in_event_time(hot, Sizes(), key="case_id", at="at", delay="1 day", width="6 hours"), "hot").collect()
     assert max(r["rows"] for r in found) <= 6 * 3600 // 20 + 1 and sum(r["rows"] for r in found) > 90_000
-    assert sorted(r["first"] for r in found) == pd.Series([0, *sorted(found, key=lambda r: r["first"])]).map(lambda r: r if r == 0 else r["rows"]).cumsum().tolist()[:-1]
+    ahead = 0
+    for r in sorted(found, key=lambda r: r["first"]):
+        assert r["first"] == ahead
+        ahead += r["rows"]
