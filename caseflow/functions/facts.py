@@ -117,18 +117,22 @@ def extract_facts(text: Column, *, clean: bool = False) -> Column:
 
 def machine_tokens(text: Column) -> Column:
     """URLs, emails, phone numbers, sums and numbers of a text, each taken out before the next is looked for; dates are taken out but are no tokens."""
-    rest, found = F.coalesce(text, F.lit("")), []
+    none = F.array().cast("array<string>")
 
     def without(tokens: Column, part: str) -> Column:
         return F.transform(tokens, lambda t: F.replace(t, F.lit(part), F.lit("")))
 
-    for kind, pattern in MACHINE_STEPS:
-        if kind:
-            tokens = F.regexp_extract_all(rest, F.lit(f"(?U){pattern}"), F.lit(0))
-            drop = {"money": " ", "number": ","}.get(kind)
-            found.append(without(tokens, drop) if drop else tokens)
-        rest = F.regexp_replace(rest, f"(?U){pattern}", "")
-    return F.concat(*found)
+    def from_step(at: int, rest: Column) -> Column:
+        kind, pattern = MACHINE_STEPS[at]
+        last, wide = at + 1 == len(MACHINE_STEPS), f"(?U){pattern}"
+        there = rest.rlike({"url": "http", "email": "@"}.get(kind, _DIGIT))
+        tokens = F.regexp_extract_all(rest, F.lit(wide), F.lit(0))
+        drop = {"money": " ", "number": ","}.get(kind)
+        found = F.when(there, without(tokens, drop) if drop else tokens).otherwise(none) if kind else none
+        # what is left is computed once, though two steps use it
+        return found if last else F.concat(found, let(F.when(there, F.regexp_replace(rest, wide, "")).otherwise(rest), lambda left: from_step(at + 1, left)))
+
+    return let(F.coalesce(text, F.lit("")), lambda rest: from_step(0, rest))
 
 
 def first_date(text: Column) -> Column:
