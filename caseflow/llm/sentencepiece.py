@@ -26,7 +26,7 @@ from caseflow.llm.shared import fresh_name, per_worker
 
 BLANK = "▁"
 #: Encoded chunks of a generation and pair verdicts kept by a worker; beyond it the memory starts anew.
-CACHE_ROWS, PAIR_ROWS = 120_000, 250_000
+CACHE_ROWS, PAIR_ROWS = 200_000, 250_000
 #: Documents encoded before their ids leave the task.
 SLICE_ROWS = 128
 
@@ -89,12 +89,13 @@ class StreamingViterbi:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.lowest = min(vocabulary.score.values(), default=0.0) - 10  # of a character that no piece holds
-        self.endings: dict = {}  # pieces read backwards, a level for each character, the id at 0
+        self.endings: dict = {}  # pieces read backwards: for each character the id of the piece that it completes, if any, and the characters before
         for piece, i in vocabulary.id.items():
             node = self.endings
             for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[0] = i
+                entry = node.setdefault(c, [None, {}])
+                node = entry[1]
+            entry[0] = i
         self.endings_of_none: dict = {}
         self.widest = 0
 
@@ -126,16 +127,16 @@ class StreamingViterbi:
         bpe, root, longest, verdict = self.bpe, self.endings, self.v.longest, self.pairs.get
         back, begin, total, done = [-1], [0], [0.0], 0  # of the boundaries from ``done`` on: the piece that ends there, where it starts, the path's score
         for end in range(1, len(text) + 1):
-            node, start, best, origin, score = root, end, None, 0, 0.0
+            node, start, best, origin = root, end, None, 0
             while start > done:
                 start -= 1
-                node = node.get(text[start])
-                if node is None:
+                entry = node.get(text[start])
+                if entry is None:
                     if start < end - 1:
                         break
                     node, piece = self.endings_of_none, -2 - ord(text[start])
                 else:
-                    piece = node.get(0)
+                    piece, node = entry
                     if piece is None:
                         continue
                 left = back[start - done]
@@ -152,7 +153,8 @@ class StreamingViterbi:
                         best, origin, score = piece, start, path
             back.append(best)
             begin.append(origin)
-            total.append(score)
+            if not bpe:
+                total.append(score)
             if end - done > longest:
                 self.widest = max(self.widest, end - done)
                 meeting = self._convergence(back, begin, done, end)
