@@ -289,3 +289,25 @@ def test_equal_vectors_tie_in_dense_search(spark):
     points = spark.createDataFrame([(i, base[i % 5].tolist()) for i in range(200)], "point_id long, dense array<double>")
     got = dense_topk(points, points.where("point_id < 5").withColumnRenamed("point_id", "request_id"), limit=10).orderBy("request_id", "rank").collect()
     assert [(r["request_id"], r["point_id"]) for r in got] == [(q, q + 5 * k) for q in range(5) for k in range(10)]
+
+
+@pytest.mark.parametrize("direct", [0, 50_000_000])
+@pytest.mark.parametrize("negative", [False, True])
+def test_sparse_search_with_bounds_equals_the_whole_join(spark, monkeypatch, negative, direct):
+    from pyspark.sql import Window
+
+    from caseflow.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "DIRECT_PAIRS", direct)
+    from caseflow.operators.retrieval import sparse_topk
+
+    rng = np.random.default_rng(11)
+    rows = {(p, int(min(199, rng.zipf(1.3)))): int(rng.integers(-3 if negative else 1, 9)) for p in range(1500) for _ in range(8)}
+    points = spark.createDataFrame([(p, i, w) for (p, i), w in rows.items()], "point_id long, idx long, w long")
+    queries = points.where("point_id < 60").withColumnRenamed("point_id", "request_id")
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "point_id")
+    pairs = queries.withColumnRenamed("w", "q").join(points, "idx").groupBy("request_id", "point_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(order) - 1).where("rank < 10")
+    keep = lambda df: sorted(map(tuple, df.select("request_id", "rank", "point_id", "score").collect()))
+    assert keep(sparse_topk(points, queries, limit=10)) == keep(want)
+    assert sparse_topk(points.limit(0), queries).count() == 0
