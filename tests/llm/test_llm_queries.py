@@ -43,6 +43,7 @@ def odd_dir(spark, tmp_path_factory):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(SPECIAL)] + [(5, SPECIAL[5], "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, SPECIAL[4]), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
@@ -215,7 +216,8 @@ def test_odd_and_empty_tables(spark, odd_dir, tmp_path):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{odd_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.read.parquet(f"{SF_DIR}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("embeddings", "benchmark"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in registry.QUERIES:
         assert result(spark, name, str(tmp_path)).count() == 0, name
     for name in set(registry.QUERIES) - {"op3_source_mixing", "op4_exact_top_k", "op7_nearest_neighbours"}:
