@@ -7,7 +7,8 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,28 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of one key from which a join splits them, and the parts they are split into.
+HOT_ROWS, SALTS = 1000, 64
+
+
+def split_hot(rows: DataFrame, keys: list[str], by: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a number ``out``, and the distinct (keys, out): keys of over ``HOT_ROWS`` rows have up to ``SALTS`` numbers by a hash of ``by``, all others have 0. ``rows`` is read twice, so it should be a written table."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    counts = salted.groupBy(*keys, "__salt").agg(F.count("*").alias("__n"))
+    hot = F.sum("__n").over(Window.partitionBy(*keys)) > HOT_ROWS
+    numbered = counts.select(*keys, "__salt", F.when(hot, F.col("__salt")).otherwise(0).alias(out))
+    return salted.join(numbered.hint("merge"), [*keys, "__salt"]).drop("__salt"), numbered.select(*keys, out).distinct()
+
+
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, largest: int) -> DataFrame:
+    """``rows`` with the one row of ``other`` of their ``keys``, where one key may hold a large share of ``rows``: its rows are split and its row of ``other`` is copied to each part.
+    ``largest`` is the number of rows of the largest key; if none is hot, this is the plain join."""
+    if largest <= HOT_ROWS:
+        return rows.join(other.hint("merge"), keys)
+    split, parts = split_hot(rows, keys, by, "__part")
+    return split.join(parts.join(other.hint("merge"), keys).hint("merge"), [*keys, "__part"]).drop("__part")
+
+
 #: Rows of an Arrow batch of whole documents.
 BATCH_DOCS = 1024
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.components import connected_components
-from caseflow.llm.shared import materialize
+from caseflow.llm.shared import materialize, spread_join
 
 HALF = 32
 
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialize(fingerprints(rows, shingle_words=shingle_words).select("doc_id", F.col("fingerprint").alias("fp")), "simhash")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     links = materialize(fingerprint_links(distinct.select("fp"), max_bits), "simhash-links")
     classes = connected_components(links, name="simhash")
     # the fingerprints that have links, with the smallest id of their class
@@ -123,4 +123,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = members.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
     per_print = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(per_print, "fp", "left").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    most = distinct.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
+    return spread_join(marked, per_print, ["fp"], "doc_id", most).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow.llm import similar, substrings
+from caseflow.llm import components, shared, similar, substrings
 from caseflow.llm.components import connected_components
 from caseflow.llm.license_rules import signature_rules
 from caseflow.llm.licenses import license_scanner, scan_licenses
@@ -99,7 +99,25 @@ def test_top_k_against_sorting(spark):
     assert 300 not in got and exact_top_k(vectors.limit(0), vectors.limit(0), k=5).count() == 0
 
 
-def test_components_against_merging(spark):
+@pytest.fixture(params=[False, True], ids=["plain", "hot"])
+def hot_keys(request, monkeypatch):
+    """With "hot" every key of over two rows is split."""
+    if request.param:
+        for module in (components, shared, similar):
+            monkeypatch.setattr(module, "HOT_ROWS", 2)
+
+
+def test_hot_keys_are_split_and_whole(spark, hot_keys):
+    rows = spark.createDataFrame([(i % 7 and 1, i) for i in range(500)] + [(2, 1), (3, None), (1, 5), (1, 5)], "k long, v long")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, name string")
+    got = shared.spread_join(rows, small, ["k"], "v", 430)
+    assert got.columns == ["k", "v", "name"] and sorted(map(tuple, got.collect())) == sorted((k, v, "abc"[k]) for k, v in map(tuple, rows.collect()) if k < 3)
+    split, parts = shared.split_hot(rows, ["k"], "v", "part")
+    if shared.HOT_ROWS == 2:
+        assert split.where("k = 1").groupBy("part").count().agg(F.max("count")).first()[0] < 30 and parts.where("k > 1").count() == 2
+
+
+def test_components_against_merging(spark, hot_keys):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(30)] + [(300, 300), (301, 300), (301, 300)]
     root = {x: x for e in edges for x in e}
@@ -111,7 +129,7 @@ def test_components_against_merging(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_simhash_against_all_pairs(spark):
+def test_simhash_against_all_pairs(spark, hot_keys):
     base = " ".join(f"w{i}" for i in range(200))
     texts = [*TEXTS, base, base.replace("w7 ", "q "), base + " end", base.upper(), "  "]
     mark = fingerprinter(3)
@@ -140,7 +158,7 @@ def test_differences_from_a_hub_lose_no_link(spark, seed):
                 x.add(int(rng.integers(0, 40) if rng.random() < 0.5 else rng.integers(10**6, 10**7)))
         sets[i] = x
     live = spark.createDataFrame([(i % 3 if i % 7 else 9, i, i) for i in sets] + [(i % 3, i, i) for i in sets if i % 7 == 0], "bucket long, node long, comp long")
-    found = similar._difference_pairs(live, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, shingles array<long>"), 0.8)
+    found = similar._difference_pairs(live, spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, shingles array<long>"), 0.8, len(sets))
     got = {(r["a"], r["b"]) for r in found.collect()}
     alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     # links between texts that both reach the share with a hub may be missing: they are one class through it
@@ -155,8 +173,8 @@ def test_differences_from_a_hub_lose_no_link(spark, seed):
     assert len(got) < len(sets) * (len(sets) - 1) / 4
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_similar_groups_against_all_pairs(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, hot_keys", [(0, False), (2, False), (2, True)], indirect=["hot_keys"])
+def test_similar_groups_against_all_pairs(spark, monkeypatch, rounds, hot_keys):
     import corpus_pipeline
 
     monkeypatch.setattr(similar, "HUB_ROUNDS", rounds)
