@@ -58,13 +58,16 @@ def inline_fields(cells: DataFrame) -> DataFrame:
     """(doc_id, table_id, row, column, kind, at, label): dates, signatures and amounts inside a text, boxes with their labels, placeholders."""
     text = F.col("text")
     spot = lambda pattern, kind, label: F.transform(located(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("at"), (F.lit(label) if label else m["value"]).alias("label")))
-    named = lambda pattern: F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: strip(F.regexp_replace(strip(x), "^,+|,+$", ""))), lambda x: x != "")
-    before, after = named(r"(?U)([가-힣A-Za-z][^\[\]]*?)\s*\[\s*\]"), named(r"(?U)\[\s*\]\s*([가-힣A-Za-z][^\[\]]*)")
-    labels = F.when((F.size(before) >= F.size(after)) | (F.size(after) == 0), before).otherwise(after)
+    named = lambda part, pattern: F.filter(F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)), lambda x: strip(F.regexp_replace(strip(x), "^,+|,+$", ""))), lambda x: x != "")
+    # no label stands before a box that is not there: what follows the last bracket is not searched
+    upto = F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "]", -1)))
+    sides = F.struct(named(upto, r"(?U)([가-힣A-Za-z][^\[\]]*?)\s*\[\s*\]").alias("before"), named(text, r"(?U)\[\s*\]\s*([가-힣A-Za-z][^\[\]]*)").alias("after"))
+    chosen = let(sides, lambda s: F.when((F.size(s["before"]) >= F.size(s["after"])) | (F.size(s["after"]) == 0), s["before"]).otherwise(s["after"]))
     bare = F.substring(strip(F.regexp_replace(text, BOX, "")), 1, 60)
     none = F.array().cast("array<struct<kind:string,at:int,label:string>>")
     one = lambda kind, label: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("at"), label.alias("label")))
-    boxes = F.when(~text.rlike(BOX), none).when(F.size(labels) > 1, one("checkbox_group", F.array_join(F.slice(labels, 1, 4), " / "))).when(F.size(labels) == 1, one("checkbox", F.try_element_at(labels, F.lit(1)))).when(bare != "", one("checkbox", bare)).otherwise(none)
+    of_labels = lambda x: F.when(F.size(x) > 1, one("checkbox_group", F.array_join(F.slice(x, 1, 4), " / "))).when(F.size(x) == 1, one("checkbox", F.try_element_at(x, F.lit(1)))).when(bare != "", one("checkbox", bare)).otherwise(none)
+    boxes = F.when(text.rlike(BOX), let(chosen, of_labels)).otherwise(none)
     blank = F.when(text.rlike(PLACEHOLDER), one("placeholder", strip(F.regexp_extract(text, PLACEHOLDER, 1)))).otherwise(none)
     found = F.concat(spot(INLINE_DATE, "date_inline", "날짜 입력 영역"), spot(SIGNABLE, "signable", None), spot(AMOUNT, "amount", "금액 입력 영역"), boxes, blank)
     return cells.select(*PLACE, F.explode(found).alias("s")).select(*PLACE, "s.*")

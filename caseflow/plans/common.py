@@ -24,6 +24,19 @@ def joined(c) -> Column:
     return F.array_join(c, ",")
 
 
+def marked(text: Column, marks: dict[str, str]) -> Column:
+    """A text with some of its words replaced by marks of forms."""
+    for word, mark in marks.items():
+        text = F.replace(text, F.lit(word), F.lit(mark))
+    return text
+
+
+def marked_sql(text: str, marks: dict[str, str]) -> str:
+    for word, mark in marks.items():
+        text = f"replace({text}, '{word}', '{mark}')"
+    return text
+
+
 #: Requests from documents: the whole text is the reason, its lines are the items, the deadline may be no day.
 REQUESTS_SQL = """rq as (select doc_id, doc_id::varchar as worker_id, lang as preferred_language, upper(lang) || (n_chars % 1000)::varchar || source as nationality_code, text as request_reason, string_split(text, chr(10)) as requested_items,
   '2026-' || lpad((n_chars % 15)::varchar, 2, '0') || '-' || lpad((n_chars % 33)::varchar, 2, '0') as deadline, source as submission_method from documents)"""

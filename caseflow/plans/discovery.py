@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import requests as fr
 from caseflow.operators import discovery, slots
-from caseflow.plans.common import CELLS_SQL, cells, joined, pick, sql_list, table
+from caseflow.plans.common import CELLS_SQL, cells, joined, marked, marked_sql, pick, table
 from caseflow.sources import packages, phrases
 
 
 def _o() -> Column:
     return F.col("o_orderkey")
 
-INLINE = ["서명: (서명 또는 인)", "2024년 3월 5일부터 년 월 일까지", "[ ]남 M [ ]여 F", "미취학[ ]", "(희망 자격 :      )", "금액 (     )원", "사업자등록번호 2024. 1. 2 □", "plain"]
 
 
-def _inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("table_id"), _o().alias("row"), F.lit(0).alias("column"), pick(INLINE, _o()).alias("text"))
+#: What stands for a frequent word of the documents, so that their lines are cells of forms.
+SEGMENT_MARKS = {" the ": " [ ] ", " de ": " □ ", " und ": " 사업자등록번호 ", " en ": " 년 3월 5일 ", " of ": "(서명 또는 인)"}
+INLINE_MARKS = {" the ": " [ ] ", " of ": " (서명 또는 인) ", " de ": " 년 3월 5일부터 ", " und ": " (     )원 ", " la ": " (자격 :      ) "}
+
+
+def _lines(spark: SparkSession, sf_dir: str, marks: dict[str, str]) -> DataFrame:
+    """Every line of every document is a cell."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    return lines.select("doc_id", F.lit(0).alias("table_id"), "row", F.lit(0).alias("column"), marked(F.col("line"), marks).alias("text"))
 
 
 def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.segment_fields(_inline(spark, sf_dir)).select("row", "kind", F.col("at").cast("long").alias("at"), "anchor")
+    return discovery.segment_fields(_lines(spark, sf_dir, SEGMENT_MARKS)).select("doc_id", F.col("row").cast("long").alias("row"), "kind", F.col("at").cast("long").alias("at"), "anchor")
 
 
 def inline_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.inline_fields(_inline(spark, sf_dir)).select("row", "kind", F.col("at").cast("long").alias("at"), "label")
+    return discovery.inline_fields(_lines(spark, sf_dir, INLINE_MARKS)).select("doc_id", F.col("row").cast("long").alias("row"), "kind", F.col("at").cast("long").alias("at"), "label")
 
 
 def field_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,24 +49,27 @@ def unique_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_typed_op(spark: SparkSession, sf_dir: str) -> DataFrame:
-    op = pick(["write_character_grid", "set_date_segments", "set_checkbox", "set_amount", "replace_text_range", "odd"], _o())
-    blank = F.array(F.lit(""), F.lit(""))
-    k = _o() % 6
-    rows = table(spark, sf_dir, "orders").select(
-        _o(), op.alias("operation"), F.when(k == 0, (_o() % 1000).cast("string")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("5").alias("new_value"),
-        F.when(k == 0, blank).when(k == 1, F.array(F.lit("yyyy"), F.lit("mm"), F.when(_o() % 5 == 0, "x").otherwise("dd"))).when(k == 2, F.array(F.lit("a [ ] b"))).when(k == 3, F.array(F.lit("약 원"))).otherwise(F.array(F.when(_o() % 5 == 0, "x x").otherwise("x y"))).alias("texts_before"),
-        F.when(k == 2, "[ ]").when(k == 3, "원").when(k == 4, "x").alias("anchor"), F.lit(None).cast("string").alias("token"), F.when(k == 3, "prefix_unit").alias("mode"), F.lit(None).cast("array<string>").alias("anchors"),
-        F.lit(None).cast("array<string>").alias("separators"), F.lit(1).alias("expected_count"),
+    """Turns of conversations as cells: an edit goes through where its anchor stands as often as it should."""
+    text, k = F.coalesce("text", F.lit("")), (F.col("conv_id") + F.col("turn")) % 6
+    words, none = F.split(text, " "), F.lit(None).cast("array<string>")
+    day = F.concat(F.lit("2026-03-"), (F.length(text) % 33).cast("string"))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", pick(["write_character_grid", "set_date_segments", "set_checkbox", "set_amount", "replace_text_range", "odd"], k).alias("operation"), F.when(k == 0, words[0]).when(k == 1, day).otherwise("5").alias("new_value"),
+        F.when(k == 0, F.array_repeat(F.lit(""), 4)).when(k == 1, F.slice(words, 1, 3)).otherwise(F.array(text)).alias("texts_before"),
+        F.when(k == 2, " de ").when(k == 3, ".").when(k == 4, "the").alias("anchor"), F.lit(None).cast("string").alias("token"), F.when(k == 3, "prefix_unit").alias("mode"), F.when(k == 1, F.array(F.lit("e"), F.lit("n"), F.lit("i"))).otherwise(none).alias("anchors"),
+        none.alias("separators"), F.when(k == 3, 2).otherwise(1).alias("expected_count"),
     )
-    return discovery.apply_typed_op(rows).select("o_orderkey", F.array_join("texts", "|").alias("texts"), "error")
+    return discovery.apply_typed_op(rows).select("conv_id", "turn", F.array_join("texts", "|").alias("texts"), "error")
 
 
-NAMES = ["체아의 체류 연장", "리웨이 준비", "김민준이 서류", "응우옌 반 안을 등록, INTENT_TAG", "체류 연장", "", "안나는 요청", "John 의 급여"]
-FOUND = ["체아", "리웨이", "김민준", "응우옌 반 안", "unknown", "unknown", "안나", "John"]
+#: What stands for a sentence's end in turns of even and of odd number.
+NAME_MARKS = "의 ", " 서류 "
 
 
 def target_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(_o(), fr.target_name(pick(NAMES, _o())).alias("name"))
+    """Turns of conversations as instructions: their first sentence is the name."""
+    text = F.replace("text", F.lit("."), pick(list(NAME_MARKS), F.col("turn")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(fr.target_name(text)).alias("name"))
 
 
 def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,15 +155,53 @@ def layout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (package_tables, package_checks, package_formats, layout_groups, segment_fields, inline_fields, field_union, unique_anchor, apply_typed_op, target_name, english_terms, request_contracts, parse_replies, analyze_phase)}
 
-_SEG = """values (0, 'signature', 0, '(서명 또는 인)'), (1, 'date', 0, '년 3월 5일'), (2, 'checkbox', 0, '[ ]'), (2, 'checkbox', 7, '[ ]'), (3, 'checkbox', 3, '[ ]'), (6, 'number', 0, '사업자등록번호'), (6, 'date', 0, '2024. 1. 2'), (6, 'checkbox', 19, '□')"""
-_INL = """values (0, 'signable', 4, '(서명 또는 인)'), (1, 'date_inline', 0, '날짜 입력 영역'), (1, 'date_inline', 14, '날짜 입력 영역'), (2, 'checkbox_group', 0, '남 M / 여 F'), (3, 'checkbox', 0, '미취학'), (4, 'placeholder', 0, '희망 자격'), (5, 'amount', 3, '금액 입력 영역')"""
+
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _re(pattern: str) -> str:
+    """A pattern without the flag for Unicode classes, which means something else there."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+
+
+def _lines_sql(marks: dict[str, str]) -> str:
+    return f"""l as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), c0 as (select doc_id, unnest(range(len(l))) as "row", unnest(l) as line from l), c as (select doc_id, "row", {marked_sql('line', marks)} as text from c0)"""
+
+
+def _spots_sql(kind: str, pattern: str, label: str) -> str:
+    """Every match of a pattern with its place: what the gaps and matches before it measure."""
+    cut = f"select doc_id, \"row\", string_split_regex(text, '{_re(pattern)}') as g, regexp_extract_all(text, '{_re(pattern)}') as m from c"
+    return f"select doc_id, \"row\", '{kind}' as kind, (length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')))::bigint as \"at\", {label} as label from (select *, unnest(generate_series(1, len(m))) as i from ({cut}))"
+
+
+def _one_sql(kind: str, rule: str, label: str, source: str = "c") -> str:
+    return f"select doc_id, \"row\", '{kind}', 0::bigint, {label} from {source} where {rule}"
+
+
+_trim = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_named = lambda p: f"[x for x in [{_trim(f"""regexp_replace({_trim('y')}, '^,+|,+$', '', 'g')""")} for y in regexp_extract_all(text, '{p}', 1)] if x != '']"
+_BEFORE, _AFTER = r"([가-힣A-Za-z][^\[\]]*?)\s*\[\s*\]", r"\[\s*\]\s*([가-힣A-Za-z][^\[\]]*)"
+_SEGMENT_SQL = f"""with {_lines_sql(SEGMENT_MARKS)}, f as ({_spots_sql('checkbox', discovery.SEGMENT_BOX, 'm[i]')} union all {_one_sql('date', f"regexp_matches(text, '{_re(discovery.SEGMENT_DATE)}')", f"regexp_extract(text, '{_re(discovery.SEGMENT_DATE)}')")}
+  union all {_one_sql('signature', f"regexp_matches(text, '{_re(discovery.SEGMENT_SIGN)}')", f"regexp_extract(text, '{_re(discovery.SEGMENT_SIGN)}')")} union all {_one_sql('number', ' or '.join(f"contains(text, '{w}')" for w in discovery.NUMBER_WORDS), "'사업자등록번호'")}) select doc_id, "row", kind, "at", label as anchor from f"""
+_INLINE_SQL = f"""with {_lines_sql(INLINE_MARKS)}, b0 as (select *, {_named(_BEFORE)} as before, {_named(_AFTER)} as after from c where regexp_matches(text, '{_re(discovery.BOX)}')), b as (select *, case when len(before) >= len(after) or len(after) = 0 then before else after end as names, substr({_trim(f"regexp_replace(text, '{_re(discovery.BOX)}', '', 'g')")}, 1, 60) as bare from b0),
+  f as ({_spots_sql('date_inline', discovery.INLINE_DATE, "'날짜 입력 영역'")} union all {_spots_sql('signable', discovery.SIGNABLE, 'm[i]')} union all {_spots_sql('amount', discovery.AMOUNT, "'금액 입력 영역'")} union all {_one_sql('checkbox_group', 'len(names) > 1', "array_to_string(names[1:4], ' / ')", 'b')}
+  union all {_one_sql('checkbox', "len(names) = 1 or (len(names) = 0 and bare != '')", 'coalesce(names[1], bare)', 'b')} union all {_one_sql('placeholder', f"regexp_matches(text, '{_re(discovery.PLACEHOLDER)}')", _trim(f"regexp_extract(text, '{_re(discovery.PLACEHOLDER)}', 1)"))}) select * from f"""
+_TYPED_SQL = """with o as (select conv_id, turn, coalesce(text, '') as t, (conv_id + turn) % 6 as k, string_split(coalesce(text, ''), ' ') as w, '2026-03-' || (length(coalesce(text, '')) % 33)::varchar as day from conversations),
+  n as (select *, case k when 2 then ' de ' when 3 then '.' when 4 then 'the' end as a from o), e as (select *, length(w[1]) as letters, len(w[1:3]) as segments, (length(t) - length(replace(t, a, ''))) / length(a) as times,
+    len([i for i in [1, 2, 3] if length(w[i]) - length(replace(w[i], ['e', 'n', 'i'][i], '')) != 1]) as odd from n),
+  r as (select *, case when k = 0 then case when w[1] = '' or letters > 10000 then 'VALUE_LENGTH' when letters != 4 then 'GRID_LENGTH' end when k = 1 then case when segments = 2 then 'DATE_SEGMENTS' when segments = 1 then 'DATE_MODE' when odd > 0 then 'ANCHOR_COUNT' end when k in (2, 4) and times != 1 or k = 3 and times != 2 then 'ANCHOR_COUNT' when k = 5 then 'UNSUPPORTED_OPERATION' end as error from e)
+  select conv_id, turn, case k when 0 then case when error is null then array_to_string([substr(w[1], i, 1) for i in [1, 2, 3, 4]], '|') else '|||' end when 1 then case when error is null then replace(w[1], 'e', '2026') || '|' || replace(w[2], 'n', '03') || '|' || replace(w[3], 'i', day[9:]) else array_to_string(w[1:3], '|') end
+    else case when error is not null then t when k = 2 then replace(t, a, '[V]') when k = 3 then replace(t, a, '5 .') else replace(t, a, '5') end end as texts, error from r"""
+_TARGET_SQL = rf"""with t as (select conv_id, turn, regexp_replace(replace(text, '.', case when turn % 2 = 0 then '{NAME_MARKS[0]}' else '{NAME_MARKS[1]}' end), ',\s*[A-Z][A-Z0-9_]+\s*$', '') as t from conversations), w as (select *, [x for x in string_split_regex(t, '{_SPACE}+') if x != ''] as w from t),
+  i as (select *, coalesce(list_min([i for i in range(1, len(w) + 1) if w[i][-1:] = '의' or starts_with(w[i], '서류')]), len(w) + 1) as i from w)
+  select conv_id, turn, md5(case when n = '' or n is null then 'unknown' else n end) as name from (select conv_id, turn, array_to_string([x for x in w[1:i - 1] || [case when w[i][-1:] = '의' then w[i][:-2] else '' end] if x != ''], ' ') as n from i)"""
 ORACLE_SQL = {
     "package_tables": "select doc_id::varchar as path, len(string_split(text, chr(10))) as n_paragraphs, 2 as n_cells, (length(replace(text, chr(10), '')) + length(lang) + length(source))::bigint as letters, 2 as row_addr, source as last_cell from documents where doc_id % 7 != 0 and doc_id % 5 != 0",
     "package_checks": "select doc_id::varchar as path, doc_id % 7 != 0 and doc_id % 5 != 0 as valid, case when doc_id % 7 = 0 then 'NOT_A_PACKAGE' when doc_id % 5 = 0 then 'PART_MISSING:mimetype' else '' end as errors, doc_id % 7 != 0 and doc_id % 5 != 0 as has_print from documents",
     "package_formats": "select doc_id::varchar as path, case when doc_id % 7 = 0 or doc_id % 5 = 0 then 'UNKNOWN' else 'ZIP_PACKAGE' end as format from documents",
     "layout_groups": "select min(doc_id) as first_doc, count(*) as n from documents where doc_id % 7 != 0 and doc_id % 5 != 0 group by len(string_split(text, chr(10)))",
-    "segment_fields": f"with s(i, kind, at_, anchor) as ({_SEG}) select o_orderkey as \"row\", kind, at_::bigint as \"at\", anchor from orders join s on o_orderkey % 8 = i",
-    "inline_fields": f"with s(i, kind, at_, label) as ({_INL}) select o_orderkey as \"row\", kind, at_::bigint as \"at\", label from orders join s on o_orderkey % 8 = i",
+    "segment_fields": _SEGMENT_SQL,
+    "inline_fields": _INLINE_SQL,
     "field_union": f"""with {CELLS_SQL}, off as (select doc_id, min("row") as sr from cells where text = '결재' group by 1), c as (select cells.* from cells left join off using (doc_id) where sr is null or "row" < sr),
 g0 as (select *, row_number() over w - sum((text = '')::int) over w as island, last_value(case when text != '' then text end ignore nulls) over w as lab from c window w as (partition by doc_id, "row" order by "column")),
 g as (select doc_id, "row", min("column") as "column", any_value(lab) as label, count(*) as n from g0 where text = '' group by doc_id, "row", island having count(*) >= 4),
@@ -164,9 +211,8 @@ every as (select doc_id, "row", "column", 'character_grid' as kind, label, 0 as
 taken as (select doc_id, "row", unnest(range("column", "column" + n)) as "column", 0 as by_ from g union all select doc_id, "row", unnest([y, m, d]), 1 from d), t as (select doc_id, "row", "column", min(by_) as by_ from taken group by 1, 2, 3),
 k as (select every.* from every left join t using (doc_id, "row", "column") where by_ is null or p <= by_ qualify row_number() over (partition by doc_id, "row", "column" order by p) = 1)
 select kind, label, case when "row" <= 12 then 'step1_application' else 'step2_personal' end as category, true as required, count(*) as n, sum("column")::bigint as columns from k group by all""",
-    "apply_typed_op": """with o as (select o_orderkey as k, o_orderkey % 6 as m, (o_orderkey % 1000)::varchar as v, o_orderdate as d from orders) select k as o_orderkey, case m when 0 then case when length(v) = 2 then v[1] || '|' || v[2] else '|' end when 1 then case when k % 5 = 0 then 'yyyy|mm|x' else strftime(d, '%Y|%m|%d') end when 2 then 'a [V] b' when 3 then '약 5 원' when 4 then case when k % 5 = 0 then 'x x' else '5 y' end else case when k % 5 = 0 then 'x x' else 'x y' end end as texts,
-  case m when 0 then case when length(v) != 2 then 'GRID_LENGTH' end when 1 then case when k % 5 = 0 then 'ANCHOR_COUNT' end when 4 then case when k % 5 = 0 then 'ANCHOR_COUNT' end when 5 then 'UNSUPPORTED_OPERATION' end as error from o""",
-    "target_name": f"select o_orderkey, {sql_list(FOUND)}[o_orderkey % 8 + 1] as name from orders",
+    "apply_typed_op": _TYPED_SQL,
+    "target_name": _TARGET_SQL,
     "english_terms": "with o as (select o_orderkey as k, day(o_orderdate) as d, o_orderpriority as p from orders) select k as o_orderkey, case when k % 2 = 0 then 'from (09:00) to (18:' || lpad(d::varchar, 2, '0') || ')' else p end as hours, case when k % 3 != 0 then k || ' won, but for up to the first 3 months of probation period: ' || d || ' won' else d || '원' end as wage, case when k % 4 != 0 then 'Every (' || d || ')th day of the month or every (Friday) day of the week. If the payment date falls on a holiday, the payment will be made on the day before the holiday.' else '매월' end as paid from o",
     "request_contracts": """with o as (select o_orderkey as k, o_orderstatus as s from orders) select k as o_orderkey, case k % 3 when 0 then case when k % 2 = 0 or k % 5 != 0 then 'PLAN_WITH_DECISION' end when 1 then case when k % 2 != 0 or k % 5 = 0 then 'ANALYZE_WITHOUT_DECISION' end else 'UNKNOWN_PHASE' end as phase_error,
   case k % 4 when 0 then 'NEEDS_INFO' when 1 then case when k % 3 = 0 then 'WAITING_WORKER' else 'READY_FOR_REVIEW' end when 2 then 'DRAFT' else 'CANCELLED' end as status, case k % 4 when 0 then 'NEEDS_INFO' when 1 then case when k % 3 = 0 then 'WAITING_WORKER' else 'REVIEW_REQUIRED' end when 2 then 'OCR_SAVED' else 'OUT_OF_SCOPE' end as outcome, k % 4 = 1 and k % 3 != 0 as review,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,11 +97,16 @@ def project_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One index for each label, over its vectors: its number of rows is known, its languages, revision, model and dimension are checked."""
+    """Four indexes over the vectors: a whole one, one that lacks a language, one with rows of another revision and one of another model."""
     v = table(spark, sf_dir, "embeddings")
     points = v.select(F.when(F.col("vec_id") % 2 == 0, "en").otherwise("ko").alias("target_language"), F.lit("r1").alias("dataset_revision"), F.lit("m1").alias("model"), F.lit("c1").alias("contract_version"), F.col("embedding").alias("dense"))
-    found = corpus.verify_index(points, expected_rows=v.count(), languages=["en", "ko"], revision="r1", dims=64, model="m1", contract="c1")
-    return found.select(F.col("n_points").cast("long").alias("n_points"), "error_code")
+    indexes = {
+        "whole": points, "lacking": points.where("target_language = 'en'"), "revision": points.withColumn("dataset_revision", F.when(F.col("dense")[0] < 0, "r0").otherwise("r1")),
+        "model": points.withColumn("model", F.when(F.col("dense")[1] < 0, "m0").otherwise("m1")),
+    }
+    rows = v.count()
+    found = [corpus.verify_index(index, expected_rows=rows, languages=["en", "ko"], revision="r1", dims=64, model="m1", contract="c1").select(F.lit(name).alias("index_name"), F.col("n_points").cast("long").alias("n_points"), F.col("n_foreign").cast("long").alias("n_foreign"), F.col("n_strange").cast("long").alias("n_strange"), "error_code") for name, index in indexes.items()]
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def check_selected_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +251,8 @@ ORACLE_SQL = {
     "privacy_projection": "select event_id::varchar as run_id, event_type as node_name, value as latency_ms from events",
     "filter_points": "select doc_id from documents where lang = 'en' and n_chars % 3 != 0 and source = 'src8'",
     "project_payload": "select page_id::varchar as point_id, case when page_id % 4 != 0 then url else 'about:blank' end as source_url, sha256(html) as content_hash from pages",
-    "verify_index": "select count(*) as n_points, case when max(len(embedding)) != 64 or min(len(embedding)) != 64 then 'SCHEMA_MISMATCH' end as error_code from embeddings",
+    "verify_index": """with i as (select unnest(['whole', 'lacking', 'revision', 'model']) as index_name), p as (select index_name, vec_id % 2 = 0 as en, (index_name = 'revision' and embedding[1] < 0)::int as f, (index_name = 'model' and embedding[2] < 0)::int as s, len(embedding) as n from embeddings join i on index_name != 'lacking' or vec_id % 2 = 0),
+  g as (select index_name, count(*) as n_points, count(distinct en) as langs, sum(f)::bigint as n_foreign, sum(s)::bigint as n_strange, min(n) as lo, max(n) as hi from p group by 1) select index_name, n_points, n_foreign, n_strange, case when langs < 2 or n_points != (select count(*) from embeddings) then 'RETRIEVAL_UNAVAILABLE' when n_foreign > 0 then 'DATASET_MISMATCH' when n_strange > 0 then 'INDEX_PROVENANCE_MISMATCH' when lo != 64 or hi != 64 then 'SCHEMA_MISMATCH' end as error_code from g""",
     "check_selected_context": "select event_id, case when event_id % 5 = 0 then 'UNKNOWN_SELECTION' when event_id % 2 = 0 and event_id % 3 = 0 then 'RERANKER_SCORE_REQUIRED' when event_id % 2 = 1 and event_id % 3 != 0 then 'RERANKER_SCORE_FORBIDDEN' end as error from events",
     "check_validation_state": "select event_id, case event_id % 5 when 0 then event_id % 3 != 0 and event_id % 4 != 0 when 1 then event_id % 3 = 0 when 2 then event_id % 3 != 0 and event_id % 4 = 0 when 3 then event_id % 3 != 0 and event_id % 4 != 0 and event_id % 2 = 0 else false end as valid from events",
     "component_status": "with s as (select o_orderkey, case when o_orderkey % 4 = 0 then 'failed' when o_orderkey % 3 = 0 then 'warning' else 'success' end as status from orders) select *, status != 'success' as requires_human_review from s",

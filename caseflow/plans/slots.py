@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseflow.functions import fields as ff
 from caseflow.operators import cases, ocr, retrieval, routing, slots
 from caseflow.plans import registry
-from caseflow.plans.common import joined, pick, sql_list, table
+from caseflow.plans.common import joined, marked, marked_sql, pick, sql_list, table
 
 
 def _map(pairs: dict[str, Column]) -> Column:
@@ -160,13 +160,15 @@ def merge_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.merge_resume(stored, update).select("task_id", shown(F.col("slots")).alias("slots"), "instruction")
 
 
-WORDS = ["현재 이상 없음", "배치 라인 지시", "급여 확인", "신청서 접수", "체류기간 연장", "그냥"]
+#: What stands for some words of the conversations, so that they hold what the guardrail looks for.
+GUARD_MARKS = {" sur ": " 이상 없음 ", " und ": " 배치 ", " die ": " 라 인 ", " of ": " 급여 ", " for ": " 확인 ", " une ": " 신청서 "}
 
 
 def guardrail_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("value") / 500
-    rows = table(spark, sf_dir, "events").select(_e(), pick(WORDS, _e()).alias("text"), F.create_map(F.lit("a"), p, F.lit("b"), 1 - p, F.lit("c"), F.lit(0.6)).alias("probs"), p.alias("margin"))
-    return routing.guardrail_route(rows).select("event_id", "category", "should_route")
+    """Turns of conversations, with probabilities by their length."""
+    p = F.length("text") % 500 / 500
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", marked(F.col("text"), GUARD_MARKS).alias("text"), F.create_map(F.lit("a"), p, F.lit("b"), 1 - p, F.lit("c"), F.lit(0.6)).alias("probs"), p.alias("margin"))
+    return routing.guardrail_route(rows).select("conv_id", "turn", "category", "should_route")
 
 
 def probability_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +324,7 @@ _PROMPT = "case x " + " ".join(f"when '{k}' then '{v}'" for k, v in slots.PROMPT
 _LABEL = "case x " + " ".join(f"when '{k}' then '{v}'" for k, v in slots.ITEM_LABELS.items()) + " end"
 _DECISION = " ".join(f"when '{k}' then {{{{'a': '{v[0]}', 'q': '{v[1]}', 'w': '{','.join(v[2])}', 's': '{','.join(v[3])}'}}}}" for k, v in slots.EXPIRED_STAY.items()).replace("{{", "{").replace("}}", "}")
 
+_ANY = "len([w for w in {words} if contains(t, w)])"
 ORACLE_SQL = {
     "enrich_case": "with x as (select c_custkey as case_id, c_name, c_custkey % 150 as wid, c_nationkey as co, case when c_custkey % 2 = 0 then c_name end as dn, case when c_custkey % 3 = 0 then '' end as fn, c_custkey % 4 = 0 as task, c_mktsegment from customer), j as (select x.*, s_name, s_suppkey, case when s_suppkey % 2 = 0 then s_nationkey::varchar end as nc, n_name from x left join supplier on s_suppkey = wid left join nation on n_nationkey = co) select case_id, "
     + sql_shown({"display_name": "coalesce(dn, s_name)", "full_name": "coalesce(fn, s_name, case when task then 'json' end)", "worker_id": "s_suppkey::varchar", "nationality_code": "nc", "nationality": "nc", "company_id": "case when n_name is not null then co::varchar end", "enterprise_name": "n_name", "wage": "case when task then c_mktsegment end"}) + " as slots from j",
@@ -344,7 +347,8 @@ select k as case_id, replace(route, '2', '') as route, case route when 'out_of_s
     "field_status": "with f as (select l_orderkey as c, l_returnflag as t, 'f' || (l_partkey % 9) as n, l_partkey % 9 > 6 as box, l_quantity > 25 as has from lineitem) select c as case_id, t as template_id, " + ", ".join(f"coalesce(array_to_string(list_sort(list_distinct(list(n) filter ({rule}))), ','), '') as {name}" for name, rule in {"fields": "true", "filled": "has", "empty_text": "not box and not has", "checkboxes": "box"}.items()) + " from f group by 1, 2",
     "upsert_identity_slots": "with s as (select user_id, event_type, max(event_id)::varchar as v from events group by 1, 2), a as (select user_id, event_type as k, v from s union all select c_custkey, 'name', c_name from customer union all select c_custkey, 'click', 'old' from customer where c_custkey not in (select user_id from s where event_type = 'click')) select c_custkey as worker_id, string_agg(k || '=' || v, ';' order by k) as slots from customer join a on user_id = c_custkey group by 1",
     "merge_resume": "with u as (select o_custkey as t, max(o_orderkey) as o from orders group by 1) select coalesce(c_custkey, t) as task_id, array_to_string([x for x in ['a=' || c_name, 'b=' || coalesce(o::varchar, case when c_custkey % 2 = 0 then 'old' end), 'c=' || case when o % 3 = 0 then o end] if x is not null], ';') as slots, case when o % 2 = 1 then 'new' else c_mktsegment end as instruction from customer full outer join u on t = c_custkey",
-    "guardrail_route": "with g as (select event_id, value / 500 as p, event_id % 6 as w from events), c as (select event_id, case when (p >= 0.55)::int + (1 - p >= 0.55)::int + 1 >= 3 then 'OOD_Label_Count' when w = 0 then 'Rule_Status' when w = 1 then 'Rule_Action' when w = 2 then 'Rule_Salary' when w = 3 then 'Rule_Document' when p < 0.76 then 'Low_Margin' else 'Pass_BERT' end as category from g) select *, category != 'Pass_BERT' as should_route from c",
+    "guardrail_route": f"""with g as (select conv_id, turn, (length(text) % 500)::double / 500 as p, replace({marked_sql('text', GUARD_MARKS)}, ' ', '') as t from conversations), c as (select conv_id, turn, case when (p >= 0.55)::int + (1 - p >= 0.55)::int + 1 >= {routing.MOST_LABELS} then 'OOD_Label_Count' when {_ANY.format(words=sql_list(routing.STATUS_WORDS))} >= 1 then 'Rule_Status' when {_ANY.format(words=sql_list(routing.ACTION_WORDS))} >= 2 then 'Rule_Action'
+  when contains(t, '급여계좌') or contains(t, '급여') and contains(t, '확인') then 'Rule_Salary' when {_ANY.format(words=sql_list(routing.DOCUMENT_WORDS))} >= 1 then 'Rule_Document' when p < {routing.MARGIN} then 'Low_Margin' else 'Pass_BERT' end as category from g) select *, category != 'Pass_BERT' as should_route from c""",
     "probability_margin": "with p as (select event_id, [value / 500, 0.5::double, 0.9::double - value / 500] as p from events), a as (select *, [x for x in p if x >= 0.55] as hi, [x for x in p if x < 0.55] as lo from p) select event_id, round(case when len(hi) = 0 then list_max(p) - 0.55::double else list_min(hi) - coalesce(list_max(lo), 0) end, 9) as margin, case when len(hi) = 0 then ['A', 'B', 'C'][list_position(p, list_max(p))] else array_to_string([n for n, i in ['A', 'B', 'C'] if p[i] >= 0.55], ',') end as picked from a",
     "primary_label": "select event_id, case when event_id % 5 = 0 or event_id % 4 = 0 then 'OUT_OF_SCOPE' when event_id % 3 = 0 or value >= 50 then 'A' else 'B' end as primary, case when event_id % 5 = 0 then 0.0 when event_id % 4 = 0 then 0.5 when event_id % 3 = 0 then 0.85 else greatest(value, 50.0) end::double as confidence from events",
     "check_label_evidence": f"with n as (select event_id, event_type, {sql_list([*routing.LABELS, 'ODD'])} as l from events), i as (select event_id, event_type, l[event_id % 8 + 1] as a, l[(event_id + (event_id // 8) % 3) % 8 + 1] as b, case event_id % 3 when 0 then event_type when 1 then 'zzz' end as e from n) select event_id, case when event_id % 7 = 0 then null when event_id % 11 = 0 then 'NO_INTENT' when a = 'ODD' or b = 'ODD' then 'UNSUPPORTED_INTENT' when a = b then 'DUPLICATE_INTENT' when (a = 'OUT_OF_SCOPE' and e is not null) or b = 'OUT_OF_SCOPE' then 'EVIDENCE_FORBIDDEN' when a != 'OUT_OF_SCOPE' and coalesce(e, 'zzz') = 'zzz' then 'EVIDENCE_NOT_IN_TEXT' when a = 'OUT_OF_SCOPE' then 'OUT_OF_SCOPE_NOT_ALONE' end as error from i",
