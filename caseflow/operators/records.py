@@ -45,8 +45,10 @@ def map_template_fields(slots: DataFrame, mapping: DataFrame) -> DataFrame:
     held = slots.where(F.coalesce("value", F.lit("")) != "").select("case_id", F.col("key").alias("source"), "value")
     cases = slots.select("case_id").distinct()
     direct = mapping.where("mirror_of is null and constant is null").join(held, "source").select("case_id", "template_id", "field", "priority", "value")
-    # a constant stands in every case: the rules are a small dimension
-    fixed = cases.join(F.broadcast(mapping.where("constant is not null").select("template_id", "field", "priority", F.col("constant").alias("value"))), F.lit(True))
+    # a constant stands in every case: all constants travel as one array, so that no rows are paired
+    rule = F.struct("template_id", "field", "priority", F.col("constant").alias("value"))
+    constants = mapping.where("constant is not null").agg(F.collect_list(rule).alias("c"))
+    fixed = cases.select("case_id", F.explode(constants.scalar()).alias("c")).select("case_id", "c.*")
     own = mapping.select("template_id", "field").distinct().join(held.withColumnRenamed("source", "field"), "field").select("case_id", "template_id", "field", F.lit(2**31 - 1).alias("priority"), "value")
     best = direct.unionByName(fixed).unionByName(own).groupBy("case_id", "template_id", "field").agg(F.min_by("value", "priority").alias("value"))
     mirrors = mapping.where("mirror_of is not null").select("template_id", F.col("field").alias("to"), F.col("mirror_of").alias("field"))

@@ -56,8 +56,8 @@ def slot_table(workflows: DataFrame, column: str = "required_slots") -> DataFram
 
 
 def lookup_workflow(requests: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Requests with their catalog row; unknown ids have nulls. The catalog is a dimension of a few rows."""
-    return requests.join(F.broadcast(workflows), "workflow_id", "left")
+    """Requests with their catalog row; unknown ids have nulls. A catalog may come from a file, so whether it is broadcast is left to its measured size."""
+    return requests.join(workflows, "workflow_id", "left")
 
 
 def guardrail_route(rows: DataFrame, *, text_col: str = "text", probs_col: str = "probs", margin_col: str = "margin") -> DataFrame:
@@ -131,7 +131,7 @@ def resolve_workflow(requests: DataFrame, workflows: DataFrame, terms: DataFrame
     """(request_id, workflow_id) for requests (request_id, intent, constraints, text): among the workflows of the intent, and of those the allowed ones if any is,
     a single one itself, else the one whose terms match most, else the intent's default if it is a candidate, else null. ``terms`` has workflow_id and term."""
     per_intent = workflows.groupBy("intent").agg(F.array_sort(F.collect_list("workflow_id")).alias("all"))
-    rows = requests.join(F.broadcast(per_intent), "intent", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
+    rows = requests.join(per_intent, "intent", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
     allowed = F.array_intersect("all", expand_constraints(F.coalesce("constraints", F.array().cast("array<string>"))))
     rows = rows.withColumn("candidates", F.when(F.size(allowed) > 0, allowed).otherwise(F.col("all"))).select("request_id", "intent", "text", "candidates")
     best = best_matches(rows.select(F.col("request_id").alias("text_id"), "text", "candidates"), terms).withColumnRenamed("text_id", "request_id")
