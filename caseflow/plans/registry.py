@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import text as fx
 from caseflow.operators import cases, corpus, forms, retrieval
+from caseflow.sources.shared import text_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
