@@ -1,14 +1,16 @@
 """Cases as streams: status histories, capped attempts, resumed slots, one-time deliveries, idempotent upserts, latencies.
 
 Operators that need the rows of a key in order take a key's rows of one micro-batch together and sort them, so a result
-does not depend on how rows arrive inside a batch; across batches, the rows of a key must arrive in order. What a task holds of a
-key is bounded by the size of a batch (``files_per_batch`` of ``read_stream``); state is a few values for each key. Null keys
-are a key of their own, empty input gives no rows, columns that are not named are left out.
+does not depend on how rows arrive inside a batch; across batches, the rows of a key must arrive in order. Up to 64 neighbouring
+keys are taken in one call, as a call costs milliseconds. What a task holds of them is bounded by the size of a batch
+(``files_per_batch`` of ``read_stream``); state is a few values for each key. Null keys are a key of their own, empty input
+gives no rows, columns that are not named are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,17 +20,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from caseflow.operators.cases import TRANSITIONS
 
 
-def _in_order(stream: DataFrame, key: str, order: list[str], step: Callable, out: str, state: str) -> DataFrame:
-    """Folds ``step(rows sorted by order, state or None) -> (frame, state)`` over the micro-batches of each key."""
+#: Neighbouring keys of one call, as a power of two.
+KEY_BITS = 6
+
+
+def _in_order(stream: DataFrame, key: str, order: list[str], step: Callable, out: str, state: dict[str, str]) -> DataFrame:
+    """Folds ``step(rows of a key sorted by order, its state or None) -> (result rows, state)`` over the micro-batches; rows are tuples, and ``key`` is a whole number."""
+    columns, results = stream.columns, [c.split()[0] for c in out.split(", ")]
 
     def fold(_, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts), ignore_index=True)
         if len(rows):
-            frame, kept = step(rows.sort_values(order, kind="stable", ignore_index=True), held.get if held.exists else None)
-            held.update(kept)
-            yield frame
+            rows = rows.sort_values([key, *order], kind="stable", ignore_index=True)
+            kept = {k: values for k, *values in zip(*held.get, strict=True)} if held.exists else {}
+            found = []
+            keys = (None if pd.isna(k) else int(k) for k in rows[key])
+            for k, own in groupby(zip(keys, zip(*(rows[c].tolist() for c in columns), strict=True), strict=True), lambda pair: pair[0]):
+                more, kept[k] = step([row for _, row in own], kept.get(k))
+                found += more
+            held.update((list(kept), *map(list, zip(*kept.values(), strict=True))))
+            yield pd.DataFrame(found, columns=results)
 
-    return stream.groupBy(key).applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.NoTimeout)
+    near = stream.withColumn("__near", F.shiftright(key, KEY_BITS))
+    held = ", ".join(["keys array<long>", *[f"{name} array<{kind}>" for name, kind in state.items()]])
+    return near.groupBy("__near").applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_check_transitions(history: DataFrame) -> DataFrame:
@@ -38,19 +53,19 @@ def stream_check_transitions(history: DataFrame) -> DataFrame:
     leave the state as it is; their ``allowed`` is null. Rows of one case should not share a seq; if so, statuses go by alphabet.
     """
 
-    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def step(rows: list[tuple], kept: list | None) -> tuple[list[tuple], tuple]:
         seen, last, status = kept or (False, None, None)
         found = []
-        for case, seq, now in zip(rows["case_id"], rows["seq"], rows["status"], strict=True):
+        for case, seq, now in rows:
             now = now if isinstance(now, str) else None
             late = pd.isna(seq) or (last is not None and seq < last)
             found.append((case, seq, None if late else status, now, None if late else not seen or status is None or now in TRANSITIONS.get(status, ()), late))
             if not late:
                 seen, last, status = True, int(seq), now
-        return pd.DataFrame(found, columns=["case_id", "seq", "previous", "status", "allowed", "late"]), (seen, last, status)
+        return found, (seen, last, status)
 
     rows = history.select("case_id", "seq", "status")
-    return _in_order(rows, "case_id", ["seq", "status"], step, "case_id long, seq long, previous string, status string, allowed boolean, late boolean", "seen boolean, last long, status string")
+    return _in_order(rows, "case_id", ["seq", "status"], step, "case_id long, seq long, previous string, status string, allowed boolean, late boolean", {"seen": "boolean", "last": "long", "status": "string"})
 
 
 def stream_attempt_cap(attempts: DataFrame, *, cap: int = 2) -> DataFrame:
@@ -60,15 +75,16 @@ def stream_attempt_cap(attempts: DataFrame, *, cap: int = 2) -> DataFrame:
     A null result counts.
     """
 
-    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def step(rows: list[tuple], kept: list | None) -> tuple[list[tuple], tuple]:
         sequence, counted = kept or (0, 0)
-        numbers = range(sequence + 1, sequence + len(rows) + 1)
-        totals = counted + (rows["result"] != "ABORTED_NO_OUTPUT").cumsum()
-        frame = pd.DataFrame({"attempt_id": rows["attempt_id"], "sequence": numbers, "counted": totals, "needs_human": totals > cap})
-        return frame, (sequence + len(rows), int(totals.iloc[-1]))
+        found = []
+        for _, attempt, _, result in rows:
+            sequence, counted = sequence + 1, counted + (result != "ABORTED_NO_OUTPUT")
+            found.append((attempt, sequence, counted, counted > cap))
+        return found, (sequence, counted)
 
     rows = attempts.select("doc_id", "attempt_id", F.col("started_at").cast("timestamp").alias("started_at"), "result")
-    return _in_order(rows, "doc_id", ["started_at", "attempt_id"], step, "attempt_id long, sequence long, counted long, needs_human boolean", "sequence long, counted long")
+    return _in_order(rows, "doc_id", ["started_at", "attempt_id"], step, "attempt_id long, sequence long, counted long, needs_human boolean", {"sequence": "long", "counted": "long"})
 
 
 def stream_resume_slots(saves: DataFrame) -> DataFrame:
@@ -77,16 +93,16 @@ def stream_resume_slots(saves: DataFrame) -> DataFrame:
     A null or empty map changes nothing; a slot saved as null keeps its stored value.
     """
 
-    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def step(rows: list[tuple], kept: list | None) -> tuple[list[tuple], tuple]:
         slots, found = dict(zip(*kept, strict=True)) if kept else {}, []
-        for task, seq, new in zip(rows["task_id"], rows["seq"], rows["slots"], strict=True):
+        for task, seq, new in rows:
             pairs = new.items() if isinstance(new, dict) else new if new is not None else ()
             slots |= {name: value for name, value in pairs if value is not None or name not in slots}
             found.append((task, seq, dict(slots)))
-        return pd.DataFrame(found, columns=["task_id", "seq", "slots"]), (list(slots), list(slots.values()))
+        return found, (list(slots), list(slots.values()))
 
     rows = saves.select("task_id", "seq", "slots")
-    return _in_order(rows, "task_id", ["seq"], step, "task_id long, seq long, slots map<string,string>", "names array<string>, vals array<string>")
+    return _in_order(rows, "task_id", ["seq"], step, "task_id long, seq long, slots map<string,string>", {"names": "array<string>", "vals": "array<string>"})
 
 
 def stream_one_time_delivery(actions: DataFrame) -> DataFrame:
@@ -96,29 +112,29 @@ def stream_one_time_delivery(actions: DataFrame) -> DataFrame:
     ``expired`` from ``expires_at`` on (null: never) and ``unknown`` for a delivery that is not the document's newest. Other kinds are ``invalid``.
     """
 
-    def step(rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def step(rows: list[tuple], kept: list | None) -> tuple[list[tuple], tuple]:
         delivery, expires, used = kept or (None, None, False)
         found = []
-        for row in rows.itertuples():
-            if row.kind == "issue":
-                delivery, expires, used = row.delivery_id, None if pd.isna(row.expires_at) else int(row.expires_at), False
+        for doc, action, at, kind, asked, until in rows:
+            if kind == "issue":
+                delivery, expires, used = asked, None if pd.isna(until) else int(until), False
                 outcome = "issued"
-            elif row.kind != "consume":
+            elif kind != "consume":
                 outcome = "invalid"
-            elif delivery is None or row.delivery_id != delivery:
+            elif delivery is None or asked != delivery:
                 outcome = "unknown"
             elif used:
                 outcome = "already_consumed"
-            elif expires is not None and row.at_us >= expires:
+            elif expires is not None and at >= expires:
                 outcome = "expired"
             else:
                 outcome, used = "consumed", True
-            found.append((row.doc_id, row.action_id, outcome))
-        return pd.DataFrame(found, columns=["doc_id", "action_id", "outcome"]), (None if pd.isna(delivery) else int(delivery), expires, used)
+            found.append((doc, action, outcome))
+        return found, (None if pd.isna(delivery) else int(delivery), expires, used)
 
     micros = {name: F.unix_micros(F.col(column).cast("timestamp")) for name, column in (("at_us", "at"), ("expires_us", "expires_at"))}
     rows = actions.select("doc_id", "action_id", micros["at_us"].alias("at_us"), "kind", "delivery_id", micros["expires_us"].alias("expires_at"))
-    return _in_order(rows, "doc_id", ["at_us", "action_id"], step, "doc_id long, action_id long, outcome string", "delivery long, expires long, used boolean")
+    return _in_order(rows, "doc_id", ["at_us", "action_id"], step, "doc_id long, action_id long, outcome string", {"delivery": "long", "expires": "long", "used": "boolean"})
 
 
 def stream_upsert_points(points: DataFrame, *, key: str, at: str, delay: str) -> DataFrame:

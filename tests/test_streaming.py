@@ -77,3 +77,14 @@ def test_upserts_repeat_nothing_and_windows_close_behind_the_watermark(stream):
 
 def test_empty_tables(stream):
     assert run_available(cases.stream_check_transitions(stream("case_id long, seq long, status string")), "e").count() == 0
+
+
+def test_neighbouring_keys_share_a_call_and_keep_their_own_state(stream):
+    schema = "doc_id long, attempt_id long, started_at timestamp, result string"
+    at = dt.datetime(2026, 1, 1)
+    keys = [*range(-70, 70), 2**53, 2**53 + 1, None]
+    batch = lambda n: [(k, (i * 10 + n), at + dt.timedelta(days=n), "ABORTED_NO_OUTPUT" if i % 2 and n == 0 else "OK") for i, k in enumerate(keys)]
+    found = cases.stream_attempt_cap(stream(schema, batch(0), batch(1), batch(2)), cap=2)
+    assert "__near" in found._jdf.queryExecution().analyzed().toString()  # one call for up to 64 keys, not one for each
+    rows = rows_of(run_available(found, "near"), "attempt_id")
+    assert rows == [(i * 10 + n, n + 1, n + (i % 2 == 0), n + (i % 2 == 0) > 2) for i in range(len(keys)) for n in range(3)]
