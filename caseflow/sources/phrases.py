@@ -9,7 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions.text import strip
+from caseflow.functions.facts import let
+from caseflow.functions.text import strip, strip_long
 from caseflow.sources.packages import states_package, well_formed
 
 PHRASES = "lang_code string, lang_name string, page string, korean string, foreign_translation string, pronunciation string"
@@ -47,29 +48,43 @@ def read_eval_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("error", F.when(F.coalesce("case_id", F.lit("")) == "", "CASE_ID_REQUIRED"))
 
 
-def parse_kv_records(records: DataFrame, *, id_col: str = "record_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(record_id, key, value) of ``key=value`` texts, and (record_id, error) of texts that break the format.
+def parse_kv_rows(records: DataFrame, *, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
+    """(record_id, key, value, error) of ``key=value`` texts: a row for each pair, or one with the error of a text that breaks the format. A text is split and stripped once.
 
     Blank lines and those that start with # are left out; a line is split at its first ``=``. Errors, the first that holds: a NUL byte, a line without ``=``, an empty key, a key given twice, no values.
     A text with an error gives no values.
     """
     text = F.regexp_replace(F.coalesce(text_col, F.lit("")), "^﻿", "")
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), strip)
-    rows = records.select(F.col(id_col).alias("record_id"), text.alias("t"), F.filter(lines, lambda x: (x != "") & ~x.startswith("#")).alias("lines"))
     at = lambda x: F.call_function("locate", F.lit("="), x)
-    key = lambda x: strip(F.substring(x, F.lit(1), at(x) - 1))
-    pairs = F.transform("lines", lambda x: F.struct(key(x).alias("key"), strip(F.substring(x, at(x) + 1, F.length(x))).alias("value")))
-    names = F.transform("lines", key)
-    error = (
-        F.when(F.contains("t", F.lit("\x00")), "NUL_BYTE")
-        .when(F.exists("lines", lambda x: ~F.contains(x, F.lit("="))), "NO_EQUALS_SIGN")
-        .when(F.exists(names, lambda k: k == ""), "EMPTY_KEY")
-        .when(F.size(F.array_distinct(names)) < F.size(names), "DUPLICATE_KEY")
-        .when(F.size("lines") == 0, "NO_VALUES")
-    )
-    checked = rows.withColumn("error", error)
-    good = checked.where("error is null").select("record_id", F.explode(pairs).alias("p")).select("record_id", "p.key", "p.value")
-    return good, checked.where("error is not null").select("record_id", "error")
+    row = lambda key, value, error: F.struct(key.cast("string").alias("key"), value.cast("string").alias("value"), error.cast("string").alias("error"))
+    none = F.lit(None)
+
+    def pair(x: Column) -> Column:
+        return let(at(x), lambda i: F.struct((i > 0).alias("split"), strip(F.substring(x, F.lit(1), i - 1)).alias("key"), strip_long(F.substring(x, i + 1, F.length(x))).alias("value")))
+
+    def rows(nul: Column, pairs: Column) -> Column:
+        names = F.transform(pairs, lambda p: p["key"])
+        error = (
+            F.when(nul, "NUL_BYTE")
+            .when(F.exists(pairs, lambda p: ~p["split"]), "NO_EQUALS_SIGN")
+            .when(F.exists(pairs, lambda p: p["key"] == ""), "EMPTY_KEY")
+            .when(F.size(F.array_distinct(names)) < F.size(pairs), "DUPLICATE_KEY")
+            .when(F.size(pairs) == 0, "NO_VALUES")
+        )
+        return let(error, lambda e: F.when(e.isNotNull(), F.array(row(none, none, e))).otherwise(F.transform(pairs, lambda p: row(p["key"], p["value"], none))))
+
+    def parsed(t: Column) -> Column:
+        lines = F.transform(F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), strip_long)
+        pairs = F.transform(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), pair)
+        return let(pairs, lambda p: rows(F.contains(t, F.lit("\x00")), p))
+
+    return records.select(F.col(id_col).alias("record_id"), F.explode(let(text, parsed)).alias("r")).select("record_id", "r.*")
+
+
+def parse_kv_records(records: DataFrame, *, id_col: str = "record_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(record_id, key, value) of the texts of ``parse_kv_rows``, and (record_id, error) of those that break the format."""
+    rows = parse_kv_rows(records, id_col=id_col, text_col=text_col)
+    return rows.where("error is null").select("record_id", "key", "value"), rows.where("error is not null").select("record_id", "error")
 
 
 def read_kv_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
