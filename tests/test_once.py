@@ -6,8 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from caseflow.functions.facts import MACHINE_STEPS, machine_tokens
-from caseflow.operators import language
-from caseflow.plans import edits
+from caseflow.operators import language, records
+from caseflow.plans import edits, reviews
 from caseflow.plans import language as language_plans
 from caseflow.sources import phrases
 
@@ -53,3 +53,28 @@ def test_no_text_is_shuffled_to_its_tokens(spark):
     none = "array<string>"
     pairs = spark.createDataFrame([(1, " \n", ["a"], "", None, None, ["b", "c"], "7")], f"id long, request_reason string, requested_items {none}, submission_method string, deadline date, cand_reason string, cand_items {none}, cand_method string")
     assert language.validate_candidate(pairs).first()["failed_checks"] == ["request_reason.present", "requested_items.cardinality", "facts.no_addition"]
+
+
+def exchanges(spark, make):
+    """Shuffles of a query's plan where no table is broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_cells_are_shuffled_once_to_their_labels(spark):
+    # lines to their places twice, documents twice, cells once
+    assert exchanges(spark, lambda: edits.fill_by_label(spark, SF_DIR)) <= 5
+    # lines, options and cells once
+    assert exchanges(spark, lambda: reviews.application_options(spark, SF_DIR)) <= 3
+
+
+def test_labels_of_one_document_find_cells_by_either_script(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, "성명 Name"), (1, 0, 0, 2, "x"), (1, 0, 1, 0, ""), (1, 0, 3, 0, "Name"), (2, 0, 0, 0, "Name"), (2, 0, 0, 1, None)], "doc_id long, table_id int, row int, column int, text string")
+    values = spark.createDataFrame([(1, "a", "성 명", "u"), (1, "a", "name!", "u"), (1, "b", "NAME", "v"), (1, "c", None, "w"), (2, "a", "12", "u")], "doc_id long, key string, label string, value string")
+    found = records.fill_by_label(cells, values, below=["b"])
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 2, "a", "u"), (1, 0, 1, 0, "b", "v")]
