@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.facts import let, located
 from caseflow.functions.fields import any_word, is_required, row_category
 from caseflow.functions.text import strip
-from caseflow.operators import forms, regions
+from caseflow.operators import regions
 
 #: What inputs inside a cell's text look like.
 INLINE_DATE = r"(?U)(?:\d{4}\s*)?년\s+(?:\d{1,2}\s*)?월\s+(?:\d{1,2}\s*)?일"
@@ -19,6 +19,8 @@ BOX = r"(?U)\[\s*\]"
 SEGMENT_DATE = r"(?U)(년\s*월\s*일|년\s+\d*월\s+\d*일|\d{4}\.\s*\d{1,2}\.\s*\d{1,2})"
 SEGMENT_BOX = r"(?U)(\[\s*\]|\[\s*V\s*\]|\[\s*■\s*\]|□)"
 SEGMENT_SIGN = r"(?U)(\(서명\s*또는\s*인\)|\(인\)|\(서명\)|\(날인\))"
+#: What stands in every input inside a text; cheap to look for.
+INLINE_MARKS = ["년", "서명", "(", "（", "["]
 NUMBER_WORDS = ["사업자등록번호", "주민등록번호", "Identification number"]
 PLACE = ["doc_id", "table_id", "row", "column"]
 #: Order of the passes: an earlier one keeps a cell that it claims.
@@ -54,9 +56,8 @@ def segment_fields(cells: DataFrame) -> DataFrame:
     return cells.select(*PLACE, F.explode(found).alias("s")).select(*PLACE, "s.*")
 
 
-def inline_fields(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_id, row, column, kind, at, label): dates, signatures and amounts inside a text, boxes with their labels, placeholders."""
-    text = F.col("text")
+def inline_spots(text: Column) -> Column:
+    """Dates, signatures and amounts inside a text, boxes with their labels, placeholders: an array of (kind, at, label)."""
     spot = lambda pattern, kind, label: F.transform(located(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("at"), (F.lit(label) if label else m["value"]).alias("label")))
     named = lambda part, pattern: F.filter(F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)), lambda x: strip(F.regexp_replace(strip(x), "^,+|,+$", ""))), lambda x: x != "")
     # no label stands before a box that is not there: what follows the last bracket is not searched
@@ -69,31 +70,59 @@ def inline_fields(cells: DataFrame) -> DataFrame:
     of_labels = lambda x: F.when(F.size(x) > 1, one("checkbox_group", F.array_join(F.slice(x, 1, 4), " / "))).when(F.size(x) == 1, one("checkbox", F.try_element_at(x, F.lit(1)))).when(bare != "", one("checkbox", bare)).otherwise(none)
     boxes = F.when(text.rlike(BOX), let(chosen, of_labels)).otherwise(none)
     blank = F.when(text.rlike(PLACEHOLDER), one("placeholder", strip(F.regexp_extract(text, PLACEHOLDER, 1)))).otherwise(none)
-    found = F.concat(spot(INLINE_DATE, "date_inline", "날짜 입력 영역"), spot(SIGNABLE, "signable", None), spot(AMOUNT, "amount", "금액 입력 영역"), boxes, blank)
-    return cells.select(*PLACE, F.explode(found).alias("s")).select(*PLACE, "s.*")
+    every = F.concat(spot(INLINE_DATE, "date_inline", "날짜 입력 영역"), spot(SIGNABLE, "signable", None), spot(AMOUNT, "amount", "금액 입력 영역"), boxes, blank)
+    return F.when(any_word(text, INLINE_MARKS), every).otherwise(none)
+
+
+def inline_fields(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_id, row, column, kind, at, label) of what stands inside a cell's text."""
+    return cells.select(*PLACE, F.explode(inline_spots(F.col("text"))).alias("s")).select(*PLACE, "s.*")
 
 
 def field_union(cells: DataFrame) -> DataFrame:
     """(doc_id, table_id, row, column, at, kind, label, category, required): all passes over the cells before a table's official part, in their order; of the passes that claim a
     whole cell the first one keeps it, the others (dates, signatures and amounts inside a text) add to it."""
-    official = regions.official_region(cells).select("doc_id", "table_id", "start_row")
-    rows = cells.join(official, ["doc_id", "table_id"], "left").where("start_row is null or row < start_row").drop("start_row")
-    shape = lambda df, kind, label: df.select(*PLACE, F.lit(0).alias("at"), F.lit(kind).alias("kind"), label.alias("label"))
-    grids = shape(forms.character_grids(rows), "character_grid", F.col("label"))
-    dates = regions.date_triplets(rows).withColumn("column", F.col("columns")[0])
-    every = (
-        grids.unionByName(shape(dates, "date_segments", F.col("label")))
-        .unionByName(shape(regions.label_to_left(rows), "amount_unit", F.col("label")))
-        .unionByName(inline_fields(rows).select(*PLACE, "at", "kind", "label"))
-        .unionByName(shape(forms.label_blank_pairs(rows), "blank", F.col("label")))
+    table, row = Window.partitionBy("doc_id", "table_id"), Window.partitionBy(*regions.ROW)
+    order = row.orderBy("column")
+    text, trimmed, stripped, column = F.col("text"), F.trim("text"), strip(F.col("text")), F.col("column")
+    # cells meet once, in the order of their tables; all passes are windows over that order
+    rows = cells.select(*PLACE, "text").repartition("doc_id").sortWithinPartitions(*PLACE)
+    rows = rows.withColumn("start_row", F.min(F.when(any_word(text, regions.OFFICIAL_WORDS), F.col("row"))).over(table)).where("start_row is null or row < start_row")
+    anchors = {a: F.min(F.when(F.contains(F.lower("text"), F.lit(a)), column)).over(row) for a in regions.DATE_ANCHORS}
+    rows = rows.withColumns(
+        {
+            **anchors,
+            "blank": trimmed == "",
+            "next_text": F.lead("text").over(order),
+            "next_column": F.lead("column").over(order),
+            "island": F.row_number().over(order) - F.sum(F.when(trimmed == "", 1).otherwise(0)).over(order),
+            "grid_label": F.last(F.when(trimmed != "", trimmed), ignorenulls=True).over(order),
+            "left_label": F.last(F.when(stripped != "", stripped), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        }
     )
-    # cells that a grid or a split date takes besides its first
-    grid_cells = forms.character_grids(rows).select("doc_id", "table_id", "row", F.explode(F.sequence(F.col("column"), F.col("column") + F.col("slots").cast("int") - 1)).alias("column"), F.lit(0).alias("by"))
-    date_cells = dates.select("doc_id", "table_id", "row", F.explode("columns").alias("column"), F.lit(1).alias("by"))
-    taken = grid_cells.unionByName(date_cells).groupBy(*PLACE).agg(F.min("by").alias("by"))
-    order = F.array_position(F.array(*map(F.lit, PASSES)), F.col("kind")).cast("int") - 1
+    dated = F.col("yyyy").isNotNull() & F.col("mm").isNotNull() & F.col("dd").isNotNull()
+    before_year = F.min_by(stripped, F.when((column < F.col("yyyy")) & (stripped != ""), column)).over(row)
+    run = Window.partitionBy(*regions.ROW, "island", "blank")
+    rows = rows.withColumns({"date_label": F.coalesce(before_year, F.lit("날짜")), "slots": F.count("*").over(run), "first": F.min("column").over(run)})
+    grid = F.coalesce(F.col("blank") & (column == F.col("first")) & (F.col("slots") >= 4) & ~F.col("grid_label").startswith("■"), F.lit(False))
+    # columns that a grid or a split date takes
+    span = F.struct(column.alias("start"), (column + F.col("slots").cast("int") - 1).alias("stop"))
+    rows = rows.withColumn("grids", F.collect_list(F.when(grid, span)).over(row)).withColumn("dates", F.when(dated, F.array(*regions.DATE_ANCHORS)))
+    one = lambda rule, at, kind, label: F.when(rule, F.array(F.struct(at.alias("column"), F.lit(0).alias("at"), F.lit(kind).alias("kind"), label.alias("label"))))
+    beside = (trimmed != "") & ~trimmed.startswith("■") & (F.length(trimmed) <= 100) & (F.trim("next_text") == "")
+    inline = F.transform(inline_spots(text), lambda s: F.struct(column.alias("column"), s["at"].alias("at"), s["kind"].alias("kind"), s["label"].alias("label")))
+    passes = [
+        one(grid, column, "character_grid", F.col("grid_label")),
+        one(dated & (column == F.col("yyyy")), column, "date_segments", F.col("date_label")),
+        one(text.rlike(regions.AMOUNT_UNIT), column, "amount_unit", F.coalesce("left_label", F.lit("금액"))),
+        inline,
+        one(beside, F.col("next_column"), "blank", trimmed),
+    ]
+    every = rows.select(*regions.ROW, "grids", "dates", F.explode(F.flatten(F.array_compact(F.array(*passes)))).alias("f")).select(*regions.ROW, "grids", "dates", "f.*")
+    by = F.when(F.exists("grids", lambda g: column.between(g["start"], g["stop"])), 0).when(F.array_contains("dates", column), 1)
+    number = F.array_position(F.array(*map(F.lit, PASSES)), F.col("kind")).cast("int") - 1
     claims = F.col("kind").isin(*CLAIMS)
-    ranked = every.join(taken, PLACE, "left").withColumn("pass", order).where(~claims | F.col("by").isNull() | (F.col("pass") <= F.col("by")))
+    ranked = every.withColumn("by", by).withColumn("pass", number).where(~claims | F.col("by").isNull() | (F.col("pass") <= F.col("by")))
     first = Window.partitionBy(*PLACE, claims).orderBy("pass", "at")
     kept = ranked.withColumn("rn", F.row_number().over(first)).where(~claims | (F.col("rn") == 1))
     return kept.select(*PLACE, "at", "kind", F.substring("label", 1, 60).alias("label"), row_category(F.col("row")).alias("category"), is_required(F.col("label")).alias("required"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.facts import MACHINE_STEPS, machine_tokens
 from caseflow.operators import language, records
-from caseflow.plans import edits, reviews
+from caseflow.operators.discovery import field_union
+from caseflow.plans import discovery, edits, reviews
 from caseflow.plans import language as language_plans
 from caseflow.sources import phrases
 
@@ -78,3 +79,13 @@ def test_labels_of_one_document_find_cells_by_either_script(spark):
     values = spark.createDataFrame([(1, "a", "성 명", "u"), (1, "a", "name!", "u"), (1, "b", "NAME", "v"), (1, "c", None, "w"), (2, "a", "12", "u")], "doc_id long, key string, label string, value string")
     found = records.fill_by_label(cells, values, below=["b"])
     assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 2, "a", "u"), (1, 0, 1, 0, "b", "v")]
+
+
+def test_all_passes_over_cells_share_one_shuffle(spark):
+    # lines to their places, cells to their documents, the count of fields
+    assert exchanges(spark, lambda: discovery.field_union(spark, SF_DIR)) <= 3
+    texts = ["성명", "", " ", "", "", "yyyy", "mm", "dd", "원", "", "□ a", "[ ] x", None]
+    rows = [(1, 0, 0, 2 * i if i > 9 else i, t) for i, t in enumerate(texts)] + [(1, 0, 1, 0, "공용란"), (1, 0, 2, 0, "성명"), (1, 0, 2, 1, "")]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id int, row int, column int, text string")
+    found = {(r["row"], r["column"], r["kind"], r["label"]) for r in field_union(cells).collect()}
+    assert found == {(0, 1, "character_grid", "성명"), (0, 5, "date_segments", "성명"), (0, 8, "amount_unit", "dd"), (0, 9, "blank", "원"), (0, 22, "checkbox", "x")}
