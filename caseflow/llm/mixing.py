@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import fresh_name, materialize
+from caseflow.llm.shared import fresh_name, materialize, release_shuffles
 
 LEVELS = ("domain", "lang", "source")
 #: Hash ranges of a leaf: three hex digits of the seeded hash.
@@ -80,29 +80,36 @@ def mix(
 
     leaves = slim.groupBy(F.col(d).alias("domain"), F.col(lng).alias("lang"), F.col(src).alias("source")).agg(F.coalesce(F.sum(tok), F.lit(0)).alias("tokens"))
     leaves = materialize(leaves.withColumn("leaf_capacity", F.col("tokens") * (max_epochs - floor_epochs)), "mix-leaves")
-    budgets = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(budget_share - floor_epochs))).cast("long").alias("budget")).withColumn("root", F.lit(0))
+    few = leaves.count() <= BROADCAST_LEAVES
+    by_leaf = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    # few leaves are one partition and joins are merges, so that the tree needs no shuffle and no broadcast: each takes some MB of the driver and plans all levels again
+    tree = leaves.coalesce(1) if few else leaves
     parents: list[str] = []
     for level in LEVELS:
         here = [*parents, level]
         named = F.coalesce(*[F.when(F.col(level) == k, F.lit(int(w))) for k, w in weights.get(level, {}).items()], F.lit(1))
-        nodes = leaves.groupBy(*here).agg(F.sum("leaf_capacity").alias("capacity")).withColumn("weight", named).withColumn("root", F.lit(0))
-        keys = ["root", *parents]
-        budgets = split_budget(nodes.join(budgets.select(*keys, "budget"), keys), keys, level).withColumn("budget", F.col(f"{level}_budget"))
+        nodes = tree.groupBy(*here).agg(F.sum("leaf_capacity").alias("capacity"), F.sum("tokens").alias("tokens")).withColumn("weight", named).withColumn("root", F.lit(0))
+        if parents:
+            nodes = nodes.join(budgets.select(*parents, "budget").hint("merge"), parents)
+        else:
+            nodes = nodes.withColumn("budget", F.floor(F.sum("tokens").over(Window.partitionBy("root")) * F.lit(float(budget_share - floor_epochs))).cast("long"))
+        budgets = split_budget(nodes, parents or ["root"], level).withColumn("budget", F.col(f"{level}_budget"))
         parents = here
     # of each leaf: whole epochs, and the tokens left for the one after them
     spent = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(max_epochs - floor_epochs))).otherwise(F.lit(max_epochs - floor_epochs)).cast("long")
-    plan = leaves.join(budgets.select(*LEVELS, "budget"), list(LEVELS)).withColumn("spent", spent)
+    plan = budgets.withColumn("spent", spent)
     plan = plan.select(*[F.col(p).alias(c) for p, c in zip(LEVELS, (d, lng, src), strict=True)], (F.col("spent") + floor_epochs).alias(whole), (F.col("budget") - F.col("spent") * F.col("tokens")).alias("left"))
     leaf = [d, lng, src]
     plan = materialize(plan, "mix-plan")
-    few = plan.count() <= BROADCAST_LEAVES
-    by_leaf = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     seeded = F.md5(F.concat_ws(":", F.lit(seed), F.col(whole).cast("string"), F.col(ident)))
     # the range of the cut epoch that holds the end of its prefix, and the tokens left for it
-    ranges = slim.join(by_leaf(plan.where("left > 0")), leaf).groupBy(*leaf, "left", F.substring(seeded, 1, RANGE_DIGITS).alias(rng)).agg(F.sum(tok).alias("in_range"))
+    within = F.when(F.col("left") > 0, F.substring(seeded, 1, RANGE_DIGITS)).alias(rng)
+    ranges = slim.join(by_leaf(plan), leaf).groupBy(*leaf, whole, "left", within).agg(F.sum(tok).alias("in_range"))
     order = Window.partitionBy(*leaf).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ranges.withColumn(room, F.col("left") - F.coalesce(F.sum("in_range").over(order), F.lit(0))).where((F.col(room) > 0) & (F.col(room) <= F.col("in_range")))
-    ends = materialize(plan.join(ends.select(*leaf, F.col(rng).alias(cut), room), leaf, "left").drop("left"), "mix-ends")
+    ranges = ranges.withColumn(room, F.col("left") - F.coalesce(F.sum("in_range").over(order), F.lit(0)))
+    holds = (F.col(room) > 0) & (F.col(room) <= F.col("in_range"))
+    ends = materialize(ranges.groupBy(*leaf, whole).agg(F.max(F.when(holds, F.col(rng))).alias(cut), F.max(F.when(holds, F.col(room))).alias(room)), "mix-ends")
+    release_shuffles(docs.sparkSession)
 
     placed = rows.join(by_leaf(ends), leaf).withColumn(key, seeded).withColumn(rng, F.substring(key, 1, RANGE_DIGITS))
     takes = F.col(whole) + F.when(F.col(rng) <= F.col(cut), 1).otherwise(0)
