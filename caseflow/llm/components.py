@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.shared import HOT_ROWS, materialize, spread_join
@@ -20,6 +20,14 @@ def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
+def _both_stars(edges: DataFrame) -> DataFrame:
+    """A large and a small round where no node has very many links: a node's links are one window, so that both rounds are three shuffles."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
+    large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return small.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
+
+
 def _shape(edges: DataFrame) -> tuple[bool, int]:
     """Whether some node has two links up, or one up and one down, so that the links are no stars yet, and the links of the node that has most."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
@@ -40,8 +48,10 @@ def connected_components(edges: DataFrame, *, name: str = "components") -> DataF
         if not unfinished:
             break
         # a node's links of the first half become at most as many of the second half
-        large = _star(current, True, most).where("a != b").distinct()
-        large = materialize(large, f"{name}-large") if most > HOT_ROWS else large
-        current = materialize(_star(large, False, most).where("a != b").distinct(), f"{name}-edges")
+        if most <= HOT_ROWS:
+            moved = _both_stars(current)
+        else:
+            moved = _star(materialize(_star(current, True, most).where("a != b").distinct(), f"{name}-large"), False, most)
+        current = materialize(moved.where("a != b").distinct(), f"{name}-edges")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

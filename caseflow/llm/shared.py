@@ -54,24 +54,41 @@ def release_shuffles(spark: SparkSession) -> None:
 
 #: Rows of one key from which a join splits them, and the parts they are split into.
 HOT_ROWS, SALTS = 1000, 64
+#: Hot keys that are broadcast: there is one for ``HOT_ROWS`` rows at most. More of them are numbered by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
-def split_hot(rows: DataFrame, keys: list[str], by: str, out: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with a number ``out``, and the distinct (keys, out): keys of over ``HOT_ROWS`` rows have up to ``SALTS`` numbers by a hash of ``by``, all others have 0. ``rows`` is read twice, so it should be a written table."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy(*keys, "__salt").agg(F.count("*").alias("__n"))
+def split_hot(rows: DataFrame, keys: list[str], by: str, out: str, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a number ``out``, and the distinct (keys, out): keys of over ``HOT_ROWS`` rows have up to ``SALTS`` numbers by a hash of ``by``, all others have 0. ``counted`` is what holds the keys
+    and ``by`` of all ``rows`` as a written table, ``rows`` itself where it is not given."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    counts = (rows if counted is None else counted).withColumn("__salt", salt).groupBy(*keys, "__salt").agg(F.count("*").alias("__n"))
     hot = F.sum("__n").over(Window.partitionBy(*keys)) > HOT_ROWS
     numbered = counts.select(*keys, "__salt", F.when(hot, F.col("__salt")).otherwise(0).alias(out))
-    return salted.join(numbered.hint("merge"), [*keys, "__salt"]).drop("__salt"), numbered.select(*keys, out).distinct()
+    return rows.withColumn("__salt", salt).join(numbered.hint("merge"), [*keys, "__salt"]).drop("__salt"), numbered.select(*keys, out).distinct()
 
 
-def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, largest: int) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, largest: int, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` with the one row of ``other`` of their ``keys``, where one key may hold a large share of ``rows``: its rows are split and its row of ``other`` is copied to each part.
-    ``largest`` is the number of rows of the largest key; if none is hot, this is the plain join."""
+    ``largest`` is the number of rows of the largest key; if none is hot, this is the plain join. ``counted`` is as in ``split_hot``.
+
+    The hot keys are few, so they are broadcast and ``rows`` is shuffled once; each shuffle less is as many tasks less that the driver keeps account of.
+    """
     if largest <= HOT_ROWS:
         return rows.join(other.hint("merge"), keys)
-    split, parts = split_hot(rows, keys, by, "__part")
-    return split.join(parts.join(other.hint("merge"), keys).hint("merge"), [*keys, "__part"]).drop("__part")
+    hot = materialize((rows if counted is None else counted).groupBy(*keys).count().where(F.col("count") > HOT_ROWS).select(*keys), "hot-keys")
+    found = hot.count()
+    if not found:
+        return rows.join(other.hint("merge"), keys)
+    if found > BROADCAST_KEYS:
+        split, parts = split_hot(rows, keys, by, "__part", counted)
+        return split.join(parts.join(other.hint("merge"), keys).hint("merge"), [*keys, "__part"]).drop("__part")
+    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    split = rows.join(marked, keys, "left").withColumn("__part", part).drop("__hot")
+    copies = other.join(marked, keys, "left").withColumn("__part", F.explode(every)).drop("__hot")
+    return split.join(copies.hint("merge"), [*keys, "__part"]).drop("__part")
 
 
 #: Rows of an Arrow batch of whole documents.

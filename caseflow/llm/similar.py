@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.components import connected_components
-from caseflow.llm.shared import HOT_ROWS, materialize, release_shuffles, split_hot, spread_join
+from caseflow.llm.shared import HOT_ROWS, materialize, release_shuffles, spread_join
 from caseflow.llm.simhash import fingerprint_links, print_of, shingle_hasher
 
 BANDS, BAND_ROWS = 25, 5
@@ -89,11 +89,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """The pairs (a, b) whose Jaccard is ``share`` or more. ``pairs`` is a written table; a hub stands in very many of them."""
     most = _most(pairs.groupBy(F.col("a").alias("k")).count().union(pairs.groupBy("b").count()), "count")
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    if most <= HOT_ROWS:
-        sided = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
-    else:
-        split, parts = split_hot(pairs, ["b"], "a", "b_part")
-        sided = spread_join(split, x, ["a"], "b", most).join(parts.join(y.hint("merge"), "b").hint("merge"), ["b", "b_part"])
+    sided = spread_join(spread_join(pairs, x, ["a"], "b", most), y, ["b"], "a", most, counted=pairs)
     enough = F.least(F.size("x"), F.size("y")) >= share * F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
     return sided.where(enough & (both >= share * (F.size("x") + F.size("y") - both))).select("a", "b")
@@ -166,6 +162,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         pairs = materialize(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "similar-pairs")
         met = _verified(pairs, sets, share)
         links = materialize(met if links is None else links.union(met), "similar-links")
+        release_shuffles(docs.sparkSession)
         if last:
             break
         tested = pairs if tested is None else tested.union(pairs)
