@@ -102,7 +102,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     left, right = half_signatures(distinct, 0), half_signatures(distinct, 1).withColumnRenamed("fp", "other")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
     ordered = (F.col("at") % 33 != 0) | (F.col("fp") < F.col("other"))
-    pairs = left.join(right, ["at", "key"]).where(near & ordered)
+    # some 34 signatures for each fingerprint, of which Spark's size of the table knows nothing
+    pairs = left.join(right.hint("merge"), ["at", "key"]).where(near & ordered)
     return pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
@@ -119,9 +120,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = materialize(fingerprint_links(distinct.select("fp"), max_bits), "simhash-links")
     classes = connected_components(links, name="simhash")
     # the fingerprints that have links, with the smallest id of their class
-    members = classes.join(distinct.withColumnRenamed("fp", "node"), "node")
+    members = classes.join(distinct.withColumnRenamed("fp", "node").hint("merge"), "node")
     smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = members.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    per_print = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    per_print = distinct.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     most = distinct.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
     return spread_join(marked, per_print, ["fp"], "doc_id", most).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
