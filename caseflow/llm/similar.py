@@ -124,7 +124,8 @@ def _difference_pairs(live: DataFrame, sets: DataFrame, share: float, most: int
     shared = F.least(F.col("d") - F.col("at"), F.col("o_d") - F.col("o_at")) >= (F.col("spare") + F.col("o_spare")) / 2 - slack
     sized = (F.col("n") >= share * F.col("o_n") - slack) & (F.col("o_n") >= share * F.col("n") - slack)
     apart = (F.col("comp") != F.col("o_comp")) & (F.col("spare") <= F.col("o_spare"))
-    near = index.join(other, ["hub", "sign", "token"]).where(apart & sized & shared)
+    # rows of one text compress to almost nothing, so Spark would take the table for a small one and broadcast it
+    near = index.join(other.hint("merge"), ["hub", "sign", "token"]).where(apart & sized & shared)
     pairs = near.select("node", F.col("o_node").alias("other")).union(placed.where("node != hub").select("node", "hub"))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 

@@ -32,3 +32,11 @@ def test_signatures_are_not_broadcast(spark, plans):
     last = simhash.near_duplicates(docs)
     assert "BroadcastHashJoin" not in plans["simhash-links"][0] and "SortMergeJoin" in plans["simhash-links"][0]
     assert len({r["fingerprint"] for r in last.collect()}) <= 6
+
+
+def test_differences_are_not_broadcast(spark, plans):
+    sets = shared.materialize(spark.createDataFrame([(i, [*range(20), 100 + i // 2]) for i in range(8)], "node long, shingles array<long>"), "bc-sets")
+    live = shared.materialize(spark.createDataFrame([(7, i, i) for i in range(8)], "bucket long, node long, comp long"), "bc-live")
+    pairs = similar._difference_pairs(live, sets, 0.8)
+    assert "BroadcastHashJoin" not in _plan(pairs)
+    assert {(0, 1), (2, 3), (4, 5), (6, 7)} & {tuple(r) for r in pairs.collect()}
